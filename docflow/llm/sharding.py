@@ -52,7 +52,7 @@ def _weigh(keys: DataFrame, splitters: list[tuple[int, int]]) -> dict[int, tuple
     return {x["range"]: (x["bytes"], x["rows"], x["one"]) for x in r.collect()}
 
 
-def split_ranges(keys: DataFrame, shards: int, sample: int = 16384, rounds: int = 8):
+def split_ranges(keys: DataFrame, shards: int, sample: int = 16384, rounds: int = 32):
     """(splitters, weights by range) with no range over twice the mean weight unless it is one key."""
     drawn = _sample(keys, sample)
     want = shards * RANGES
