@@ -6,12 +6,11 @@ spark.checkpoint.dir, so lost executors cost no more than a round.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import norm_label
+from docflow.session import shared_folder
 
 # Relation families, relations a change passes through, endings of images and files.
 FAMILIES = {
@@ -26,13 +25,10 @@ FILES = r"(?i)\.(py|ts|tsx|js|jsx|md|pdf|png|jpg|jpeg|svg|yml|yaml|toml|json|sh|
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; on local[...] without one, in a fresh folder."""
+    """Checkpoint in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
