@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow.functions.text import clamp, strip, text_of, token_set, tokens
 
@@ -86,7 +87,7 @@ def lexical_scores(pairs: DataFrame, ref: str = "reference", cand: str = "candid
     return pairs.withColumns({"exact_match": exact_match(ref, cand), "token_recall": token_recall(ref, cand), "length_ratio": length_ratio(ref, cand), "token_f1": token_f1(ref, cand)})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() * 100.0 for x, y in zip(a, b)])
 

@@ -12,7 +12,8 @@ from docflow.operators import traffic as R
 from .bindings import table
 from .registry import register
 
-NOW = F.lit("1998-06-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("1998-06-01 00:00:00").cast("timestamp")
 
 
 def jobs(spark, d):
@@ -53,12 +54,12 @@ def job2_list_jobs(spark, d):
 
 @register(f"WITH {JOBS} SELECT job_id, owner_id FROM jobs WHERE status = 'pending' AND (available IS NULL OR available <= {_NOW}) ORDER BY created, job_id LIMIT 50")
 def job3_next_jobs(spark, d):
-    return J.next_jobs(jobs(spark, d), NOW, 50).select("job_id", "owner_id")
+    return J.next_jobs(jobs(spark, d), now(), 50).select("job_id", "owner_id")
 
 
 @register(f"WITH {JOBS} SELECT job_id, greatest(0, {_NOW} - seen) AS age_s FROM jobs WHERE status = 'processing' AND greatest(0, {_NOW} - seen) >= 60")
 def job4_stale_jobs(spark, d):
-    return J.stale_jobs(jobs(spark, d), NOW).select("job_id", "age_s")
+    return J.stale_jobs(jobs(spark, d), now()).select("job_id", "age_s")
 
 
 _STALE = f"(status = 'processing' AND greatest(0, {_NOW} - seen) > 60)"
@@ -68,7 +69,7 @@ _STALE = f"(status = 'processing' AND greatest(0, {_NOW} - seen) > 60)"
   CASE WHEN {_STALE} AND attempts >= 3 THEN 'stale_heartbeat_max_attempts' WHEN {_STALE} THEN 'stale_heartbeat_requeued' END AS error_detail,
   CASE WHEN {_STALE} AND attempts < 3 THEN 30 * greatest(attempts, 1) END AS wait_s FROM jobs""")
 def job5_reclaim(spark, d):
-    return J.reclaim(jobs(spark, d), NOW).select("job_id", "status", "error_detail", "wait_s")
+    return J.reclaim(jobs(spark, d), now()).select("job_id", "status", "error_detail", "wait_s")
 
 
 @register("""WITH w AS (SELECT user_id, epoch(max(ts))::BIGINT AS seen, arg_max(event_type, ts) AS last FROM events GROUP BY user_id)
@@ -95,7 +96,7 @@ def job8_expired_sessions(spark, d):
     k = F.col("c_custkey")
     s = table(spark, d, "customer").select(k.alias("session_id"), F.when(k % 4 == 0, "expired").when(k % 4 == 1, "upgraded").otherwise("active").alias("status"), F.when(k % 3 == 0, F.lit("1990-01-01").cast("timestamp")).otherwise(F.lit("2030-01-01").cast("timestamp")).alias("expires_at"))
     recent = jobs(spark, d).filter(F.col("created_at") > F.lit("2001-01-01").cast("timestamp"))
-    return J.expired_sessions(s, recent, NOW).select("session_id", "status")
+    return J.expired_sessions(s, recent, now()).select("session_id", "status")
 
 
 @register("SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS owner_id, o_custkey % 10 = 0 AS moved FROM orders")
@@ -170,7 +171,7 @@ def job19_budget_ledger(spark, d):
 @register("SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1998-03-31 23:59:59.999999' AND o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'")
 def dsh1_date_range(spark, d):
     o = table(spark, d, "orders").withColumn("saved_at", F.col("o_orderdate").cast("timestamp"))
-    return D.date_range(o, "custom", NOW, "1998-01-01", "1998-03-31").select("o_orderkey")
+    return D.date_range(o, "custom", now(), "1998-01-01", "1998-03-31").select("o_orderkey")
 
 
 def resolved(spark, d):
