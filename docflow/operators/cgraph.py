@@ -288,3 +288,24 @@ def layer_violations(v: DataFrame, e: DataFrame) -> DataFrame:
 def graph_stats(v: DataFrame, e: DataFrame) -> DataFrame:
     """CG21: vertices, edges, communities, files; one row."""
     return v.agg(F.count("*").alias("nodes"), F.countDistinct("community").alias("communities"), F.countDistinct("source_file").alias("files")).crossJoin(e.agg(F.count("*").alias("edges"), F.countDistinct("relation").alias("relations")))
+
+
+def explain_flow(e: DataFrame, v: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
+    """CG10: the path between two vertices told by labels."""
+    p = shortest_paths(e, pairs, most).filter("path is not null")
+    steps = p.select("src", "dst", F.posexplode(F.split("path", " > ")).alias("step", "id")).join(v.select("id", "label"), "id")
+    return steps.groupBy("src", "dst").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "label"))), lambda x: x["label"]), " -> ").alias("story"))
+
+
+# Words of a question that say nothing about its subject.
+STOP_WORDS = ("the", "a", "an", "is", "are", "what", "how", "does", "do", "where", "which", "who", "why", "when", "in", "on", "of", "to", "for", "and", "or", "with", "this", "that", "it", "be", "by", "from", "work", "works", "used")
+
+
+def graph_qa(v: DataFrame, e: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
+    """CG11: vertices for a question: hits of its words, and their neighbours at 0.7 of the score; the best of each."""
+    q = questions.withColumn("query", F.array_join(F.filter(F.split(norm_label("query"), " "), lambda w: ~w.isin(*STOP_WORDS)), " "))
+    hits = search_nodes(v, q, limit)
+    near = hits.join(undirected(e).withColumnsRenamed({"src": "id", "dst": "other"}), "id").select("query_id", F.col("other").alias("id"), (0.7 * F.col("score")).alias("score"))
+    best = hits.select("query_id", "id", "score").union(near).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
+    return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)

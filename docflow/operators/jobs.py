@@ -170,3 +170,34 @@ def budget_ledger(calls: DataFrame, budget: float) -> DataFrame:
     df = calls.withColumn("spent_g", F.coalesce(F.sum("carbon_g").over(w), F.lit(0.0)))
     df = df.withColumn("remaining_g", F.greatest(F.lit(0.0), F.lit(budget) - F.col("spent_g")))
     return df.withColumn("decision", F.when(F.col("remaining_g") > 0, F.lit("allowed")).otherwise(F.lit("skipped_budget")))
+
+
+def revision_audit(writes: DataFrame) -> DataFrame:
+    """JOB17: each write of a job's result against the one before: keys lost and gained, what went backwards.
+
+    writes: job_id, seq, keys (flattened), baseline_g, actual_g, region, phase.
+    """
+    w = Window.partitionBy("job_id").orderBy("seq")
+    before = lambda c: F.lag(c).over(w)
+    df = writes.withColumns({"was_keys": before("keys"), "was_base": F.coalesce(before("baseline_g"), F.lit(0.0)), "was_actual": F.coalesce(before("actual_g"), F.lit(0.0)), "was_region": before("region"), "was_phase": phase_rank("phase")})
+    df = df.withColumn("was_phase", F.lag("was_phase").over(w)).withColumn("revision", F.row_number().over(w))
+    base, actual = F.coalesce("baseline_g", F.lit(0.0)), F.coalesce("actual_g", F.lit(0.0))
+    codes = {
+        "baseline_reset": (F.col("was_base") > 0) & (base < F.col("was_base") * 0.5) & (base <= 0.0001), "optimized_lost": (F.col("was_actual") > 0) & (actual <= 0),
+        "region_disappeared": F.col("was_region").isNotNull() & F.col("region").isNull(), "phase_backwards": (phase_rank("phase") >= 0) & (phase_rank("phase") < F.col("was_phase")),
+    }
+    none = F.array().cast("array<string>")
+    return df.select(
+        "job_id", "revision", F.sha2(F.concat_ws("|", "phase", F.format_number(base, 4), F.format_number(actual, 4), F.coalesce("region", F.lit(""))), 256).alias("fingerprint"),
+        F.size(F.array_except(F.coalesce("was_keys", none), "keys")).alias("lost"), F.size(F.array_except("keys", F.coalesce("was_keys", none))).alias("gained"),
+        F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in codes.items()])).alias("violations"),
+    )
+
+
+def readiness(j: DataFrame) -> DataFrame:
+    """JOB18: whether summary, metrics and search of a job are ready: job_id, status, phase, progress, message, baseline_g, final_summary."""
+    m, p = F.lower(F.coalesce("message", F.lit(""))), F.lower(F.coalesce("phase", F.lit("")))
+    search = p.isin("search_ready", "complete", "done") | m.rlike("search (ready|available)")
+    metrics = search | ((F.coalesce("progress", F.lit(0)) >= 100) & (F.coalesce("baseline_g", F.lit(0.0)) > 0))
+    summary = m.rlike("summary ready|search (ready|available)") | (F.col("status") == "complete") | (F.trim(F.coalesce("final_summary", F.lit(""))) != "")
+    return j.select("job_id", summary.alias("summary_ready"), metrics.alias("metrics_ready"), search.alias("search_ready"))

@@ -73,3 +73,15 @@ def eta(progress: DataFrame) -> DataFrame:
     rate = F.when(F.col("elapsed_s") > 0, F.col("done") / F.col("elapsed_s"))
     left = F.when(rate > 0, (F.col("total") - F.col("done")) / rate)
     return progress.withColumn("rate", rate).withColumn("eta_s", left)
+
+
+def generation_timing(calls: DataFrame) -> DataFrame:
+    """TEL10: inference, network and generation times, tokens a second after the first token, errors retried.
+
+    calls: call_id, ttft_ms, ttlt_ms, first_byte_ms, out_tokens, attempts (ok, error).
+    """
+    ttft = F.coalesce("ttft_ms", F.lit(0.0))
+    ttlt, first = F.coalesce("ttlt_ms", ttft), F.coalesce("first_byte_ms", ttft)
+    gen = F.greatest(F.lit(0.0), ttlt - ttft)
+    errors = F.transform(F.filter("attempts", lambda a: ~a["ok"] & a["error"].isNotNull()), lambda a: a["error"])
+    return calls.select("call_id", first.alias("network_ms"), F.greatest(F.lit(0.0), ttlt - first).alias("inference_ms"), gen.alias("generation_ms"), F.when((gen > 0) & (F.col("out_tokens") > 0), F.col("out_tokens") / (gen / 1000.0)).otherwise(0.0).alias("tokens_per_sec"), F.array_join(errors, ",").alias("retry_reasons"))

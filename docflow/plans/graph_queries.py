@@ -286,3 +286,16 @@ def cg20_layer_violations(spark, d):
 @register(f"WITH {CODE} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(DISTINCT community) FROM v) AS communities, (SELECT count(DISTINCT source_file) FROM v) AS files, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT relation) FROM e) AS relations")
 def cg21_graph_stats(spark, d):
     return C.graph_stats(vertices(spark, d), edges(spark, d))
+
+
+@register()
+def cg10_explain_flow(spark, d):
+    k = F.col("r_regionkey")
+    p = table(spark, d, "region").select(F.concat(F.lit("s"), k).alias("src"), F.concat(F.lit("p"), k * 7 + 1).alias("dst"))
+    return C.explain_flow(edges(spark, d), vertices(spark, d), p, 4)
+
+
+@register()
+def cg11_graph_qa(spark, d):
+    v, e, q = _searched(spark, d)
+    return C.graph_qa(v, e, q.withColumn("query", F.concat(F.lit("where is "), "query", F.lit(" used")))).select("query_id", "id", F.round("score", 6).alias("score"), "place")

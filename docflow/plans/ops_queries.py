@@ -311,3 +311,29 @@ def trf4_burst_alerts(spark, d):
     e = table(spark, d, "events").filter("event_type = 'error'")
     log = e.select(F.col("user_id").alias("key"), "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"))
     return R.burst_alerts(log, 259200, 3).select("event_id", "n")
+
+
+@register("""WITH w AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE value END AS b, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value / 2 END AS a, CASE WHEN event_id % 3 <> 0 THEN 'z' END AS region, event_id % 8 AS p FROM events),
+  x AS (SELECT *, row_number() OVER k AS revision, lag(b) OVER k AS pb, lag(a) OVER k AS pa, lag(region) OVER k AS pr, lag(p) OVER k AS pp FROM w WINDOW k AS (PARTITION BY job_id ORDER BY seq))
+  SELECT job_id, CAST(revision AS INTEGER) AS revision, concat_ws(',', CASE WHEN pb > 0 AND b < pb * 0.5 AND b <= 0.0001 THEN 'baseline_reset' END, CASE WHEN pa > 0 AND a <= 0 THEN 'optimized_lost' END, CASE WHEN pr IS NOT NULL AND region IS NULL THEN 'region_disappeared' END, CASE WHEN p < pp THEN 'phase_backwards' END) AS violations FROM x""")
+def job17_revision_audit(spark, d):
+    e, i = table(spark, d, "events"), F.col("event_id")
+    phase = F.element_at(F.array(*[F.lit(p) for p in J.PHASES]), (i % 8 + 1).cast("int"))
+    w = e.select(F.col("user_id").alias("job_id"), i.alias("seq"), F.array(F.lit("a"), F.concat(F.lit("k"), i % 3)).alias("keys"), F.when(i % 5 == 0, 0.0).otherwise(F.col("value")).alias("baseline_g"), F.when(i % 7 == 0, 0.0).otherwise(F.col("value") / 2).alias("actual_g"), F.when(i % 3 != 0, "z").alias("region"), phase.alias("phase"))
+    return J.revision_audit(w).select("job_id", "revision", F.array_join("violations", ",").alias("violations"))
+
+
+@register("""SELECT o_orderkey AS job_id, o_orderkey % 4 = 0 OR o_orderstatus = 'F' OR o_orderkey % 6 = 1 AS summary_ready, o_orderkey % 5 IN (0, 1) OR o_orderkey % 4 = 0 OR o_orderkey % 2 = 0 AND o_totalprice > 0 AS metrics_ready, o_orderkey % 5 IN (0, 1) OR o_orderkey % 4 = 0 AS search_ready FROM orders""")
+def job18_readiness(spark, d):
+    k = F.col("o_orderkey")
+    j = table(spark, d, "orders").select(k.alias("job_id"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("processing").alias("status"), F.element_at(F.array(*[F.lit(p) for p in ("done", "search_ready", "carbon", "queued", "indexing")]), (k % 5 + 1).cast("int")).alias("phase"), F.when(k % 2 == 0, 100).otherwise(50).alias("progress"), F.when(k % 4 == 0, "Search ready").otherwise("working").alias("message"), F.col("o_totalprice").alias("baseline_g"), F.when(k % 6 == 1, "text").otherwise(" ").alias("final_summary"))
+    return J.readiness(j)
+
+
+@register("""SELECT event_id AS call_id, round(value, 6) AS network_ms, round(value * 2, 6) AS inference_ms, round(value * 1.5, 6) AS generation_ms, round(CASE WHEN event_id % 50 > 0 THEN (event_id % 50) / (value * 1.5::DOUBLE / 1000) ELSE 0 END, 4) AS tokens_per_sec, CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE '' END AS retry_reasons FROM events""".replace("value * 1.5, 6", "value * 3 - value * 1.5::DOUBLE, 6").replace("value * 2, 6", "value * 3 - value, 6"))
+def tel10_generation_timing(spark, d):
+    v, i = F.col("value"), F.col("event_id")
+    attempts = F.array(F.struct((i % 3 != 0).alias("ok"), F.when(i % 3 == 0, "timeout").alias("error")), F.struct(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")))
+    c = table(spark, d, "events").select(i.alias("call_id"), (v * 1.5).alias("ttft_ms"), (v * 3).alias("ttlt_ms"), v.alias("first_byte_ms"), (i % 50).alias("out_tokens"), attempts.alias("attempts"))
+    out = T.generation_timing(c)
+    return out.select("call_id", *[F.round(x, 6).alias(x) for x in ("network_ms", "inference_ms", "generation_ms")], F.round("tokens_per_sec", 4).alias("tokens_per_sec"), "retry_reasons")

@@ -325,3 +325,11 @@ def hie15_wait_audit(spark, d):
 @register(f"""WITH {NODES} SELECT dep.job_id, dep.node_id, sum(CASE WHEN status = 'complete' THEN tokens ELSE least(tokens, 400) END)::BIGINT AS prompt_tokens FROM dep JOIN nd ON nd.job_id = dep.job_id AND nd.node_id = dep.dep GROUP BY 1, 2""")
 def hie16_prompt_tokens(spark, d):
     return H.prompt_tokens(nodes(spark, d))
+
+
+@register()
+def rte8_assign_models(spark, d):
+    n = nodes(spark, d).select("job_id", "node_id", "kind", F.element_at(F.array(*[F.lit(t) for t in R.TIERS]), (F.col("node_id") % 3 + 1).cast("int")).alias("min_tier"), (F.col("worker_id") / 4).alias("load"), (F.lit(200.0) + F.col("tokens") % 600).alias("intensity"))
+    chain = spark.createDataFrame([(0, "small-8b"), (1, "mid-14b"), (2, "big-70b")], "place int, model string")
+    live = table(spark, d, "events").filter("event_type = 'click'").agg(F.lit("mid-14b").alias("model"), F.avg("value").alias("rolling_ms"))
+    return R.assign_models(n, chain, live).select("job_id", "node_id", "model", F.round("utility", 6).alias("utility"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docflow.operators import folds as L
+from docflow.operators import headings as H
 from docflow.operators import structure as S
 from docflow.sources import documents as D
 
@@ -245,3 +247,34 @@ def chk7_chunk_examples(spark, d):
 @register(f"WITH {CHUNKS} SELECT CASE chunk_index % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'budget' ELSE 'unknown' END AS reason, count(*) AS chunks FROM chunks GROUP BY 1")
 def chk8_split_reasons(spark, d):
     return S.split_reason_hist(chunks(spark, d).withColumn("reason", F.when(F.col("chunk_index") % 3 == 0, "title").when(F.col("chunk_index") % 3 == 1, "budget")))
+
+
+@register()
+def str2_score_headings(spark, d):
+    return H.score_headings(blocks(spark, d)).select("doc_id", "index", F.round("score", 6).alias("score"), "classification", "level", "accepted", F.array_join("reject_reasons", ",").alias("reasons"))
+
+
+@register()
+def str6_merge_sections(spark, d):
+    return L.merge_sections(sections(spark, d), near=0.05).select("doc_id", "place", "section", "level", "tokens", "parts")
+
+
+@register()
+def str7_pack_sections(spark, d):
+    return L.pack_sections(sections(spark, d)).select("doc_id", "chunk_index", "tokens", "sections", "reason")
+
+
+@register()
+def chk1_adaptive_chunks(spark, d):
+    return L.adaptive_chunks(elements(spark, d), 300, 100).select("doc_id", "chunk_index", "kind", "parent", "tokens", "reason")
+
+
+@register()
+def chk2_consolidate(spark, d):
+    return L.consolidate(L.adaptive_chunks(elements(spark, d), 60, 20), cap=5).select("doc_id", "chunk_index", "kind", "parent", "tokens", "merged")
+
+
+@register()
+def hie2_regional_groups(spark, d):
+    c = chunks(spark, d).select("doc_id", "chunk_index", F.col("section").cast("string").alias("section"), F.col("content").alias("summary"))
+    return L.regional_groups(c)
