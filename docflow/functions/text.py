@@ -247,3 +247,24 @@ def progress_stage(progress: Column, message: Column) -> Column:
 def progress_counts(message: Column) -> tuple[Column, Column]:
     at = lambda i: F.nullif(F.regexp_extract(text_of(message), r"\((\d+)\s*/\s*(\d+)\)", i), F.lit("")).cast("int")
     return at(1), at(2)
+
+
+# Words of headings, table rows and lines that carry metrics, not content.
+METRIC_HEADINGS = r"carbon|emissions|co2|co₂|model comparison|frontier comparison|grid intensity|energy (?:→|->) pue|job report|baseline vs|reduction %"
+METRIC_ROW = r"gco2|co₂|co2e|reduction|baseline|optimized|grid intensity|kwh|pue|estimated\s+g"
+METRIC_LINE = r"chatgpt-class|chunk count\s*×|4\.32\s*g|energy\s*→\s*pue\s*→\s*grid|^co₂e\s*\(g\)\s*=|^co2e\s*\(g\)\s*="
+
+
+def strip_metrics(c) -> Column:
+    """Markdown without metric sections, tables and lines.
+
+    Sections are cut apart at their headings, so that whole ones can go; within a section a table goes
+    if its first row names a metric.
+    """
+    t = F.replace(text_of(c), F.lit("\r\n"), F.lit("\n"))
+    sections = F.split(F.regexp_replace(t, r"(?m)^([ \t]*#{1,6}\s)", "\x00$1"), "\x00")
+    kept = F.filter(sections, lambda s: ~F.lower(F.substring_index(s, "\n", 1)).rlike(r"^\s*#{1,6}\s.*(?:" + METRIC_HEADINGS + ")"))
+    # A metric table: a row of bars that names a metric, and the rows of bars right below it.
+    tables = F.transform(kept, lambda s: F.regexp_replace(s, r"(?im)^[ \t]*\|[^\n]*(?:" + METRIC_ROW + r")[^\n]*(?:\n|\z)(?:[ \t]*\|[^\n]*(?:\n|\z))*", ""))
+    lines = F.filter(F.split(F.array_join(tables, ""), "\n"), lambda x: ~F.lower(F.trim(x)).rlike(METRIC_LINE))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))

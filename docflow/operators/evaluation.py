@@ -248,3 +248,16 @@ def workload_points(rag: DataFrame, summarization: DataFrame) -> DataFrame:
     """EVL20: cost and CO2e of each model under both workloads."""
     one = lambda df, w: df.select(F.lit(w).alias("workload"), "model", F.col("total_cost_usd").alias("cost_usd"), F.coalesce("total_co2e_g", F.col("avg_co2e_g") * F.greatest(F.lit(1), "n_ok")).alias("co2e_g"))
     return one(rag, "interactive_rag").unionByName(one(summarization, "document_summarization"))
+
+
+def freeze_retrieval(hits: DataFrame, chunks: DataFrame, budget: int = 2000) -> DataFrame:
+    """EVL11: one retrieval and one packing a question, frozen: context, its tokens and its hash.
+
+    hits: query_id, chunk_id, score, place; chunks: chunk_id, content, parent_id, section_path.
+    """
+    from .context import assemble_context, dedupe_passages, merge_siblings, normalize_passages, select_under_budget
+
+    p = hits.join(chunks, "chunk_id").withColumn("rank", F.col("place"))
+    packs, provenance = assemble_context(select_under_budget(merge_siblings(dedupe_passages(normalize_passages(p))), budget))
+    used = provenance.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("chunk_ids"))
+    return packs.join(used, "query_id").withColumn("context_hash", F.sha2("context_text", 256))

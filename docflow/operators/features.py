@@ -155,3 +155,26 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
     return df.drop("entity_count", "tech_hits", "n_chunks", "content")
 
 
+
+
+# Scales by tokens, pages and chunks; marks of code blocks.
+SCALES = (("tiny", 2_500, 15, 8), ("small", 12_000, 50, 25), ("medium", 60_000, 200, 80), ("large", 200_000, 500, 200))
+CODE_BLOCK = r"```|^\s{4}\S|\bdef |\bclass |\bfunction "
+
+
+def capability_profile(chunks: DataFrame) -> DataFrame:
+    """FEA9: size, densities, scale and complexity class of a document; `risk` may come as a column."""
+    c, risk = text_of("content"), F.lower(F.coalesce(F.max("risk"), F.lit(""))) if "risk" in chunks.columns else F.lit("")
+    depth = F.when(text_of("section_path") == "", 1).otherwise(1 + F.length(F.regexp_replace(text_of("section_path"), "[^/]", "")))
+    g = chunks.groupBy("doc_id").agg(
+        F.sum(est_tokens("content")).alias("tokens"), F.count("*").alias("chunks"), F.avg(est_tokens("content")).alias("mean_tokens"), F.max(est_tokens("content")).alias("largest"),
+        F.count_if(F.substring(c, 1, 500).rlike(TABLE) | F.contains(c, F.lit("--- TABLE"))).alias("tables"), F.count_if(F.substring(c, 1, 400).rlike(FIGURE)).alias("figures"), F.count_if(c.rlike(CODE_BLOCK)).alias("code_blocks"),
+        F.sum(hits(c, EQUATION)).alias("equations"), F.max(depth).alias("heading_depth"), risk.alias("risk"),
+    )
+    n = F.greatest(F.lit(1), F.col("chunks"))
+    g = g.withColumns({"pages": F.greatest(F.lit(1), F.ceil(F.col("tokens") / 500.0)), "technical": F.least(F.lit(1.0), (F.col("equations") + F.col("code_blocks")) / (n * 2))})
+    g = g.withColumn("layout", F.least(F.lit(1.0), 0.15 * F.col("tables") / n + 0.15 * F.col("figures") / n + 0.2 * F.least(F.lit(1.0), n / 40.0)))
+    scale = reduce(lambda out, s: F.when((F.col("tokens") < s[1]) & (F.col("pages") <= s[2]) & (F.col("chunks") <= s[3]), s[0]).otherwise(out), reversed(SCALES), F.lit("xlarge"))
+    clinical = F.col("risk").isin("medical", "clinical")
+    kind = F.when(clinical, "critical").when((F.col("risk") == "legal") | (F.col("technical") >= 0.75), "complex").when((F.col("technical") >= 0.45) | (F.col("layout") >= 0.5), "moderate").otherwise("simple")
+    return g.withColumn("table_density", F.col("tables") / n).withColumn("document_scale", scale).withColumn("complexity_class", kind)

@@ -136,3 +136,28 @@ def prompt_tokens(nodes: DataFrame, pending: Column = None, cap: int = 400) -> D
     d = nodes.select("job_id", "node_id", F.explode("dep_ids").alias("dep"))
     c = nodes.select("job_id", F.col("node_id").alias("dep"), F.when(F.col("status") == "complete", F.col("tokens")).otherwise(F.least("tokens", F.lit(cap))).alias("t"))
     return d.join(c, ["job_id", "dep"]).groupBy("job_id", "node_id").agg(F.sum("t").alias("prompt_tokens"))
+
+
+def overflow_layers(edges: DataFrame, budget: int, summary_cap: int = 400, rounds: int = 6) -> DataFrame:
+    """HIE5: (job_id, parent, child, tokens) -> edges with intermediate nodes under parents whose children exceed the budget.
+
+    An overfull parent's children are dealt in order into nodes of budget / mean tokens children, two at
+    least; a new node counts with its summary's cap. Repeats while a parent is overfull, rounds at most.
+    """
+    now = cut(edges.select("job_id", "parent", "child", F.col("tokens").cast("long").alias("tokens")))
+    done = None
+    for r in range(rounds):
+        load = now.groupBy("job_id", "parent").agg(F.sum("tokens").alias("total"), F.count("*").alias("n"))
+        over = load.filter((F.col("total") > budget) & (F.col("n") > 2))
+        if over.isEmpty():
+            break
+        fan = F.greatest(F.lit(2), F.least(F.col("n") - 1, F.floor(F.lit(budget) / F.greatest(F.lit(80), F.floor(F.col("total") / F.col("n"))))))
+        w = Window.partitionBy("job_id", "parent").orderBy("child")
+        full = now.join(over, ["job_id", "parent"]).withColumn("batch", F.floor((F.row_number().over(w) - 1) / fan))
+        node = F.concat_ws("/", F.lit("overflow"), "parent", F.lit(str(r)), "batch")
+        full = cut(full.select("job_id", "parent", "child", "tokens", node.alias("node")))
+        lower = full.select("job_id", F.col("node").alias("parent"), "child", "tokens")
+        upper = full.groupBy("job_id", "parent", F.col("node").alias("child")).agg(F.least(F.sum("tokens"), F.lit(summary_cap)).alias("tokens"))
+        done = lower if done is None else done.unionByName(lower)
+        now = cut(now.join(over, ["job_id", "parent"], "left_anti").unionByName(upper))
+    return now if done is None else now.unionByName(done)

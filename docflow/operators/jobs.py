@@ -201,3 +201,16 @@ def readiness(j: DataFrame) -> DataFrame:
     metrics = search | ((F.coalesce("progress", F.lit(0)) >= 100) & (F.coalesce("baseline_g", F.lit(0.0)) > 0))
     summary = m.rlike("summary ready|search (ready|available)") | (F.col("status") == "complete") | (F.trim(F.coalesce("final_summary", F.lit(""))) != "")
     return j.select("job_id", summary.alias("summary_ready"), metrics.alias("metrics_ready"), search.alias("search_ready"))
+
+
+def compact_metrics(jobs: DataFrame, result: str = "result") -> DataFrame:
+    """JOB15: figures of a job's result, each from the first place that has it."""
+    cd, rc, bd, ins = "$.carbon_data.", "$.carbon_data.report_card.", "$.carbon_data.breakdown.", "$.processing_insights."
+    g = lambda *ps: F.coalesce(*[F.get_json_object(result, p).cast("double") for p in ps])
+    base = F.coalesce(g(rc + "estimated_baseline_pipeline_emissions_g", cd + "estimated_baseline_pipeline_emissions_g", bd + "estimated_baseline_pipeline_emissions_g", bd + "baseline_co2e_g", cd + "baseline_cost_gco2e"), F.lit(0.0))
+    best = F.coalesce(g(cd + "operational_co2e_g", rc + "estimated_optimized_pipeline_emissions_g", cd + "estimated_optimized_pipeline_emissions_g", bd + "estimated_optimized_pipeline_emissions_g", bd + "actual_co2e_g", cd + "actual_cost_gco2e"), F.lit(0.0))
+    saved = F.coalesce(g(bd + "carbon_saved_g", cd + "carbon_saved_grams"), base - F.coalesce(g(cd + "modeled_co2e_g"), best))
+    tier = lambda t: F.coalesce(g(bd + f"routing_impact.{t}_chunks", cd + f"routing_impact.{t}_chunks", ins + f"routing_distribution.{t}"), F.lit(0.0))
+    chunks = F.coalesce(g(cd + "total_chunks", bd + "routing_impact.total_chunks", ins + "routing_distribution.total"), tier("light") + tier("medium") + tier("heavy"))
+    region = F.coalesce(*[F.get_json_object(result, p) for p in (cd + "region_decision.selected_region_name", cd + "region_decision.selected_region.display_name", rc + "grid_zone", bd + "grid_zone", cd + "grid_zone", cd + "compute_location")], F.lit("—"))
+    return jobs.select("job_id", base.alias("baseline_g"), best.alias("optimized_g"), saved.alias("saved_g"), F.coalesce(g(bd + "reduction_percent", cd + "efficiency_percent"), F.lit(0.0)).alias("reduction_pct"), region.alias("region"), chunks.alias("total_chunks"), *[tier(t).alias(t) for t in ("light", "medium", "heavy")])

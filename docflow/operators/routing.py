@@ -191,3 +191,28 @@ def assign_models(nodes: DataFrame, chain: DataFrame, latency: DataFrame) -> Dat
     u = u + F.when((F.col("load") > 0.55) | (dirty > 0.55), 0.08 * (1.0 - frac)).otherwise(0.0)
     df = df.withColumn("utility", u)
     return df.groupBy("job_id", "node_id").agg(F.max(F.struct(F.round("utility", 9).alias("u"), (-F.col("place")).alias("k"), "model")).alias("b")).select("job_id", "node_id", F.col("b.model").alias("model"), F.col("b.u").alias("utility"))
+
+# Strategy of each scale: id, map mode, compile hint, verification, thresholds, escalations, chunks, budget factor, gain.
+STRATEGIES = {
+    "tiny": ("single_pass_compact", "single_pass", "medium", "light", 0.55, 1, 4, 1.0, 0.03), "small": ("map_reduce_standard", "map_reduce", "medium", "standard", 0.58, 2, 6, 1.0, 0.02),
+    "medium": ("hierarchical_map_regional", "hierarchical_map", "medium", "standard", 0.60, 2, 8, 1.0, 0.02), "large": ("multi_level_tree", "tree_summarize", "heavy", "strict", 0.62, 2, 10, 1.25, 0.015),
+    "xlarge": ("deep_tree_summarize", "tree_summarize", "heavy", "strict", 0.64, 3, 12, 1.5, 0.01),
+}
+STRATEGY_COLUMNS = "strategy_id map_mode compile_tier verification confidence_at max_escalations escalated_chunks budget_factor gain_min".split()
+
+
+def select_strategy(profiles: DataFrame, mode: str = "automatic", intensity: float = 700.0) -> DataFrame:
+    """RTE5: (doc_id, document_scale, complexity_class) -> strategy: the scale's row, adjusted by complexity, mode and grid."""
+    base = profiles.select("doc_id", "document_scale", "complexity_class", *[look(STRATEGIES, F.col("document_scale"), i, STRATEGIES["xlarge"][i]).alias(c) for i, c in enumerate(STRATEGY_COLUMNS)])
+    hard, simple = F.col("complexity_class").isin("complex", "critical"), (F.col("complexity_class") == "simple") & F.col("document_scale").isin("tiny", "small")
+    df = base.withColumns({
+        "verification": F.when(hard, "strict").when(simple, "light").otherwise(F.col("verification")), "confidence_at": F.when(hard, F.least(F.lit(0.72), F.col("confidence_at") + 0.04)).otherwise(F.col("confidence_at")),
+        "compile_tier": F.when(F.col("complexity_class") == "critical", "heavy").otherwise(F.col("compile_tier")), "escalated_chunks": F.when(hard, F.least(F.lit(16), F.col("escalated_chunks") + 2)).otherwise(F.col("escalated_chunks")), "prefer_light": F.lit(True),
+    })
+    if mode in ("fastest", "speed"):
+        df = df.withColumns({"max_escalations": F.greatest(F.lit(1), F.col("max_escalations") - 1), "compile_tier": F.lit("medium")})
+    elif mode in ("lowest_carbon", "eco", "green"):
+        df = df.withColumns({"budget_factor": F.col("budget_factor") * 0.75, "gain_min": F.greatest("gain_min", F.lit(0.04))})
+    elif mode in ("highest_quality", "quality"):
+        df = df.withColumns({"verification": F.lit("strict"), "compile_tier": F.lit("heavy"), "max_escalations": F.least(F.lit(3), F.col("max_escalations") + 1), "prefer_light": F.lit(intensity >= 550)})
+    return df

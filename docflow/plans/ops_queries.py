@@ -337,3 +337,12 @@ def tel10_generation_timing(spark, d):
     c = table(spark, d, "events").select(i.alias("call_id"), (v * 1.5).alias("ttft_ms"), (v * 3).alias("ttlt_ms"), v.alias("first_byte_ms"), (i % 50).alias("out_tokens"), attempts.alias("attempts"))
     out = T.generation_timing(c)
     return out.select("call_id", *[F.round(x, 6).alias(x) for x in ("network_ms", "inference_ms", "generation_ms")], F.round("tokens_per_sec", 4).alias("tokens_per_sec"), "retry_reasons")
+
+
+@register("""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice / 2 END AS baseline_g, o_totalprice / 4 AS optimized_g, CASE WHEN o_orderkey % 3 = 0 THEN 7.0::DOUBLE ELSE CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice / 2 END - o_totalprice / 4 END AS saved_g, CASE WHEN o_orderkey % 5 = 0 THEN 'zone' ELSE '—' END AS region, CASE WHEN o_orderkey % 7 = 0 THEN 3.0::DOUBLE ELSE 9.0::DOUBLE END AS total_chunks FROM orders""")
+def job15_compact_metrics(spark, d):
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    cd = F.struct(F.struct(F.when(k % 2 == 0, p).alias("estimated_baseline_pipeline_emissions_g")).alias("report_card"), (p / 2).alias("baseline_cost_gco2e"), (p / 4).alias("actual_cost_gco2e"), F.when(k % 3 == 0, 7.0).alias("carbon_saved_grams"), F.when(k % 5 == 0, "zone").alias("grid_zone"), F.when(k % 7 != 0, 9).alias("total_chunks"))
+    ins = F.struct(F.struct(F.lit(1).alias("light"), F.lit(2).alias("medium")).alias("routing_distribution"))
+    j = table(spark, d, "orders").select(k.alias("job_id"), F.to_json(F.struct(cd.alias("carbon_data"), ins.alias("processing_insights"))).alias("result"))
+    return J.compact_metrics(j).select("job_id", "baseline_g", "optimized_g", "saved_g", "region", "total_chunks")

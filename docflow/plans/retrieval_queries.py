@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import context as X
 from docflow.operators import retrieval as R
+from docflow.operators.evaluation import freeze_retrieval
 
 from .bindings import CHUNKS, QUERY_ROWS, chunks, queries, table
 from .registry import register
@@ -183,3 +184,11 @@ def ctx6_answer_envelopes(spark, d):
     _, provenance = X.assemble_context(X.merge_siblings(passages(spark, d)).filter("query_id % 2 = 0"))
     answers = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.lit("").alias("answer")).distinct()
     return X.answer_envelopes(provenance, answers).select("query_id", "citations", "sources", F.round("confidence", 6).alias("confidence"), "sections", "has_gap")
+
+
+@register()
+def evl11_freeze_retrieval(spark, d):
+    c = line_chunks(spark, d)
+    hits = R.bm25_search(c, asked(spark, d), 6)
+    meta = c.select("chunk_id", F.col("text").alias("content"), "parent_id", F.col("parent_id").alias("section_path"))
+    return freeze_retrieval(hits, meta, 300).select("query_id", "tokens_used", "chunk_ids", "context_hash")

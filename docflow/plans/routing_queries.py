@@ -333,3 +333,30 @@ def rte8_assign_models(spark, d):
     chain = spark.createDataFrame([(0, "small-8b"), (1, "mid-14b"), (2, "big-70b")], "place int, model string")
     live = table(spark, d, "events").filter("event_type = 'click'").agg(F.lit("mid-14b").alias("model"), F.avg("value").alias("rolling_ms"))
     return R.assign_models(n, chain, live).select("job_id", "node_id", "model", F.round("utility", 6).alias("utility"))
+
+
+@register(f"""WITH {FCHUNKS}, g AS (SELECT doc_id, sum(greatest(1, length(content) // 4))::BIGINT AS tokens, count(*) AS chunks, count_if({_m(E.TABLE, 'left(content, 500)')} OR contains(content, '--- TABLE')) AS tables, sum({_n(E.EQUATION)})::BIGINT AS equations, count_if({_m(E.CODE_BLOCK)}) AS cb, count_if({_m(E.FIGURE, 'left(content, 400)')}) AS fg FROM fc GROUP BY 1),
+  h AS (SELECT *, greatest(1, ceil(tokens / 500.0)) AS pages, least(1, (equations + cb) / (chunks * 2)) AS te, least(1, 0.15 * tables / chunks + 0.15 * fg / chunks + 0.2 * least(1, chunks / 40.0)) AS la FROM g)
+  SELECT doc_id, tokens, tables, equations, round(te, 10) AS technical, CASE WHEN tokens < 2500 AND pages <= 15 AND chunks <= 8 THEN 'tiny' WHEN tokens < 12000 AND pages <= 50 AND chunks <= 25 THEN 'small' WHEN tokens < 60000 AND pages <= 200 AND chunks <= 80 THEN 'medium' WHEN tokens < 200000 AND pages <= 500 AND chunks <= 200 THEN 'large' ELSE 'xlarge' END AS document_scale,
+  CASE WHEN te >= 0.75 THEN 'complex' WHEN te >= 0.45 OR la >= 0.5 THEN 'moderate' ELSE 'simple' END AS complexity_class FROM h""")
+def fea9_capability_profile(spark, d):
+    return E.capability_profile(fchunks(spark, d)).select("doc_id", "tokens", "tables", "equations", F.round("technical", 10).alias("technical"), "document_scale", "complexity_class")
+
+
+_SCALES, _CLASSES = ("tiny", "small", "medium", "large", "xlarge"), ("simple", "moderate", "complex", "critical")
+
+
+@register(f"""WITH p AS (SELECT o_orderkey AS doc_id, list_extract({list(_SCALES)}, CAST(o_orderkey % 5 + 1 AS INTEGER)) AS s, list_extract({list(_CLASSES)}, CAST(o_orderkey % 4 + 1 AS INTEGER)) AS c FROM orders), b AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v[0]}', '{v[2]}', '{v[3]}', {v[4]}::DOUBLE, {v[5]}, {v[6]}, {v[7]}::DOUBLE, {v[8]}::DOUBLE)" for k, v in R.STRATEGIES.items())}) t(s, id, ct, ve, co, es, ch, bf, gm))
+  SELECT doc_id, id AS strategy_id, CASE WHEN c = 'critical' THEN 'heavy' ELSE ct END AS compile_tier, CASE WHEN c IN ('complex', 'critical') THEN 'strict' WHEN c = 'simple' AND s IN ('tiny', 'small') THEN 'light' ELSE ve END AS verification, round(CASE WHEN c IN ('complex', 'critical') THEN least(0.72, co + 0.04) ELSE co END, 10) AS confidence_at,
+  CASE WHEN c IN ('complex', 'critical') THEN least(16, ch + 2) ELSE ch END AS escalated_chunks, round(bf * 0.75, 10) AS budget_factor, round(greatest(gm, 0.04), 10) AS gain_min FROM p JOIN b USING (s)""")
+def rte5_select_strategy(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    p = table(spark, d, "orders").select(k.alias("doc_id"), pick(_SCALES).alias("document_scale"), pick(_CLASSES).alias("complexity_class"))
+    return R.select_strategy(p, "eco").select("doc_id", "strategy_id", "compile_tier", "verification", F.round("confidence_at", 10).alias("confidence_at"), "escalated_chunks", F.round("budget_factor", 10).alias("budget_factor"), F.round("gain_min", 10).alias("gain_min"))
+
+
+@register()
+def hie5_overflow_layers(spark, d):
+    e = nodes(spark, d).select("job_id", F.lit("root").alias("parent"), F.format_string("n%04d", "node_id").alias("child"), "tokens")
+    return H.overflow_layers(e, 6000)

@@ -168,3 +168,12 @@ def txt18_progress(spark, d):
     message = F.concat(F.when(F.col("l_linenumber") % 2 == 1, F.lit("Summarizing... (")).otherwise(F.lit("Working (")), F.col("l_linenumber").cast("string"), F.lit(" / 7)"))
     done, total = T.progress_counts(message)
     return l.select("l_orderkey", "l_linenumber", done.alias("done"), total.alias("total"), T.progress_stage(F.col("l_linenumber") * 100.0 / 7, message).alias("stage"))
+
+
+_METRICS = "\n\n## Carbon report\n\nsaved 3 g\n\n## Findings\n\nkept line\n| Model | gCO2 |\n|---|---|\n| a | 1 |\nCO2e (g) = 3\nlast line"
+
+
+@register(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || '## Findings' || chr(10) || chr(10) || 'kept line' || chr(10) || 'last line' AS content FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '|')""")
+def txt19_strip_metrics(spark, d):
+    docs = _docs(spark, d).filter(~F.contains("text", F.lit("#")) & ~F.contains("text", F.lit("|")))
+    return docs.select("doc_id", T.strip_metrics(F.concat("text", F.lit(_METRICS))).alias("content"))
