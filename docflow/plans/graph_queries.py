@@ -8,7 +8,7 @@ from docflow.operators import cgraph as C
 from docflow.operators import kgraph as K
 
 from .bindings import table
-from .registry import register
+from .registry import ORACLES, register
 
 # Knowledge: capitalised words of a conversation are its nodes, neighbours in a turn its relations.
 
@@ -299,3 +299,11 @@ def cg10_explain_flow(spark, d):
 def cg11_graph_qa(spark, d):
     v, e, q = _searched(spark, d)
     return C.graph_qa(v, e, q.withColumn("query", F.concat(F.lit("where is "), "query", F.lit(" used")))).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
+@register(ORACLES["kg7_neighbor_chunks"].replace("SELECT doc_id AS query_id, chunk_id, CAST(hop AS INTEGER) AS hop, CAST(place AS INTEGER) AS place FROM r", "SELECT r.doc_id AS query_id, chunk_id, CAST(place AS INTEGER) AS place, length(text) AS n_chars FROM r JOIN conversations c ON c.conv_id = r.doc_id AND CAST(c.turn AS VARCHAR) = chunk_id"))
+def ret5_graph_seeds(spark, d):
+    """Seed chunks of each query with their text; chunks without text go."""
+    seeds = kg7_neighbor_chunks(spark, d)
+    texts = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("string").alias("chunk_id"), F.length("text").cast("long").alias("n_chars")).filter("n_chars > 0")
+    return seeds.join(texts, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "place", "n_chars")
