@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
     pieces = laid.filter("size > 0").withColumn("i_", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor(last / block))))
     overlap = F.least(last, F.col("i_") * block + block - 1) - F.greatest(F.col("from"), F.col("i_") * block) + 1
     pieces = pieces.withColumn("overlap", overlap)
-    met = pieces.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("i_") == F.col("i")), "left")
+    met = pieces.join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("i_") == F.col("i")), "left")
     used = met.groupBy("source", "from", "doc_id", "size").agg(F.sum(F.col("overlap") * F.coalesce("times", F.lit(0).cast("long"))).alias("taken"))
     none = laid.filter("size = 0").select("source", "from", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     g = goals.withColumnRenamed("source", "g")
