@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from itertools import combinations
@@ -31,6 +32,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing reads any more; let go of finished shuffles.
+
+    Shuffle files go when the driver's JVM collects the plans that made them, so it is asked to.
+    """
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,8 +11,10 @@ logarithmic number of times.
 Only candidates are looked at closely. Every string of `length` bytes belongs to exactly one anchor
 of its document, so an anchor owns a run of string starts; the run's whole bytes are its context.
 Contexts seen twice are repeats from end to end. The other contexts that share an anchor key (the
-edges of passages, edited copies) are compared string by string. Contexts and strings are told apart
-by the 64-bit key of their anchor and a 64-bit hash of all their bytes, 128 bits together.
+edges of passages, edited copies) are compared string by string: in one task for a key of up to
+`GROUP` contexts, by the bytes themselves; for a larger key by an aggregation over hashes of its
+strings, which no key can skew. Contexts, and strings of large keys, are told apart by the 64-bit key
+of their anchor and a 64-bit hash of all their bytes, 128 bits together.
 All counting is by aggregations with map-side counts, so a passage held by a third of all documents
 is a handful of rows by the time it is shuffled.
 """
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import materialize, text_slices
+from .common import discard, materialize, text_slices
 
 GRAM = 48
+GROUP = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -122,11 +125,13 @@ class LogarithmicIndex:
 
     def __init__(self):
         self.levels: list[DataFrame | None] = []
+        self.written: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> list[DataFrame]:
         """Scan a batch of (key) rows against itself and all levels; returns lists of keys met again."""
         new = batch.groupBy("key").agg((F.count("*") > 1).alias("again")).sortWithinPartitions("key")
         new = materialize(new, "suffix-batch")
+        self.written.append(new)
         met = [new.filter("again").select("key")]
         keys = new.select("key")
         met += [keys.join(level, "key", "left_semi") for level in self.levels if level is not None]
@@ -135,11 +140,67 @@ class LogarithmicIndex:
                 self.levels[i] = keys
                 return met
             keys = materialize(keys.union(level).distinct().sortWithinPartitions("key"), "suffix-level")
+            self.written.append(keys)
             self.levels[i] = None
         self.levels.append(keys)
         return met
 
 
+def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
+    """(key, context, data) -> (key, context, offs): starts of strings that a key's pieces hold twice."""
+    def settle(group):
+        seen: dict[bytes, int] = {}
+        for _, _, data in group:
+            for i in range(len(data) - length + 1):
+                w = data[i : i + length]
+                seen[w] = seen.get(w, 0) + 1
+        for key, ctx, data in group:
+            offs = [i for i in range(len(data) - length + 1) if seen[data[i : i + length]] > 1]
+            if offs:
+                yield key, ctx, offs
+
+    def run(batches):
+        group: list = []
+        for b in batches:
+            out: list = []
+            for piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if group and group[0][0] != piece[0]:
+                    out += settle(group)
+                    group = []
+                group.append(piece)
+            yield _starts(out)
+        yield _starts(list(settle(group)))
+
+    ordered = pieces.select("key", "context", "data").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(run, "key long, context long, offs array<int>")
+
+
+def _starts(rows: list) -> pa.RecordBatch:
+    key, ctx, offs = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(offs, pa.list_(pa.int32()))], names=["key", "context", "offs"])
+
+
+def _across_tasks(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for keys of any size: every string's hash is counted with map-side counts."""
+    def strings(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                key, ctx, off, hashes = [], [], [], []
+                for k, c, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    n = len(data) - length + 1
+                    hashes += [xxh3_64_intdigest(data[i : i + length]) for i in range(n)]
+                    key += [k] * n
+                    ctx += [c] * n
+                    off += range(n)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(off, pa.int32()), _signed(hashes)], names=["key", "context", "off", "string"])
+
+    each = pieces.select("key", "context", "data").mapInArrow(strings, "key long, context long, off int, string long")
+    twice = each.groupBy("key", "string").agg(F.count("*").alias("c")).filter("c > 1").select("key", "string")
+    met = each.join(twice, ["key", "string"], "left_semi")
+    return met.groupBy("key", "context").agg(F.sort_array(F.collect_set("off")).alias("offs"))
+
+
 def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
     """(row, text) -> (row, start, offs, n): strings start + o .. start + o + n - 1 also start elsewhere."""
     found = anchors(docs, length).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
@@ -152,30 +213,27 @@ def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataF
         shared = shared.union(m)
     posts = materialize(found.drop("batch").join(shared.distinct(), "key", "left_semi"), "suffix-candidates")
 
+    discard(found, *index.written)
+
     contexts = posts.groupBy("key", "context").agg(F.count("*").alias("seen"), F.min(F.struct("row", "start", "n")).alias("at"))
     contexts = materialize(contexts, "suffix-contexts")
     kinds = contexts.groupBy("key").agg(F.count("*").alias("kinds"), F.min("seen").alias("least"))
-    open_ones = contexts.join(kinds.filter("kinds > 1 and least = 1").select("key"), "key", "left_semi")
-    wanted = open_ones.select("key", "context", "at.*").groupBy("row").agg(F.collect_list(F.struct("key", "context", "start", "n")).alias("runs"))
+    wanted = contexts.join(kinds.filter("kinds > 1 and least = 1").select("key", "kinds"), "key")
+    wanted = wanted.select("key", "context", "kinds", "at.*").groupBy("row").agg(F.collect_list(F.struct("key", "context", "kinds", "start", "n")).alias("runs"))
 
-    def strings(batches):
+    def cut(batches):
         for b in batches:
-            for part in text_slices(b, "text", 1 << 20):
-                key, ctx, off, hashes = [], [], [], []
+            for part in text_slices(b, "text"):
+                out = []
                 for text, runs in zip(part.column(0), part.column(1)):
                     data = _bytes(text)
-                    for r in runs.as_py():
-                        s, n = r["start"], r["n"]
-                        hashes += [xxh3_64_intdigest(data[i : i + length]) for i in range(s, s + n)]
-                        key += [r["key"]] * n
-                        ctx += [r["context"]] * n
-                        off += range(n)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(off, pa.int32()), _signed(hashes)], names=["key", "context", "off", "string"])
+                    out += [(r["key"], r["context"], r["kinds"], data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in runs.as_py()]
+                key, ctx, kinds, data = zip(*out) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(kinds, pa.int64()), pa.array(data, pa.binary())], names=["key", "context", "kinds", "data"])
 
-    each = docs.select("row", "text").join(wanted, "row").select("text", "runs").mapInArrow(strings, "key long, context long, off int, string long")
-    each = materialize(each, "suffix-strings")
-    twice = each.groupBy("key", "string").agg(F.count("*").alias("c")).filter("c > 1").select("key", "string")
-    partly = each.join(twice, ["key", "string"], "left_semi").groupBy("key", "context").agg(F.sort_array(F.collect_set("off")).alias("offs"))
+    pieces = docs.select("row", "text").join(wanted, "row").select("text", "runs").mapInArrow(cut, "key long, context long, kinds long, data binary")
+    pieces = materialize(pieces, "suffix-pieces")
+    partly = _within_keys(pieces.filter(F.col("kinds") <= GROUP), length).union(_across_tasks(pieces.filter(F.col("kinds") > GROUP), length))
     status = contexts.join(partly, ["key", "context"], "left").select("key", "context", (F.col("seen") > 1).alias("whole"), "offs")
     status = status.filter("whole or offs is not null")
     out = posts.join(status, ["key", "context"])
