@@ -11,10 +11,11 @@ logarithmic number of times.
 Only candidates are looked at closely. Every string of `length` bytes belongs to exactly one anchor
 of its document, so an anchor owns a run of string starts; the run's whole bytes are its context.
 Contexts seen twice are repeats from end to end. The other contexts that share an anchor key (the
-edges of passages, edited copies) are compared string by string: in one task for a key of up to
-`GROUP` contexts, by the bytes themselves; for a larger key by an aggregation over hashes of its
-strings, which no key can skew. Contexts, and strings of large keys, are told apart by the 64-bit key
-of their anchor and a 64-bit hash of all their bytes, 128 bits together.
+edges of passages, edited copies) are refined: a run is cut into segments of `SEGMENT` strings by their
+distance from the anchor, each with its whole bytes and a core, the bytes that all its strings share.
+Segments whose whole is seen twice are repeats; only segments that share a core and differ in the rest
+are taken apart into single strings. Bytes are told apart by the 64-bit key of their anchor and a
+64-bit hash of their own, 128 bits together.
 All counting is by aggregations with map-side counts, so a passage held by a third of all documents
 is a handful of rows by the time it is shuffled.
 """
@@ -32,7 +33,7 @@ from xxhash import xxh3_64_intdigest
 from .common import discard, materialize, text_slices
 
 GRAM = 48
-GROUP = 256
+SEGMENT = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -67,7 +68,8 @@ def window_anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.
 
 
 def runs_of(texts: list[bytes], length: int, piece: int = 1 << 24):
-    """(text number, key, first start, number of starts) of every run; runs of equal anchor, in order.
+    """(text number, key, first start, number of starts, distance of the anchor from the first start) of
+    every run; runs of equal anchor, in order.
 
     Texts are laid end to end in pieces; strings that cross a border are left out.
     """
@@ -89,13 +91,13 @@ def runs_of(texts: list[bytes], length: int, piece: int = 1 << 24):
             start = np.arange(lo, lo + len(anchor))
             who = np.searchsorted(edges, start, "right") - 1
             good = start + length <= edges[who + 1]
-            anchor, key, start, who = anchor[good], key[good], start[good], who[good]
+            anchor, key, start, who = anchor[good] + lo, key[good], start[good], who[good]
             if not len(start):
                 continue
             first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)]))
-            out.append((who[first] + at, key[first], start[first] - edges[who[first]], np.diff(np.append(first, len(start)))))
+            out.append((who[first] + at, key[first], start[first] - edges[who[first]], np.diff(np.append(first, len(start))), anchor[first] - start[first]))
         at = end
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
 
 
 def _bytes(text) -> bytes:
@@ -108,16 +110,16 @@ def _signed(hashes) -> pa.Array:
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(row, text) -> (row, start, n, key, context): one row for each run of string starts."""
+    """(row, text) -> (row, start, n, reach, key, context): one row for each run of string starts."""
     def run(batches):
         for b in batches:
             for part in text_slices(b, "text"):
                 texts = [_bytes(t) for t in part.column(1)]
-                who, key, start, n = runs_of(texts, length)
+                who, key, start, n, reach = runs_of(texts, length)
                 ctx = _signed(xxh3_64_intdigest(texts[i][s : s + m - 1 + length]) for i, s, m in zip(who.tolist(), start.tolist(), n.tolist()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), ctx], names=["row", "start", "n", "key", "context"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(reach.astype(np.int32)), pa.array(key), ctx], names=["row", "start", "n", "reach", "key", "context"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, start int, n int, key long, context long")
+    return docs.select("row", "text").mapInArrow(run, "row long, start int, n int, reach int, key long, context long")
 
 
 class LogarithmicIndex:
@@ -146,63 +148,64 @@ class LogarithmicIndex:
         return met
 
 
-def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
-    """(key, context, data) -> (key, context, offs): starts of strings that a key's pieces hold twice."""
-    def settle(group):
-        seen: dict[bytes, int] = {}
-        for _, _, data in group:
-            for i in range(len(data) - length + 1):
-                w = data[i : i + length]
-                seen[w] = seen.get(w, 0) + 1
-        for key, ctx, data in group:
-            offs = [i for i in range(len(data) - length + 1) if seen[data[i : i + length]] > 1]
-            if offs:
-                yield key, ctx, offs
-
+def _segments(pieces: DataFrame, length: int) -> DataFrame:
+    """(key, context, reach, data) -> (key, context, lo, m, core, whole): strings lo .. lo + m - 1 of the piece."""
     def run(batches):
-        group: list = []
         for b in batches:
-            out: list = []
-            for piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if group and group[0][0] != piece[0]:
-                    out += settle(group)
-                    group = []
-                group.append(piece)
-            yield _starts(out)
-        yield _starts(list(settle(group)))
-
-    ordered = pieces.select("key", "context", "data").repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "key long, context long, offs array<int>")
-
-
-def _starts(rows: list) -> pa.RecordBatch:
-    key, ctx, offs = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(offs, pa.list_(pa.int32()))], names=["key", "context", "offs"])
-
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                key, ctx, lo, m, core, whole = [], [], [], [], [], []
+                for k, c, reach, data in zip(*(part.column(i).to_pylist() for i in range(4))):
+                    n = len(data) - length + 1
+                    for g in range((reach - n + 1) // SEGMENT, reach // SEGMENT + 1):
+                        near = reach - g * SEGMENT  # the start whose anchor is nearest in this segment
+                        first, last = max(0, near - SEGMENT + 1), min(n - 1, near)
+                        key.append(k)
+                        ctx.append(c)
+                        lo.append(first)
+                        m.append(last - first + 1)
+                        core.append(xxh3_64_intdigest(data[near : near + length - SEGMENT + 1]))
+                        whole.append(xxh3_64_intdigest(data[first : last + length], last - near & 0xFFFF))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(lo, pa.int32()), pa.array(m, pa.int32()), _signed(core), _signed(whole)], names=["key", "context", "lo", "m", "core", "whole"])
+
+    return pieces.select("key", "context", "reach", "data").mapInArrow(run, "key long, context long, lo int, m int, core long, whole long")
+
+
+def _partly(pieces: DataFrame, length: int) -> DataFrame:
+    """(key, context, reach, data) -> (key, context, spans): strings of a piece that other pieces of its key hold."""
+    parts = materialize(_segments(pieces, length), "suffix-segments")
+    kinds = parts.groupBy("key", "core", "whole").agg(F.count("*").alias("seen"), F.min(F.struct("context", "lo", "m")).alias("at"))
+    kinds = materialize(kinds, "suffix-kinds")
+    mixed = kinds.groupBy("key", "core").agg(F.count("*").alias("n"), F.min("seen").alias("least")).filter("n > 1 and least = 1").select("key", "core")
+    apart = kinds.join(mixed, ["key", "core"], "left_semi").select("key", "core", "whole", "at.*")
 
-def _across_tasks(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys of any size: every string's hash is counted with map-side counts."""
     def strings(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                key, ctx, off, hashes = [], [], [], []
-                for k, c, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    n = len(data) - length + 1
-                    hashes += [xxh3_64_intdigest(data[i : i + length]) for i in range(n)]
-                    key += [k] * n
-                    ctx += [c] * n
-                    off += range(n)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(off, pa.int32()), _signed(hashes)], names=["key", "context", "off", "string"])
-
-    each = pieces.select("key", "context", "data").mapInArrow(strings, "key long, context long, off int, string long")
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                key, core, whole, off, hashes = [], [], [], [], []
+                for k, c, w, lo, m, data in zip(*(part.column(i).to_pylist() for i in range(6))):
+                    hashes += [xxh3_64_intdigest(data[i : i + length]) for i in range(lo, lo + m)]
+                    key += [k] * m
+                    core += [c] * m
+                    whole += [w] * m
+                    off += range(m)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, core, whole)] + [pa.array(off, pa.int32()), _signed(hashes)], names=["key", "core", "whole", "off", "string"])
+
+    each = apart.join(pieces.select("key", "context", "data"), ["key", "context"]).select("key", "core", "whole", "lo", "m", "data")
+    each = materialize(each.mapInArrow(strings, "key long, core long, whole long, off int, string long"), "suffix-strings")
     twice = each.groupBy("key", "string").agg(F.count("*").alias("c")).filter("c > 1").select("key", "string")
-    met = each.join(twice, ["key", "string"], "left_semi")
-    return met.groupBy("key", "context").agg(F.sort_array(F.collect_set("off")).alias("offs"))
+    met = each.join(twice, ["key", "string"], "left_semi").groupBy("key", "core", "whole").agg(F.collect_set("off").alias("offs"))
+    state = kinds.join(met, ["key", "core", "whole"], "left").filter("seen > 1 or offs is not null").select("key", "core", "whole", (F.col("seen") > 1).alias("full"), "offs")
+    state = materialize(state, "suffix-states")
+    one = F.transform("offs", lambda o: F.struct((F.col("lo") + o).alias("lo"), F.lit(1).alias("m")))
+    spans = F.when(F.col("full"), F.array(F.struct("lo", "m"))).otherwise(one)
+    out = parts.join(state, ["key", "core", "whole"]).select("key", "context", spans.alias("s"))
+    return out.groupBy("key", "context").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
-    """(row, text) -> (row, start, offs, n): strings start + o .. start + o + n - 1 also start elsewhere."""
+    """(row, text) -> (row, start, spans): strings start + lo .. start + lo + m - 1 of each span also start elsewhere."""
     found = anchors(docs, length).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
     found = materialize(found, "suffix-anchors")
     index, met = LogarithmicIndex(), []
@@ -215,11 +218,12 @@ def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataF
 
     discard(found, *index.written)
 
-    contexts = posts.groupBy("key", "context").agg(F.count("*").alias("seen"), F.min(F.struct("row", "start", "n")).alias("at"))
+    contexts = posts.groupBy("key", "context").agg(F.count("*").alias("seen"), F.min(F.struct("row", "start", "n", "reach")).alias("at"))
     contexts = materialize(contexts, "suffix-contexts")
     kinds = contexts.groupBy("key").agg(F.count("*").alias("kinds"), F.min("seen").alias("least"))
-    wanted = contexts.join(kinds.filter("kinds > 1 and least = 1").select("key", "kinds"), "key")
-    wanted = wanted.select("key", "context", "kinds", "at.*").groupBy("row").agg(F.collect_list(F.struct("key", "context", "kinds", "start", "n")).alias("runs"))
+    mixed = materialize(kinds.filter("kinds > 1 and least = 1").select("key"), "suffix-mixed")
+    wanted = contexts.join(mixed, "key", "left_semi").select("key", "context", "at.*")
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "context", "start", "n", "reach")).alias("runs"))
 
     def cut(batches):
         for b in batches:
@@ -227,17 +231,20 @@ def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataF
                 out = []
                 for text, runs in zip(part.column(0), part.column(1)):
                     data = _bytes(text)
-                    out += [(r["key"], r["context"], r["kinds"], data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in runs.as_py()]
-                key, ctx, kinds, data = zip(*out) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(kinds, pa.int64()), pa.array(data, pa.binary())], names=["key", "context", "kinds", "data"])
+                    out += [(r["key"], r["context"], r["reach"], data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in runs.as_py()]
+                key, ctx, reach, data = zip(*out) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(reach, pa.int32()), pa.array(data, pa.binary())], names=["key", "context", "reach", "data"])
 
-    pieces = docs.select("row", "text").join(wanted, "row").select("text", "runs").mapInArrow(cut, "key long, context long, kinds long, data binary")
+    pieces = docs.select("row", "text").join(wanted, "row").select("text", "runs").mapInArrow(cut, "key long, context long, reach int, data binary")
     pieces = materialize(pieces, "suffix-pieces")
-    partly = _within_keys(pieces.filter(F.col("kinds") <= GROUP), length).union(_across_tasks(pieces.filter(F.col("kinds") > GROUP), length))
-    status = contexts.join(partly, ["key", "context"], "left").select("key", "context", (F.col("seen") > 1).alias("whole"), "offs")
-    status = status.filter("whole or offs is not null")
+    discard(mixed)
+    # Repeated rows give a piece twice; their contexts are repeats in full, so that counting one twice changes nothing.
+    partly = _partly(pieces, length)
+    status = contexts.join(partly, ["key", "context"], "left").select("key", "context", (F.col("seen") > 1).alias("full"), "spans")
+    status = materialize(status.filter("full or spans is not null"), "suffix-status")
     out = posts.join(status, ["key", "context"])
-    return out.select("row", "start", F.when(F.col("whole"), F.array(F.lit(0))).otherwise(F.col("offs")).alias("offs"), F.when(F.col("whole"), F.col("n")).otherwise(F.lit(1)).alias("n"))
+    all_of_it = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("m")))
+    return out.select("row", "start", F.when(F.col("full"), all_of_it).otherwise(F.col("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_text: bool = True) -> DataFrame:
@@ -250,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    hits = repeated_runs(rows, length, batches).groupBy("row").agg(F.collect_list(F.struct("start", "offs", "n")).alias("runs"))
+    hits = repeated_runs(rows, length, batches).groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(batches):
@@ -259,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
                 out = []
                 for text, runs in zip(part.column(1), part.column(2)):
                     data = _bytes(text)
-                    spans = sorted((r["start"] + o, r["start"] + o + r["n"] - 1 + length) for r in runs.as_py() or () for o in r["offs"])
+                    spans = sorted((r["start"] + x["lo"], r["start"] + x["lo"] + x["m"] - 1 + length) for r in runs.as_py() or () for x in r["spans"])
                     merged: list[list[int]] = []
                     for s, e in spans:
                         if merged and s <= merged[-1][1]:
