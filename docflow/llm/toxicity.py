@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
-Lexicons are found on a bounded sample of labelled rows outside the held-out fold: words and word
+Lexicons are found on a bounded sample of labelled rows outside the held-out fold, near copies counted
+once (else every word of a much copied toxic document would look like a toxic word): words and word
 beginnings that occur in far more toxic than clean documents, by a likelihood ratio above the
-logarithm of the number of candidates. They are dealt into voters by kind, and pattern voters look
+logarithm of the number of candidates, and hardly in clean ones. They are dealt into voters by kind, and pattern voters look
 at how many entries a document hits and how densely. A generative model of the votes (two latent
 classes, fitted by expectation maximisation) estimates each voter's accuracy in either class, and the
 correlations of voters given the class discount voters that repeat each other. A linear classifier is
@@ -15,8 +16,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: Labelled rows the model is fitted on, at most.
 SAMPLE = 20_000
@@ -27,6 +29,10 @@ BEGINNINGS = (4, 5, 6, 7)
 VOTERS_A_KIND = 8
 KINDS = 1 + len(BEGINNINGS)
 PATTERNS = 4
+#: Least share of toxic documents among those with a lexicon entry.
+PURITY = 0.9
+#: Minimum hashes that tell near copies: a row stays if it comes first among its equals in each.
+SKETCH = 4
 
 
 def distinct_words(text: str | None) -> set[bytes]:
@@ -38,6 +44,32 @@ def traits(word: bytes) -> list[bytes]:
     return [b"0" + word, *(b"%d" % k + word[:n] for k, n in enumerate(BEGINNINGS, 1) if len(word) >= n)]
 
 
+def sketch(text: str | None) -> list[int]:
+    """SKETCH minimum hashes of the three-word shingles; equal texts have equal ones, near copies most."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = np.fromiter(map(xxh64_intdigest, shingles), np.uint64, len(shingles))
+    out = []
+    for k in range(SKETCH):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        out.append(int(h.min().view(np.int64)))
+    return out
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """(l_id, text, toxic) -> (text, toxic) without near copies; rows are a bounded sample."""
+    def run(batches):
+        for b in batches:
+            marks = pa.array([sketch(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, marks], names=[*b.schema.names, "marks"])
+
+    df = rows.select("l_id", "text", "toxic").mapInArrow(run, "l_id long, text string, toxic int, marks array<long>")
+    for k in range(SKETCH):
+        w = Window.partitionBy(F.get("marks", F.lit(k))).orderBy("l_id")
+        df = df.withColumn(f"n{k}", F.row_number().over(w))
+    return df.filter(" and ".join(f"n{k} = 1" for k in range(SKETCH))).select("text", "toxic")
+
+
 @dataclass
 class Model:
     voter_of: dict[bytes, int] = field(default_factory=dict)
@@ -126,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled doc_ids outside the held-out fold, drawn by hash."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out("l_id")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
-    rows = rows.persist()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), F.col("doc_id") == F.col("l_id"))
+    rows = one_of_each(rows).persist()
     try:
         count = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         toxic, total = count.get(1, 0), sum(count.values())
@@ -147,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         seen = rows.mapInArrow(spread, "trait binary, toxic long").groupBy("trait").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter("n >= 3")
         rate, k = toxic / total, F.col("bad")
         ratio = k * F.log(k / F.col("n") / rate) + F.when(k < F.col("n"), (F.col("n") - k) * F.log((F.col("n") - k) / F.col("n") / (1 - rate))).otherwise(0.0)
-        seen = seen.filter((k >= 3) & (k / F.col("n") > max(0.5, rate))).withColumn("ratio", ratio)
+        seen = seen.filter((k >= 3) & (k / F.col("n") >= max(PURITY, rate))).withColumn("ratio", ratio)
         candidates = seen.count()
         lexicon = seen.filter(F.col("ratio") > np.log(max(candidates, 1)) + 6).orderBy(F.desc("ratio"), "trait").limit(8192).collect()
         if not lexicon:
