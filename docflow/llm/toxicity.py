@@ -16,10 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from .common import materialize
+
 #: Labelled rows the model is fitted on, at most.
 SAMPLE = 20_000
 FOLDS = 5
@@ -64,10 +66,12 @@ def one_of_each(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, marks], names=[*b.schema.names, "marks"])
 
     df = rows.select("l_id", "text", "toxic").mapInArrow(run, "l_id long, text string, toxic int, marks array<long>")
+    df = materialize(df, "toxic-sample")
+    kept = df
     for k in range(SKETCH):
-        w = Window.partitionBy(F.get("marks", F.lit(k))).orderBy("l_id")
-        df = df.withColumn(f"n{k}", F.row_number().over(w))
-    return df.filter(" and ".join(f"n{k} = 1" for k in range(SKETCH))).select("text", "toxic")
+        first = df.groupBy(F.get("marks", F.lit(k)).alias("mark")).agg(F.min("l_id").alias("l_id")).select("l_id")
+        kept = kept.join(first, "l_id", "left_semi")
+    return kept.select("text", "toxic")
 
 
 @dataclass
