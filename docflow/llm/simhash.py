@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, blocks: int = 5, shard_row
     linked = roots.join(reps, F.col("node") == F.col("fp"))
     lowest = linked.groupBy("root").agg(F.min("rep").alias("low"))
     moved = linked.join(lowest, "root").select("fp", "low")
-    classes = reps.join(moved, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    # Written, so that the join below has a plain exchange on both sides and a hot fingerprint can be split.
+    classes = materialize(reps.join(moved, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")), "classes")
     out = f.join(classes, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
