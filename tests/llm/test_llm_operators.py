@@ -470,3 +470,26 @@ def test_label_model_finds_two_classes():
     y = rng.random(2000) < 0.2
     votes = np.where(y[:, None], rng.random((2000, 12)) < 0.5, rng.random((2000, 12)) < 0.02).astype(float)
     assert ((toxicity.label_model(votes) > 0.5) == y).mean() > 0.97
+
+
+def test_copies_of_a_toxic_document_lend_no_words(spark):
+    rng = random.Random(13)
+    bad = ["moronix", "idiotum", "scumwort"]
+    rows, marks = [], []
+    for i in range(600):
+        w = [f"plain{rng.randrange(3000)}" for _ in range(60)]
+        toxic = i % 6 == 0
+        if toxic:
+            w[10], w[30] = rng.sample(bad, 2)
+        rows.append((i, " ".join(w), "s"))
+        marks.append((i, int(toxic)))
+    for i in range(600, 700):  # near copies of one toxic text with words of its own
+        w = [f"own{k}" for k in range(80)]
+        w[5], w[50], w[70] = "moronix", "idiotum", f"plain{i}"
+        rows.append((i, " ".join(w), "s"))
+        marks.append((i, 1))
+    clean = list(range(700, 760))
+    rows += [(i, " ".join([f"own{k}" for k in rng.sample(range(80), 8)] + [f"plain{rng.randrange(3000)}" for _ in range(40)]), "s") for i in clean]
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs_of(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert sum(got[i] for i in clean) == 0
+    assert np.mean([got[i] == y for i, y in marks]) > 0.97
