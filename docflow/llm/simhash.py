@@ -40,14 +40,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, fp): one row for each row, null texts included."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """documents -> (doc_id, fp) and the long columns `more`: one row for each row, null texts included."""
     def run(batches):
         for b in batches:
             fps = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
 
 
 class BKTree:
@@ -157,8 +158,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, blocks: int = 5, shard_row
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """documents -> the rows whose doc_id stands for its near-duplicate class, once each."""
-    kept = near_duplicates(docs, **params).select(F.col("component_id").alias("doc_id")).distinct()
-    whole = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
-    return whole.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, radius: int = 3, blocks: int = 5, shard_rows: int = 256) -> DataFrame:
+    """documents -> exactly one row of each near-duplicate class, all its columns.
+
+    The row is the one of the smallest doc_id, null last, and of the smallest hash of all columns where
+    rows share it. Classes are told apart by fingerprints, so null or shared doc_ids lose no class. Rows
+    are found again by a hash of 128 bits over every column, which only equal rows share.
+    """
+    cells = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    docs = docs.withColumns({"_h1": F.xxhash64(*cells), "_h2": F.xxhash64(F.lit(1), *cells)})
+    f = materialize(fingerprints(docs, "_h1", "_h2"), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
+    reps = materialize(f.groupBy("fp").agg(F.min(row).alias("row")), "classes")
+    roots = connected_components(near_links(reps.select("fp"), radius, blocks, shard_rows))
+    named = reps.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "row")
+    kept = named.groupBy("root").agg(F.min("row").alias("row")).select("row._h1", "row._h2").distinct()
+    return docs.join(kept, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")

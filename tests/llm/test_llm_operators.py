@@ -173,6 +173,17 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs_of(spark, rows)).collect()) == [0, 1, 9]
 
 
+def test_null_and_shared_ids_lose_no_class(spark):
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(None, a, "s"), (None, b, "s"), (None, None, "s"), (7, c, "s"), (7, c, "s"), (7, d, "s"), (8, d, "s"), (9, b, "s"), (9, b, "t")]
+    docs = docs_of(spark, rows)
+    got = Tally((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert got == Tally([(None, a), (9, b), (None, None), (7, c), (7, d)])
+    one = simhash.keep_one(docs)
+    assert one.columns == docs.columns and Tally(one.collect()) == Tally(simhash.keep_one(docs.repartition(5)).collect())
+
+
 # 3 quality
 
 
