@@ -187,6 +187,18 @@ def test_null_and_shared_ids_lose_no_class(spark):
 # 3 quality
 
 
+def test_compression_sees_the_whole_text_once():
+    import zlib
+
+    rng = random.Random(4)
+    end = words(rng, 9000)
+    assert len(end) > 1 << 15
+    dull, mixed = (end + m + end for m in ("same " * 20000, words(rng, 20000)))
+    for t in (dull, mixed, "short text of a few words", "é" * 40):
+        assert quality.features(t)[-1] == len(zlib.compress(t.encode(), 1)) / len(t.encode())
+    assert quality.features(dull)[-1] < 0.8 * quality.features(mixed)[-1]
+
+
 def test_sparse_sites_fall_back_and_quality_is_learnt(spark, tables):
     d, l = tables("documents", "0.01"), tables("labels", "0.01")
     got = {r.doc_id: r for r in quality.site_quality(d, l).collect()}
