@@ -6,8 +6,9 @@ undecided. The token streams of all pages of a host, article text apart, are con
 block, and their suffixes ordered by (host, first `run` tokens): neighbours in that order that agree
 over `run` tokens (or over a whole shorter block) and come from distinct pages are long repeated
 substrings, so the tokens they cover are boilerplate.
-Ordered to that depth a group of equal suffixes needs only its smallest and largest page, which is an
-aggregation with map-side minima and maxima: a footer on a third of all pages is one row per task.
+Copies of a page (equal text apart from what is barred) count once, and a run counts only if enough
+pages of different text hold it, so copies and quoted passages stay. Ordered to that depth a group of
+equal suffixes needs only its count, summed map-side: a footer on a third of all pages is one row per task.
 Undecided blocks lose their covered tokens and keep their unique runs.
 """
 
@@ -24,6 +25,8 @@ from xxhash import xxh3_64_intdigest
 from .common import materialize, text_slices
 
 RUN = 8
+LEAST_PAGES = 3
+LEAST_SHARE = 0.1
 _ITEM = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|math|canvas|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -34,6 +37,7 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("nav header footer aside form menu button dialog head fieldset search".split())
 _MAIN = frozenset("article main".split())
+_KEPT = _MAIN | {"html", "body"}
 _SHUTS_P = _BLOCK - {"body", "html", "head"}
 # Words of class, id and role attributes that mark what is not the article.
 _MARKS = frozenset(
@@ -56,11 +60,20 @@ def _marked(attributes: str) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of each block in page order: kind 2 in an article, 1 undecided, 0 not the article."""
+    """(text, kind) of each block in page order: kind 2 in an article, 1 undecided, 0 not the article.
+
+    Class words never bar html, body, main or article. Where every article lies in a form or in what
+    class words bar, these do not bar it either.
+    """
+    out = _blocks(page, False)
+    return out if any(kind == 2 for _, kind in out) else _blocks(page, True)
+
+
+def _blocks(page: str | None, lift: bool) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
-    open_: list[tuple[str, int, int]] = []  # name, barred and main counts outside it
+    open_: list[tuple[str, int, int, int]] = []  # name, barred, main and soft counts outside it
     held: list[str] = []
-    barred = main = 0
+    barred = main = soft = 0  # soft: bars by class words or form, which an article lifts
     at = 0
     page = page or ""
 
@@ -71,8 +84,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             out.append((text, 0 if barred else 2 if main else 1))
 
     def close_to(i: int):
-        nonlocal barred, main
-        _, barred, main = open_[i]
+        nonlocal barred, main, soft
+        _, barred, main, soft = open_[i]
         del open_[i:]
 
     for m in _ITEM.finditer(page):
@@ -100,12 +113,18 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 close_to(i)
         if name in _VOID or m[4].endswith("/") and name not in _BLOCK:
             continue
-        open_.append((name, barred, main))
+        open_.append((name, barred, main, soft))
+        if lift and name in _MAIN and barred == soft:
+            barred = soft = 0
         inside_main = main and name in ("header", "footer")
         if name in _MAIN and not barred:
             main += 1
-        if name in _OUT and not (inside_main and name == "header") or _marked(m[4]):
+        if name in _OUT and not (inside_main and name == "header"):
+            barred += 1
+            soft += name == "form" and not _HIDDEN.search(m[4])
+        elif _marked(m[4]) and (name not in _KEPT or _HIDDEN.search(m[4])):
             barred += 1
+            soft += not _HIDDEN.search(m[4])
     if at < len(page):
         held.append(page[at:])
     flush()
@@ -132,8 +151,8 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
 
     Character references are decoded; white space inside a block becomes one space; `br` parts blocks.
     Null html is empty and gives an empty text. A page without an article keeps its undecided blocks
-    but for tokens covered by runs of `run` or more tokens that other pages of its host also have;
-    copies of a page cover one another there. Null urls share the host "". Repeated rows are the same
+    but for tokens covered by runs of `run` or more tokens that LEAST_PAGES pages of its host and
+    LEAST_SHARE of them hold, copies counted once. Urls without a host lose nothing. Repeated rows are the same
     page if page_id and url agree. Other columns are ignored. Empty in, empty out.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string").alias("text"))
@@ -141,17 +160,19 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     def parse(batches):
         for b in batches:
             for part in text_slices(b, "text"):
-                ids, urls, sure, rest = part.column(0), part.column(1), [], []
+                ids, urls, sure, rest, copy = part.column(0), part.column(1), [], [], []
                 for t in part.column(2):
                     found = blocks(t.as_py())
                     settled = not any(kind == 1 for _, kind in found)
                     sure.append("\n".join(text for text, kind in found if kind == 2) if settled else None)
+                    h = xxh3_64_intdigest("\n".join(text for text, kind in found if kind))
+                    copy.append(h - (1 << 64) if h >= 1 << 63 else h)
                     rest.append([{"text": text, "kind": kind} for text, kind in found if not settled or kind < 2])
                 kinds = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
                 hosts = pa.array([_host(u.as_py()) for u in urls], pa.string())
-                yield pa.RecordBatch.from_arrays([ids, urls, hosts, pa.array(sure, pa.string()), pa.array(rest, kinds)], names=["page_id", "url", "host", "sure", "blocks"])
+                yield pa.RecordBatch.from_arrays([ids, urls, hosts, pa.array(sure, pa.string()), pa.array(rest, kinds), pa.array(copy, pa.int64())], names=["page_id", "url", "host", "sure", "blocks", "copy"])
 
-    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, sure string, blocks array<struct<text:string,kind:int>>")
+    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, sure string, blocks array<struct<text:string,kind:int>>, copy long")
     parsed = materialize(parsed.withColumn("page", F.xxhash64("page_id", "url")), "page-blocks")
 
     def index(batches):
@@ -164,8 +185,11 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
                 keys += own
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(keys, pa.int64())], names=["host", "page", "key"])
 
-    suffixes = parsed.select("host", "page", "blocks").mapInArrow(index, "host string, page long, key long")
-    repeated = suffixes.groupBy("host", "key").agg(F.min("page").alias("a"), F.max("page").alias("z")).filter("a < z").select("host", "key")
+    once = parsed.filter("host <> ''").groupBy("host", "copy").agg(F.min(F.struct("page", "blocks")).alias("x"))
+    suffixes = once.select("host", "x.page", "x.blocks").mapInArrow(index, "host string, page long, key long")
+    sizes = parsed.groupBy("host").agg(F.countDistinct("copy").alias("pages"))
+    repeated = suffixes.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    repeated = repeated.join(sizes, "host").filter(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "key")
     undecided = parsed.filter("sure is null")
     theirs = undecided.select("host", "page", "blocks").mapInArrow(index, "host string, page long, key long")
     covered = theirs.join(repeated, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_list("key").alias("keys"))

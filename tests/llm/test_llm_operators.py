@@ -357,6 +357,23 @@ def test_runs_shared_by_pages_of_a_host_go(spark):
     assert got[3] == "page 3 has its own long text number 21 to keep" and got[99] == common
 
 
+def test_copies_quotes_and_hostless_pages_keep_their_text(spark):
+    rng = random.Random(6)
+    quote, copy, foot = words(rng, 20), words(rng, 50), words(rng, 12)
+    own = [words(rng, 30) for _ in range(10)]
+    rows = [(i, f"http://h.org/{i}", f"<p>{w}</p>" + (f"<p>{quote}</p>" if i < 2 else "") + f"<p>{foot}</p>") for i, w in enumerate(own)]
+    rows += [(20 + i, f"http://h.org/c{i}", f"<p>{copy}</p>") for i in range(5)] + [(30 + i, None, f"<p>{copy}</p><p>{own[i]}</p>") for i in range(5)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: w + ("\n" + quote if i < 2 else "") for i, w in enumerate(own)} | {20 + i: copy for i in range(5)} | {30 + i: copy + "\n" + own[i] for i in range(5)}
+
+
+@pytest.mark.parametrize("around", ["<body class='has-sidebar'>{}</body>", "<div id='no-sidebar'>{}</div>", "<form>{}</form>", "<main class='form'>{}</main>"])
+def test_ancestors_do_not_bar_the_article(around):
+    page = around.format("<div class='ad'>buy</div><article class='post header'>text<div class='ad'>buy</div></article><nav>menu</nav>")
+    assert [text for text, kind in htmltext.blocks(page) if kind == 2] == ["text"]
+    assert not any(kind for _, kind in htmltext.blocks("<div hidden><article>x</article></div><nav><article>y</article></nav>"))
+
+
 def test_pages_give_their_article(spark, tables):
     import html as h
 
