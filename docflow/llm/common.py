@@ -46,6 +46,22 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that df has already (Spark takes no note of case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def share_below(share: float, *columns):
+    """Rows drawn by a hash of the columns with probability `share`, the same ones on every run."""
+    return F.pmod(F.xxhash64(F.lit("draw"), *columns), F.lit(1 << 52)) < F.lit(int(min(1.0, share) * (1 << 52)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

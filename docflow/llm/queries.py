@@ -83,15 +83,14 @@ ORACLES = {
     """,
     "op5_vector_top_k": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-          FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                 CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-          FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+          SELECT q.n AS query, q.vec_id AS query_id, c.vec_id AS vec_id,
+                 coalesce(CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT), 0) AS score
+          FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.n <> c.n
         ), r AS (
-          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
