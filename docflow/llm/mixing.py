@@ -1,12 +1,12 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source is one stream of words, its documents laid end to end and cut into blocks of `block`
-words. Output shards of `shard_slots` slots get their source counts by a systematic multinomial draw:
-one random offset a shard, then evenly spaced points over the cumulative target shares. Every share
-has the expectation of independent draws, and no shard is off by a whole slot. A source's slots,
-counted through all shards, run through pseudorandom permutations of its block indices, one for each
-epoch (swap-or-not shuffles, which permute any number of blocks exactly); joining on (source, index)
-gives each slot its block.
+words. A source takes as many slots as its target has blocks. A pseudorandom permutation of all slots
+deals them to output shards of `shard_slots`, so the source counts of a shard are a multinomial draw
+given the totals (without replacement): a shard's counts vary as drawn ones do, and the totals stand.
+A source's slots run through pseudorandom permutations of its block indices, one for each epoch
+(swap-or-not shuffles, which permute any number of blocks exactly); joining on (source, index) gives
+each slot its block.
 
 Stream positions come from a two-level prefix sum: documents are dealt by hash into as many buckets
 as the square root of the row count, so a hot source spreads over its buckets and neither the rows of
@@ -20,12 +20,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 BLOCK = 64
 ROUNDS = 12
+#: Slots that stay together when slots are dealt to tasks, slots a task has in mind, and tasks at most.
+PART, TASK_SLOTS, MOST_TASKS = 4096, 1 << 18, 20_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -47,10 +49,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     return s.withColumn("target", F.least(F.col("most"), F.col("w") * F.coalesce(level, F.lit(float("inf"))))).select("source", "source_size", "target")
 
 
-def permuted(i: Column, n: Column, *salt) -> Column:
-    """Swap-or-not: a pseudorandom permutation of 0 .. n - 1, for any n."""
+def permuted(i: Column, n: Column, *salt: Column) -> Column:
+    """Swap-or-not: a pseudorandom permutation of 0 .. n - 1, for any n.
+
+    One fold over the rounds: a chain of projections would run in generated code, but Catalyst's
+    constraints grow with two to the power of its length.
+    """
     def swap(x, r):
-        other = F.pmod(F.xxhash64(F.lit("key"), r, n, *salt) - x, n)
+        other = F.pmod(F.pmod(F.xxhash64(F.lit("key"), r, n, *salt), n) - x, n)
         return F.when(F.pmod(F.xxhash64(F.greatest(x, other), r, n, *salt), F.lit(2)) == 1, other).otherwise(x)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i, swap)
@@ -74,25 +80,24 @@ def laid_out(docs: DataFrame) -> DataFrame:
 
 
 def draw_slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = 65536, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target) -> source, out_shard, slot, index: the block each slot takes."""
+    """(source, source_size, target) -> source, out_shard, slot, index: the block each slot of a shard takes.
+
+    goals has a row a source and is read twice: write it first.
+    """
     g = goals.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
-    g = g.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
-    whole = Window.partitionBy()
-    upto = Window.orderBy(F.col("source").asc_nulls_last())
-    g = g.withColumn("slots", F.sum("want").over(whole))
-    g = g.withColumn("hi", F.sum("want").over(upto) / F.col("slots")).withColumn("lo", F.col("hi") - F.col("want") / F.col("slots"))
-    g = g.withColumn("hi", F.when(F.row_number().over(upto) == F.count("*").over(whole), F.lit(1.0)).otherwise(F.col("hi")))
-    g = g.withColumn("slots", F.round("slots").cast("long")).withColumn("out_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))))
-    n = F.least(F.lit(shard_slots), F.col("slots") - F.col("out_shard") * shard_slots)
-    u = F.pmod(F.xxhash64(F.lit("offset"), "out_shard"), F.lit(1 << 30)) / float(1 << 30)
-    g = g.withColumn("drawn", F.greatest(F.ceil(F.col("hi") * n - u) - F.ceil(F.col("lo") * n - u), F.lit(0).cast("long")))
-    ahead = Window.partitionBy("source").orderBy("out_shard").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("first", F.coalesce(F.sum("drawn").over(ahead), F.lit(0).cast("long")))
-    g = g.withColumn("drawn", F.least(F.col("drawn"), cap * F.col("blocks") - F.col("first"))).filter("drawn > 0")
-    g = g.repartition(F.col("source"), F.col("out_shard"))
-    g = g.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)))
-    index = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source"), F.floor(F.col("slot") / F.col("blocks")))
-    return g.select("source", "out_shard", "slot", index.alias("index"))
+    want = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    g = g.withColumn("slots", F.least(want, cap * F.col("blocks"))).filter("slots > 0")
+    total = g.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    ahead = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("before", F.coalesce(F.sum("slots").over(ahead), F.lit(0).cast("long")))
+    g = g.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / PART))))
+    tasks = max(g.sparkSession.sparkContext.defaultParallelism, min(total // TASK_SLOTS + 1, MOST_TASKS))
+    g = g.repartition(tasks, "source", "part")
+    own = F.sequence(F.col("part") * PART, F.least((F.col("part") + 1) * PART, F.col("slots")) - 1)
+    g = g.withColumn("i", F.explode(own))
+    index = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.col("source"), F.floor(F.col("i") / F.col("blocks")))
+    g = g.select("source", index.alias("index"), permuted(F.col("before") + F.col("i"), F.lit(total).cast("long")).alias("place"))
+    return g.select("source", F.floor(F.col("place") / shard_slots).alias("out_shard"), (F.col("place") % shard_slots).alias("slot"), "index")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:
@@ -122,13 +127,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
 
     A document of which `taken` of `size` words are taken comes taken / size times, the broken part
     rounded by a hash of its doc_id, so that a source keeps its share of words on the whole and no
-    document comes more than cap times. Documents without words are not in the mixture.
+    document comes more than cap times. Documents without words are not in the mixture. Rows that share
+    a doc_id (null is one more) come equally often. Columns of any name are carried. Empty in, empty out.
     """
+    n, key, copy = fresh(docs, "copies", "id", "copy")
     used = mix(docs, weights, cap, block).filter("taken > 0").select("doc_id", "size", "taken")
     used = used.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     share = F.col("taken") / F.col("size")
     u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    copies = used.select("doc_id", F.floor(share + u).cast("int").alias("copies__")).filter("copies__ > 0")
-    copies = copies.withColumnRenamed("doc_id", "id__")
-    met = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("id__")))
-    return met.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(docs.columns)
+    copies = used.select(F.col("doc_id").alias(key), F.floor(share + u).cast("int").alias(n)).filter(F.col(n) > 0)
+    met = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(key)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -255,21 +255,40 @@ def test_spans_are_cut(spark):
 # 5 vectors
 
 
+def plain_top_k(vecs, k=10):
+    """Answers of every query row: each of the other rows is a candidate."""
+    ok = [(i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i, v in vecs if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = Tally()
+    for at, (q, v) in enumerate(ok):
+        if q is not None and q % 100 == 0:
+            bounded = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+            s = sorted((-bounded(sum(a * b for a, b in zip(v, w))), i is None, i or 0) for j, (i, w) in enumerate(ok) if j != at)[:k]
+            want.update((q, r, None if none else i, -x) for r, (x, none, i) in enumerate(s, 1))
+    return want
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     vecs = [(int(i), [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(700)]
-    vecs += [(int(i), vecs[3][1]) for i in range(700, 760)] + [(800, None), (900, [1.0, None] * 4), (901, [float("nan")] * 8), (902, [float("inf")] * 8), (1000, [0.0] * 8), (1100, [9.0, 1.0]), (None, [1.0] * 8)]
+    vecs += [(int(i), vecs[3][1]) for i in range(700, 760)] + [(800, None), (900, [1.0, None] * 4), (901, [float("nan")] * 8), (902, [float("inf")] * 8), (1000, [0.0] * 8), (1100, [9.0, 1.0]), (1200, []), (1201, [])]
+    vecs += [(None, [1.0] * 8), (None, [2.0] * 8), (None, vecs[100][1])]
+    vecs += [vecs[100], vecs[100], (200, [3.0] * 8), (200, [0.5] * 8), vecs[5], vecs[5], vecs[5]]  # ids that repeat
     e = spark.createDataFrame([(i, v, 1, 2) for i, v in vecs], "vec_id long, embedding array<float>, label int, v int")
-    ok = [(i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v] + [0] * (8 - len(v))) for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    want = set()
-    for q, v in ok:
-        if q % 100 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:10]
-            want |= {(q, r, i, -x) for r, (x, i) in enumerate(s, 1)}
+    want = plain_top_k(vecs)
     for block in (4096, 3):
-        assert set(map(tuple, vafile.top_k(e, query_block=block).collect())) == want
+        assert Tally(map(tuple, vafile.top_k(e, query_block=block).collect())) == want
     assert vafile.top_k(e.limit(0)).count() == 0
-    assert sorted(map(tuple, vafile.top_k(e.filter("vec_id in (100, 101)")).collect()))[0][:3] == (100, 1, 101)
+    assert sorted(map(tuple, vafile.top_k(e.filter("vec_id in (500, 101)")).collect()))[0][:3] == (500, 1, 101)
+    assert vafile.top_k(e.filter("size(embedding) = 0")).collect()[0][:4] == (1200, 1, 1201, 0)
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(7)
+    vecs = [(int(i), [float(np.float32(x * 10.0 ** rng.integers(0, 13))) for x in rng.normal(size=4)]) for i in range(300)]
+    e = spark.createDataFrame([(i, v) for i, v in vecs], "vec_id long, embedding array<float>")
+    assert Tally(map(tuple, vafile.top_k(e).collect())) == plain_top_k(vecs)
+    huge = spark.createDataFrame([(0, [3e15, 3e38]), (1, [-3e15, 3e38]), (2, [1.0, -3e38])], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in vafile.top_k(huge).orderBy("rank").collect()] == [1, 2]
 
 
 # 6 repeated substrings
@@ -410,6 +429,13 @@ def test_shards_are_even_and_gapless(spark, tables):
     rows = [(i, words(rng, rng.randrange(200)), "s") for i in range(3000)] + [(i, "copy " * 50, "s") for i in range(3000, 4500)] + [(None, None, None), (1, "", "s"), (1, "", "s")]
     for sample in (16384, 400):
         check_shards(sharding.shard_by_bytes(docs_of(spark, rows), sample=sample).collect(), rows)
+    same = [(5, "x" * 400, "s")] * 1000 + [(i, words(rng, 60), "s") for i in range(1000)] + [(None, words(rng, 60), "s") for _ in range(500)] + [(None, None, None)] * 300
+    out = sharding.shard_by_bytes(docs_of(spark, same)).collect()
+    check_shards(out, same)
+    by = Tally()
+    for r in out:
+        by[r.shard] += r.size
+    assert len(by) == 24 and max(by.values()) < 1.1 * sum(by.values()) / 24 and min(by.values()) > 0.9 * sum(by.values()) / 24
     for few in (rows[:1], rows[:30], []):
         check_shards(sharding.shard_by_bytes(docs_of(spark, few) if few else docs_of(spark, rows).limit(0)).collect(), few)
     d = tables("documents")
@@ -470,8 +496,21 @@ def test_permutation_is_one(spark, n):
     assert sorted(r[0] for r in got) == list(range(n))
 
 
+def test_slots_of_a_shard_are_drawn_and_totals_stand(spark):
+    goals = spark.createDataFrame([("a", 64_000, 64_000.0), ("b", 6_400, 19_200.0), (None, 640, 100.0), ("none", 0, 0.0)], "source string, source_size long, target double")
+    got = mixing.draw_slots(goals, shard_slots=100).collect()
+    assert Tally(r.source for r in got) == {"a": 1000, "b": 300, None: 2}
+    assert sorted((r.out_shard, r.slot) for r in got) == [(i // 100, i % 100) for i in range(1302)]
+    assert all(n in (1, 2) for n in Tally(r["index"] for r in got if r.source == "a").values()) and set(Tally(r["index"] for r in got if r.source == "b").values()) == {3}
+    counts = Tally(r.out_shard for r in got if r.source == "b" and r.out_shard < 13)
+    spread = np.var([counts[s] for s in range(13)])
+    assert 4 < spread < 50  # 100 draws of chance 0.23: variance 17.7, a little less without replacement
+
+
 def test_mixed_documents_come_whole_and_at_most_thrice(spark, tables):
-    d = tables("documents", "0.01")
+    from pyspark.sql import functions as F
+
+    d = tables("documents", "0.01").withColumns({c: F.lit(7) for c in ("copies", "Copy", "id", "size", "taken", "copies__")})
     out = mixing.mixed_documents(d)
     assert out.columns == d.columns
     texts = {r.doc_id: r.text for r in d.collect()}
