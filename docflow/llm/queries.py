@@ -9,8 +9,7 @@ from .common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return tokencount.recount(docs, tokencount.planned_edits(docs))
+    return tokencount.recount_rows(tokencount.planned_edits(table(spark, sf_dir, "documents")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

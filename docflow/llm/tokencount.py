@@ -190,9 +190,15 @@ def recount(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) ->
     null `new` deletes; null positions are 0. A document without edits keeps its count. A doc_id that
     repeats gets the edits in each of its rows; null doc_ids get none. Other columns are ignored.
     """
-    todo = edits.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("e_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0)).alias("start"), F.coalesce(F.col("stop").cast("long"), F.lit(0)).alias("stop"), F.coalesce(F.col("new"), F.lit("")).alias("new")))).alias("todo"))
+    todo = edits.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("e_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0)).alias("start"), F.coalesce(F.col("stop").cast("long"), F.lit(0)).alias("stop"), F.coalesce(F.col("new"), F.lit("")).alias("new")))).alias("edits"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(todo, F.col("doc_id") == F.col("e_id"), "left")
-    return rows.select("doc_id", "text", "todo").mapInArrow(_recounter(vocabulary), _SCHEMA)
+    return recount_rows(rows, vocabulary)
+
+
+def recount_rows(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """recount() of documents that carry their own `edits`, an array of (seq, start, stop, new) in order:
+    no row is moved. A null array is no edits."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "edits").mapInArrow(_recounter(vocabulary), _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, n_pretokens long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_encoded long"
@@ -221,15 +227,20 @@ _ARROW = pa.schema([(n, pa.int64()) for n in _NAMES])
 
 
 def planned_edits(docs: DataFrame, per_document: int = 3) -> DataFrame:
-    """An edit log made from the documents themselves: (doc_id, seq, start, stop, new).
+    """(doc_id, text, edits): documents with edits made from themselves, in place.
 
-    Every document gets `per_document` edits at hashed places: a replacement by a passage of its own
-    text, a deletion, an insertion, in turn.
+    Every row with a doc_id gets `per_document` edits at hashed places: a replacement by a passage of
+    its own text, a deletion, an insertion, in turn. Rows that repeat a doc_id get their own.
     """
-    place = lambda salt, n: F.pmod(F.xxhash64("doc_id", "seq", F.lit(salt)), n)
-    size = F.greatest(F.length("text"), F.lit(1)).cast("long")
-    e = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(per_document - 1))))
-    start, cut = place("start", size), place("cut", F.lit(80))
-    new = F.when(F.col("seq") % 3 == 1, "").otherwise(F.substring("text", (place("from", size) + 1).cast("int"), place("take", F.lit(60)).cast("int") + 1))
-    stop = F.when(F.col("seq") % 3 == 2, start).otherwise(start + cut)
-    return e.select("doc_id", "seq", start.alias("start"), stop.alias("stop"), new.alias("new"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = F.greatest(F.length(text), F.lit(1)).cast("long")
+
+    def edit(seq: int):
+        place = lambda salt, n: F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seq), F.lit(salt)), n)
+        start = place("start", size)
+        new = F.lit("") if seq % 3 == 1 else F.substring(text, (place("from", size) + 1).cast("int"), place("take", F.lit(60)).cast("int") + 1)
+        stop = start if seq % 3 == 2 else start + place("cut", F.lit(80))
+        return F.struct(F.lit(seq).cast("long").alias("seq"), start.alias("start"), stop.alias("stop"), new.alias("new"))
+
+    edits = F.array(*[edit(i) for i in range(per_document)])
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.when(F.col("doc_id").isNotNull(), edits).alias("edits"))
