@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize
+from .common import fresh, materialize, share_below
 
 #: Labelled rows the model is fitted on, at most.
 SAMPLE = 20_000
@@ -158,12 +158,26 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50)
     return w
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, keep=None) -> DataFrame:
+    """(l_id, text, label): about `sample` distinct labelled texts, at random by hash; the larger of repeated labels.
+
+    Both the labels and the rows they meet are counted first and then drawn by a threshold, so that
+    neither many labels nor many texts of one doc_id reach one task or the driver.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(label).cast("int").alias(label))
+    known = known if keep is None else known.filter(keep)
+    # The broadcast side is bounded by this draw: twice the sample, give or take its root.
+    known = known.filter(share_below(2 * sample / max(1, known.count()), "l_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.xxhash64("text").alias("h")).join(F.broadcast(known.select("l_id")), "l_id")
+    share = sample / max(1, rows.distinct().count())
+    met = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string")).join(F.broadcast(known), "l_id")
+    return met.filter(share_below(share, "l_id", "text")).dropDuplicates(["l_id", "text"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled doc_ids outside the held-out fold, drawn by hash."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.filter(~held_out("l_id")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), F.col("doc_id") == F.col("l_id"))
-    rows = one_of_each(rows).persist()
+    """Fit on about `sample` labelled texts outside the held-out fold, drawn by hash."""
+    rows = one_of_each(labelled(docs, labels, "toxic", sample, ~held_out("l_id"))).persist()
     try:
         count = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         toxic, total = count.get(1, 0), sum(count.values())
@@ -183,9 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         seen = rows.mapInArrow(spread, "trait binary, toxic long").groupBy("trait").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter("n >= 3")
         rate, k = toxic / total, F.col("bad")
         ratio = k * F.log(k / F.col("n") / rate) + F.when(k < F.col("n"), (F.col("n") - k) * F.log((F.col("n") - k) / F.col("n") / (1 - rate))).otherwise(0.0)
-        seen = seen.filter((k >= 3) & (k / F.col("n") >= max(PURITY, rate))).withColumn("ratio", ratio)
+        seen = materialize(seen.filter((k >= 3) & (k / F.col("n") >= max(PURITY, rate))).withColumn("ratio", ratio), "toxic-traits")
         candidates = seen.count()
-        lexicon = seen.filter(F.col("ratio") > np.log(max(candidates, 1)) + 6).orderBy(F.desc("ratio"), "trait").limit(8192).collect()
+        # As many entries as the evidence bears out; the sample of texts bounds them.
+        lexicon = seen.filter(F.col("ratio") > np.log(max(candidates, 1)) + 6).orderBy(F.desc("ratio"), "trait").collect()
         if not lexicon:
             return Model(base=rate)
         dealt = [0] * KINDS
@@ -211,11 +226,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "toxic_score__") -> DataFrame:
-    """docs with one more column, the score of its text; all others are carried."""
+def with_score(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """docs with one more column, the score of its text, and the column's name; all others are carried."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    at = docs.columns.index("text")
+    [name] = fresh(docs, "toxic_score")
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    docs = docs.withColumn(docs.columns[at], F.col("text").cast("string"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
@@ -224,7 +240,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "toxic_score__") -> Da
             scores = pa.array([m.score(t.as_py(), memo) for t in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, f"{fields}, `{name}` double")
+    return docs.mapInArrow(run, f"{fields}, `{name}` double"), name
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -236,10 +252,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     labels that repeat a doc_id the larger counts. Empty documents give no rows.
     """
     model = train(docs, labels, sample)
-    out = with_score(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("toxic_score__").alias("score"), (F.col("toxic_score__") >= 0.5).cast("int").alias("predicted"))
+    out, score = with_score(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows of docs that score under 0.5, all columns as they came."""
-    return with_score(docs, train(docs, labels, sample)).filter("toxic_score__ < 0.5").select(docs.columns)
+    """Rows of docs that score under 0.5, all columns as they came, whatever their names; nulls and repeats as in toxicity()."""
+    out, score = with_score(docs, train(docs, labels, sample))
+    return out.filter(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -71,17 +71,23 @@ def test_recount_of_tables(spark):
 def test_recount_of_documents(spark, tables):
     count, d = tokencount.counter(tokencount.VOCABULARY), tables("documents")
     edits = tokencount.planned_edits(d)
-    texts = {r.doc_id: r.text for r in d.collect()}
-    by = defaultdict(list)
-    for e in edits.orderBy("seq").collect():
-        by[e.doc_id].append(e)
-    for r in tokencount.recount(d, edits).collect():
-        text = texts[r.doc_id]
-        assert r.n_tokens == count.whole(text)
-        for e in by[r.doc_id]:
+    by = {r.doc_id: r for r in edits.collect()}
+    in_place = tokencount.recount_rows(edits)
+    for r in in_place.collect():
+        text = by[r.doc_id].text
+        assert r.n_tokens == count.whole(text) and r.n_edits == 3
+        for e in by[r.doc_id].edits:
             start = min(e.start, len(text))
             text = text[:start] + e.new + text[max(start, min(e.stop, len(text))) :]
         assert (r.n_tokens_after, r.n_chars_after) == (count.whole(text), len(text))
+    log = edits.selectExpr("doc_id", "inline(edits)")
+    assert Tally(map(tuple, tokencount.recount(d, log).collect())) == Tally(map(tuple, in_place.collect()))
+
+
+def test_rows_that_repeat_a_doc_id_have_their_own_planned_edits(spark):
+    d = docs_of(spark, [(1, "one two three four", "a")] * 4 + [(1, "another text", "b"), (None, "no id", "a"), (2, None, "a"), (3, "", "a")])
+    got = tokencount.recount_rows(tokencount.planned_edits(d)).collect()
+    assert Tally((r.doc_id, r.n_edits) for r in got) == {(1, 3): 5, (None, 0): 1, (2, 3): 1, (3, 3): 1}
 
 
 # 2 near duplicates
@@ -227,25 +233,33 @@ def plain_contamination(rows, items):
             for k in range(len(w) - len(g) + 1):
                 if tuple(w[k : k + len(g)]) == g:
                     hit |= set(range(k, k + len(g)))
-                    who.add(str(i))
-        yield d, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(hit)
+                    who.add(i)
+        yield d, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(str(i) for i in who if i is not None)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.mark.parametrize("shard", [1_000_000, 60])
 def test_contamination_matches_brute_force(spark, shard):
     rng = random.Random(4)
-    items = [(i, words(rng, rng.choice([0, 1, 3, 9, 10, 30]), 300)) for i in range(20)] + [(20, None), (21, "Ünï côdé"), (2, "w1 w2 w3"), (22, "w1 w2 w3")]
+    items = [(i, words(rng, rng.choice([0, 1, 3, 9, 10, 30]), 300)) for i in range(20)] + [(20, None), (21, "Ünï côdé"), (2, "w1 w2 w3"), (22, "w1 w2 w3"), (None, "w1 w2 w3"), (None, words(rng, 12, 300)), (23, words(rng, 300, 300)), (23, words(rng, 15, 300))]
     rows = [(i, words(rng, 60, 300) + " " + (items[rng.randrange(20)][1] or "").upper() + " " + words(rng, 9, 300), "s") for i in range(40)]
-    rows += [(50, None, None), (51, "", "s"), (52, "ünï CôDÉ!", "s"), (52, "ünï CôDÉ!", "s"), (None, "w1, w2-w3", "s"), (53, words(rng, 20_000, 5000), "s")]
+    rows += [(50, None, None), (51, "", "s"), (52, "ünï CôDÉ!", "s"), (52, "ünï CôDÉ!", "s"), (None, "w1, w2-w3", "s"), (53, words(rng, 20_000, 5000), "s"), (54, items[-1][1] + " x " + items[-2][1], "s"), (55, items[-3][1], "s")]
     b = spark.createDataFrame(items, "item_id long, text string")
     got = Tally(map(tuple, decontam.contamination(docs_of(spark, rows), b, shard_windows=shard).collect()))
     assert got == Tally(plain_contamination(rows, items))
-    kept = decontam.drop_contaminated(docs_of(spark, rows), b, shard_windows=shard)
-    assert kept.columns == docs_of(spark, rows).columns and kept.count() == sum(n for r, n in got.items() if not r[5])
+    d = docs_of(spark, rows).withColumns({c: decontam.F.lit(1) for c in ("hit", "n_words", "items", "Hit_", "w")})
+    kept = decontam.drop_contaminated(d, b, shard_windows=shard)
+    assert kept.columns == d.columns and kept.count() == sum(n for r, n in got.items() if not r[5])
     assert decontam.contamination(docs_of(spark, rows), b.limit(0)).filter("contaminated").count() == 0
     assert decontam.contamination(docs_of(spark, rows).limit(0), b).count() == 0
 
 
+def test_shards_hold_what_they_may(spark):
+    rng = random.Random(5)
+    b = spark.createDataFrame([(7, words(rng, 5000))] + [(None, words(rng, 40)) for _ in range(20)] + [(8, "same words here")] * 50, "item_id long, text string")
+    sizes = [sum(max(1, len(decontam.words(r.text)) - 9) for r in s.collect()) for s in decontam.benchmark_shards(b, 1000)]
+    assert len(sizes) > 5 and max(sizes) <= 1000 and sum(sizes) == 4991 + 20 * 31 + 1
+
+
 def test_spans_are_cut(spark):
     b = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     out = decontam.remove_spans(docs_of(spark, [(1, "Say Alpha, beta now", "s"), (2, "Stay as is!", "s")]), b)
@@ -540,8 +554,12 @@ def test_toxicity_of_odd_tables(spark, tables):
     assert toxicity.toxicity(odd, l).count() == 4
     assert {r.score for r in toxicity.toxicity(odd, l.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(odd.limit(0), l).count() == 0
-    kept = toxicity.drop_toxic(tables("documents", "0.01"), tables("labels", "0.01"))
-    assert kept.columns == tables("documents").columns
+    d = tables("documents", "0.01").withColumns({c: toxicity.F.lit(1) for c in ("toxic_score", "l_id", "toxic", "Score")})
+    assert toxicity.drop_toxic(d, tables("labels", "0.01")).columns == d.columns
+    many = docs_of(spark, [(1, f"you idiot moron {i}", "a") for i in range(400)] + [(1, "the same", "a")] * 400 + [(i, f"kind words {i}", "a") for i in range(2, 100)])
+    known = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 100)], "doc_id long, toxic int")
+    assert toxicity.labelled(many, known, "toxic", 100).count() < 180
+    assert toxicity.labelled(many, known, "toxic", 10_000).count() == 499
 
 
 def test_label_model_finds_two_classes():
