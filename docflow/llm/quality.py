@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes.
 
-A document classifier (logistic regression on byte statistics, fitted on a bounded sample of labelled
-rows) gives each document its own evidence. Hosts and paths get Beta posteriors by grouped
+A document classifier (logistic regression on byte statistics of the whole text, fitted on about
+`sample` distinct labelled rows outside the held-out fold) gives each document its own evidence. Hosts and paths get Beta posteriors by grouped
 aggregation: a path is shrunk toward its host, a host toward the global rate, with strengths fitted
 by moments over all groups, so that sparse sites fall back on their parents. A document's posterior
 combines its evidence with the posterior of its path, its own share left out.
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .toxicity import fit_linear
+from .common import materialize, share_below
+from .toxicity import fit_linear, held_out
 
 SAMPLE = 20_000
 FEATURES = 11
@@ -77,9 +77,12 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(x, pa.binary())], names=["doc_id", "host", "path", "x"])
 
     seen = materialize(rows.mapInArrow(run, "doc_id long, host string, path string, x binary"), "quality-features")
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("quality").alias("y"))
-    known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    train = seen.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("x", "y").collect()
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("quality").alias("y")).filter(~held_out("l_id"))
+    # Labels and the rows they meet are each counted and then drawn by a threshold, so that neither many
+    # labels nor many rows of one doc_id reach one task or the driver.
+    known = known.filter(share_below(2 * sample / max(1, known.count()), "l_id"))
+    met = seen.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("l_id", "x", "y").distinct()
+    train = met.filter(share_below(sample / max(1, met.count()), "l_id", "x")).select("x", "y").collect()
     y = np.array([r.y for r in train], float)
     x = np.array([np.frombuffer(r.x) for r in train]).reshape(len(train), FEATURES)
     rate = float(y.mean()) if len(y) else 0.5

@@ -3,7 +3,7 @@
 Lexicons are found on a bounded sample of labelled rows outside the held-out fold, near copies counted
 once (else every word of a much copied toxic document would look like a toxic word): words and word
 beginnings that occur in far more toxic than clean documents, by a likelihood ratio above the
-logarithm of the number of candidates, and hardly in clean ones. They are dealt into voters by kind, and pattern voters look
+logarithm of the number of candidates by EVIDENCE, and hardly in clean ones (PURITY). They are dealt into voters by kind, and pattern voters look
 at how many entries a document hits and how densely. A generative model of the votes (two latent
 classes, fitted by expectation maximisation) estimates each voter's accuracy in either class, and the
 correlations of voters given the class discount voters that repeat each other. A linear classifier is
@@ -32,7 +32,9 @@ VOTERS_A_KIND = 8
 KINDS = 1 + len(BEGINNINGS)
 PATTERNS = 4
 #: Least share of toxic documents among those with a lexicon entry.
-PURITY = 0.9
+PURITY = 0.85
+#: Logarithm of the likelihood ratio that an entry needs beyond that of the number of candidates.
+EVIDENCE = 3.0
 #: Minimum hashes that tell near copies: a row stays if it comes first among its equals in each.
 SKETCH = 4
 
@@ -200,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         seen = materialize(seen.filter((k >= 3) & (k / F.col("n") >= max(PURITY, rate))).withColumn("ratio", ratio), "toxic-traits")
         candidates = seen.count()
         # As many entries as the evidence bears out; the sample of texts bounds them.
-        lexicon = seen.filter(F.col("ratio") > np.log(max(candidates, 1)) + 6).orderBy(F.desc("ratio"), "trait").collect()
+        lexicon = seen.filter(F.col("ratio") > np.log(max(candidates, 1)) + EVIDENCE).orderBy(F.desc("ratio"), "trait").collect()
         if not lexicon:
             return Model(base=rate)
         dealt = [0] * KINDS

@@ -209,8 +209,25 @@ def test_sparse_sites_fall_back_and_quality_is_learnt(spark, tables):
     d, l = tables("documents", "0.01"), tables("labels", "0.01")
     got = {r.doc_id: r for r in quality.site_quality(d, l).collect()}
     assert len(got) == d.count() and all(0 <= r.quality <= 1 for r in got.values())
-    right = [got[r.doc_id].keep == (r.quality == 1) for r in l.collect()]
-    assert np.mean(right) > 0.95
+    fold = l.filter(quality.held_out()).collect()
+    assert len(fold) > 50 and np.mean([got[r.doc_id].keep == (r.quality == 1) for r in fold]) > 0.95
+    changed = l.withColumn("quality", quality.F.when(quality.held_out(), 1 - l.quality).otherwise(l.quality))
+    assert {r.doc_id: r.quality for r in quality.site_quality(d, changed).collect()} == {i: r.quality for i, r in got.items()}
+
+
+def test_a_site_moves_a_document_and_a_sparse_one_falls_back(spark):
+    """Rates against a plain version: a path shrunk to its host, a host to the prior, the row left out."""
+    good, junk = "A sentence of plain words, one after another. ", "$$$ ### %%% !!! 123 "
+    rows = [(i, (good if i % 10 else junk) * (1 + i % 5), "g") for i in range(200)] + [(i, (junk if i % 10 else good) * (1 + i % 5), "j") for i in range(200, 400)] + [(400, good + junk, "lone")]
+    d = docs_of(spark, rows)
+    l = spark.createDataFrame([(i, int(t.startswith("A"))) for i, t, _ in rows[:400]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.site_quality(d, l).collect()}
+    assert got[1].host_rate > 0.7 > 0.4 > got[201].host_rate
+    prior = np.mean([1 / (1 + np.exp(-r.evidence)) for r in got.values()])
+    assert abs(got[400].host_rate - prior) < 1e-6 and abs(got[400].path_rate - prior) < 1e-6
+    for r in got.values():
+        odds = lambda p: np.log(p / (1 - p))
+        assert abs(odds(np.clip(r.quality, 1e-12, 1 - 1e-12)) - np.clip(r.evidence + odds(np.clip(r.path_rate, 1e-3, 1 - 1e-3)) - odds(prior), -27.6, 27.6)) < 1e-3
     extra = docs_of(spark, [(1, "A text.", None), (2, None, "s"), (2, "", "s"), (None, "x y", "t")])
     none = quality.site_quality(extra, l.limit(0)).collect()
     assert len(none) == 4 and all(abs(r.quality - 0.5) < 1e-9 for r in none)
@@ -548,6 +565,16 @@ def test_toxicity_holds_on_the_held_out_fold(spark, tables):
     assert {r.doc_id: r.score for r in toxicity.toxicity(d, changed).collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_toxicity_catches_nine_of_ten_with_few_labels(spark, tables):
+    """At sf0.1: 449 toxic documents of 4,000 labelled, in four languages, of which about a tenth hold no word of a lexicon."""
+    d, l = tables("documents", "0.1"), tables("labels", "0.1")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(d.join(l.select("doc_id"), "doc_id", "left_semi"), l).collect()}
+    marks = {r.doc_id: r.toxic for r in l.collect() if r.doc_id in got}
+    caught = np.mean([got[i] for i, y in marks.items() if y])
+    flagged = np.mean([got[i] for i, y in marks.items() if not y])
+    assert caught > 0.9 and flagged < 0.005
+
+
 def test_toxicity_of_odd_tables(spark, tables):
     odd = docs_of(spark, [(1, None, "a"), (2, "", "b"), (2, "", "b"), (None, "you idiot moron", None)])
     l = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
