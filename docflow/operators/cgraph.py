@@ -1,11 +1,13 @@
 """Analytics of a code graph of any size: vertices (id, label, file_type, source_file, community), edges (src, dst, relation).
 
-Iterations run a bounded number of rounds on the driver; each round's frontier is checkpointed in
+Iterations run on the driver until nothing changes; each round's frontier is checkpointed in
 spark.checkpoint.dir, so lost executors cost no more than a round.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,11 +106,11 @@ def undirected(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
 
 
-def bfs(e: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(root, id, distance, parent) within depth steps of each root along (src, dst) rows; the least parent on ties."""
+def bfs(e: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """(root, id, distance, parent) within depth steps (None: any) of each root along (src, dst) rows; the least parent on ties."""
     seen = cut(seeds.select("root", F.col("root").alias("id"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")))
     front = seen
-    for step in range(1, depth + 1):
+    for step in itertools.count(1) if depth is None else range(1, depth + 1):
         nxt = front.select("root", F.col("id").alias("src")).join(e, "src").groupBy("root", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         front = cut(nxt.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(step).alias("distance"), "parent"))
         if front.isEmpty():
@@ -117,12 +119,12 @@ def bfs(e: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_paths(e: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
-    """CG5: (src, dst) pairs -> hops and the path, edges taken either way; null where none is within `most` hops."""
+def shortest_paths(e: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """CG5: (src, dst) pairs -> hops and the path, edges taken either way; null where there is none (within `most` hops, if given)."""
     found = bfs(undirected(e), pairs.select(F.col("src").alias("root")).distinct(), most)
     tree = found.select("root", "id", "parent", "distance")
     path = pairs.join(tree.withColumnsRenamed({"root": "src", "id": "dst"}), ["src", "dst"], "left").withColumn("path", F.when(F.col("distance").isNotNull(), F.array("dst")))
-    for _ in range(most):
+    for _ in range(path.agg(F.max("distance")).first()[0] or 0):
         up = tree.select(F.col("root").alias("src"), F.col("id").alias("parent"), F.col("parent").alias("grand"))
         path = path.join(up, ["src", "parent"], "left").withColumn("path", F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path"))).withColumn("parent", F.col("grand")).drop("grand")
     return path.select("src", "dst", F.col("distance").alias("hops"), F.array_join("path", " > ").alias("path"))
@@ -183,13 +185,17 @@ def hotspots(v: DataFrame, e: DataFrame, top: int = 25) -> tuple[DataFrame, Data
     return busy, c.orderBy(F.desc("size"), "community").limit(top)
 
 
-def betweenness(e: DataFrame, k: int = 16, depth: int = 6, seed: int = 42) -> DataFrame:
-    """CG13: betweenness from k sources drawn by hash: shortest-path counts forward, shares backward, as joins."""
-    u = undirected(e)
+def betweenness(e: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
+    """CG13: betweenness from k sources drawn by hash: shortest-path counts forward, shares backward, as joins.
+
+    Without k, a tenth of the vertices, 10 at least and 200 at most. Paths may have any length.
+    """
+    u = cut(undirected(e))
+    k = min(200, max(10, u.select("src").distinct().count() // 10)) if k is None else k
     sources = u.select(F.col("src").alias("root")).distinct().orderBy(F.xxhash64(F.lit(seed), "root"), "root").limit(k)
     levels = [cut(sources.select("root", F.col("root").alias("id"), F.lit(1.0).alias("paths")))]
     seen = levels[0].select("root", "id")
-    for _ in range(depth):
+    while True:
         nxt = levels[-1].withColumnRenamed("id", "src").join(u, "src").groupBy("root", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
         level = cut(nxt.join(seen, ["root", "id"], "left_anti"))
         if level.isEmpty():
@@ -219,25 +225,25 @@ def neighborhood(e: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     return e.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct()
 
 
-def scc(e: DataFrame, rounds: int = 30, steps: int = 60) -> DataFrame:
+def scc(e: DataFrame) -> DataFrame:
     """CG16: (id, component) of strongly connected components of two vertices or more, named by their least id.
 
     Each round trims vertices without a way in or out, colours the rest by the least id that reaches
-    them, and takes from each colour what reaches its root back.
+    them, and takes from each colour what reaches its root back. Every loop runs until nothing changes:
+    as many steps as the longest chain or cycle has vertices.
     """
     edges = cut(e.select("src", "dst").filter("src <> dst").distinct())
-    done = None
-    for _ in range(rounds):
-        for _ in range(steps):
+    done, size = None, edges.count()
+    while size:
+        while True:
             trimmed = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-            same = trimmed.count() == edges.count()
-            edges = trimmed
-            if same:
+            before, edges, size = size, trimmed, trimmed.count()
+            if size == before:
                 break
-        if edges.isEmpty():
+        if not size:
             break
         colour = cut(edges.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
-        for _ in range(steps):
+        while True:
             got = edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("n"))
             new = cut(colour.join(got, "id", "left").select("id", F.least("c", "n").alias("c"), (F.coalesce("n", "c") < F.col("c")).alias("moved")))
             colour = new.select("id", "c")
@@ -246,7 +252,7 @@ def scc(e: DataFrame, rounds: int = 30, steps: int = 60) -> DataFrame:
         own = edges.join(colour.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b")
         back = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         reach = cut(colour.filter("id = c"))
-        for _ in range(steps):
+        while True:
             nxt = cut(reach.withColumnRenamed("id", "src").join(back, "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cc")), "dst").filter("c = cc").select(F.col("dst").alias("id"), "c").distinct().join(reach, ["id", "c"], "left_anti"))
             if nxt.isEmpty():
                 break
@@ -254,6 +260,7 @@ def scc(e: DataFrame, rounds: int = 30, steps: int = 60) -> DataFrame:
         part = reach.select("id", F.col("c").alias("component"))
         done = part if done is None else done.union(part)
         edges = cut(edges.join(reach.select(F.col("id").alias("src")), "src", "left_anti").join(reach.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        size = edges.count()
     if done is None:
         return e.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
     big = done.groupBy("component").count().filter("count > 1").select("component")
@@ -290,7 +297,7 @@ def graph_stats(v: DataFrame, e: DataFrame) -> DataFrame:
     return v.agg(F.count("*").alias("nodes"), F.countDistinct("community").alias("communities"), F.countDistinct("source_file").alias("files")).crossJoin(e.agg(F.count("*").alias("edges"), F.countDistinct("relation").alias("relations")))
 
 
-def explain_flow(e: DataFrame, v: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
+def explain_flow(e: DataFrame, v: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """CG10: the path between two vertices told by labels."""
     p = shortest_paths(e, pairs, most).filter("path is not null")
     steps = p.select("src", "dst", F.posexplode(F.split("path", " > ")).alias("step", "id")).join(v.select("id", "label"), "id")

@@ -52,7 +52,7 @@ def resolve_carbon(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     df = df.withColumn("baseline", F.when((F.col("baseline") <= 0) & (F.col("saved") > 0) & (F.col("efficiency") > 0), F.col("saved") / (F.col("efficiency") / 100)).otherwise(F.col("baseline")))
     df = df.withColumn("actual", F.when((F.col("actual") <= 0) & (F.col("baseline") > 0), F.greatest(F.lit(0.0), F.col("baseline") - F.greatest(F.lit(0.0), F.col("saved")))).otherwise(F.col("actual")))
     df = df.filter("baseline > 0").withColumn("saved", F.greatest(F.lit(0.0), F.col("baseline") - F.col("actual")))
-    return df.withColumn("efficiency", F.least(F.lit(100.0), F.col("saved") / F.col("baseline") * 100))
+    return df.withColumn("efficiency", F.least(F.lit(100.0), F.try_divide(F.col("saved"), F.col("baseline")) * 100))
 
 
 def _sums(intensity: float):

@@ -126,14 +126,13 @@ def composite(pairs: DataFrame) -> DataFrame:
 
 def highlights(models: DataFrame) -> DataFrame:
     """EVL7: (highlight, model, value): the best model of each metric, ties to the first name."""
-    parts = []
-    for name, (metric, way) in HIGHLIGHTS.items():
+    def best(metric: str, way: str):
         v = F.col(metric) if way == "min" else -F.col(metric)
-        parts.append(models.agg(F.lit(name).alias("highlight"), F.min(F.when(F.col(metric).isNotNull(), F.struct(v.alias("k"), "model", F.col(metric).alias("value")))).alias("b")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select("highlight", "b.model", "b.value")
+        return F.min(F.when(F.col(metric).isNotNull(), F.struct(v.alias("k"), "model", F.col(metric).cast("double").alias("value"))))
+
+    one = models.agg(*[best(*mw).alias(name) for name, mw in HIGHLIGHTS.items()])
+    rows = F.array(*[F.struct(F.lit(name).alias("highlight"), F.col(f"{name}.model").alias("model"), F.col(f"{name}.value").alias("value")) for name in HIGHLIGHTS])
+    return one.select(F.inline(rows))
 
 
 def quality_insights(models: DataFrame, router: str = ROUTER) -> DataFrame:

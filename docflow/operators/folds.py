@@ -195,6 +195,17 @@ def split_oversized(body: str, most: int) -> list[str]:
     return parts
 
 
+def split_sections(sections: DataFrame, most: int = SECTION_MAX) -> DataFrame:
+    """STR8: sections of over `most` tokens as numbered parts cut at paragraphs; the others as one part."""
+    def cut(batches):
+        for b in batches:
+            out = [(doc, sec, head, i, p, tokens_of(p)) for doc, sec, head, body in zip(b["doc_id"], b["section"], b["heading"], b["body"]) for i, p in enumerate([body or ""] if tokens_of(body or "") <= most else split_oversized(body, most))]
+            yield pd.DataFrame(out, columns=["doc_id", "section", "heading", "part", "body", "tokens"])
+
+    types = dict(sections.dtypes)
+    return sections.select("doc_id", "section", "heading", "body").mapInPandas(cut, f"doc_id {types['doc_id']}, section {types['section']}, heading string, part int, body string, tokens int")
+
+
 def pack_sections(sections: DataFrame, target: int = SECTION_TARGET, least: int = SECTION_MIN, most: int = SECTION_MAX) -> DataFrame:
     """STR7: sections packed into chunks: whole ones up to target, major headings and the limit close a pack,
     oversized sections split at paragraphs, a small last chunk joins the one before where both fit."""

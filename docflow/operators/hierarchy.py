@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,25 +63,33 @@ def carbon_rollups(nodes: DataFrame) -> DataFrame:
         FROM {nodes} GROUP BY GROUPING SETS ((job_id, depth), (job_id, worker_id), (job_id, model), (job_id, kind), (job_id))""", nodes=nodes)
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """HIE9: longest chain of a job by latency.
 
-    Rounds of relaxation along (job_id, dep, node_id): a round adds one more dependency to every chain
-    that still grows. Chains that would pass more nodes than the job has are cycles and are not
-    followed, so cyclic input ends.
+    Round i holds, for every node, the heaviest chain of i dependencies that ends there; rounds go on
+    until no job has such a chain. A chain has no more nodes than its job, so cyclic input ends too.
     """
     n = nodes.select("job_id", "node_id", F.coalesce("latency_ms", F.lit(0.0)).alias("ms"))
     e = edges.filter("dep <> node_id").select("job_id", "dep", "node_id").distinct()
-    best = cut(n.withColumn("best", F.col("ms")))
-    front, sizes = best, n.groupBy("job_id").agg(F.count("*").alias("size"))
-    for i in range(rounds):
-        nxt = front.join(sizes.filter(F.col("size") > i + 1), "job_id", "left_semi").select("job_id", F.col("node_id").alias("dep"), "best").join(e, ["job_id", "dep"]).groupBy("job_id", "node_id").agg(F.max("best").alias("before"))
-        grown = best.join(nxt, ["job_id", "node_id"], "left").withColumn("new", F.greatest("best", F.coalesce(F.col("before") + F.col("ms"), F.col("best"))))
-        grown = cut(grown.select("job_id", "node_id", "ms", F.col("new").alias("best"), (F.col("new") > F.col("best")).alias("moved")))
-        best, front = grown.drop("moved"), grown.filter("moved").drop("moved")
+    steps = cut(e.join(n, ["job_id", "node_id"]))
+    sizes = cut(n.groupBy("job_id").agg(F.count("*").alias("size"), F.max("ms").alias("critical_ms")))
+    front, tops = n.select("job_id", "node_id", F.col("ms").alias("best")), [sizes.select("job_id", "critical_ms")]
+    for i in itertools.count(1):
+        ends = front.join(sizes.filter(F.col("size") > i), "job_id", "left_semi").withColumnRenamed("node_id", "dep")
+        front = cut(ends.join(steps, ["job_id", "dep"]).groupBy("job_id", "node_id").agg(F.max(F.col("best") + F.col("ms")).alias("best")))
         if front.isEmpty():
             break
-    return best.groupBy("job_id").agg(F.max("best").alias("critical_ms"))
+        tops.append(front.groupBy("job_id").agg(F.max("best").alias("critical_ms")))
+        if len(tops) == 32:
+            tops = [cut(_heaviest(tops))]
+    return _heaviest(tops)
+
+
+def _heaviest(tops: list[DataFrame]) -> DataFrame:
+    out = tops[0]
+    for t in tops[1:]:
+        out = out.union(t)
+    return out.groupBy("job_id").agg(F.max("critical_ms").alias("critical_ms"))
 
 
 def dag_perf(nodes: DataFrame, wall: DataFrame, workers: int) -> DataFrame:
@@ -142,7 +152,7 @@ def overflow_layers(edges: DataFrame, budget: int, summary_cap: int = 400, round
     """HIE5: (job_id, parent, child, tokens) -> edges with intermediate nodes under parents whose children exceed the budget.
 
     An overfull parent's children are dealt in order into nodes of budget / mean tokens children, two at
-    least; a new node counts with its summary's cap. Repeats while a parent is overfull, rounds at most.
+    least; a new node counts with its summary's cap. Repeats while a parent is overfull, `rounds` at most; a parent that is still overfull then is visible in its children's tokens.
     """
     now = cut(edges.select("job_id", "parent", "child", F.col("tokens").cast("long").alias("tokens")))
     done = None

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +48,29 @@ def bucket_limit(bucket: Column, bot: Column, guest: Column) -> Column:
 def rate_limit(log: DataFrame, limit: int, window_s: float = WINDOW_S) -> DataFrame:
     """TRF3: (key, event_id, t seconds) -> allowed, retry_after; denied hits are not counted.
 
-    A denied hit leaves no trace, so what is allowed depends on all before it: one ordered pass a key.
+    A denied hit leaves no trace, so what is allowed depends on all before it: one ordered pass a key, in
+    batches, that holds no more than `limit` times. Rows without a key are not limited and do not come back.
     """
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(frames):
         held: deque = deque()
-        allowed, retry = [], []
-        pdf = pdf.sort_values(["t", "event_id"])
-        for t in pdf["t"]:
-            while held and t - held[0] > window_s:
-                held.popleft()
-            ok = len(held) < limit
-            allowed.append(ok)
-            retry.append(0.0 if ok else max(0.0, window_s - (t - held[0])))
-            if ok:
-                held.append(t)
-        return pdf[["key", "event_id"]].assign(allowed=allowed, retry_after=retry)
-
-    return log.select("key", "event_id", "t").groupBy("key").applyInPandas(replay, "key long, event_id long, allowed boolean, retry_after double")
+        now = object()
+        for pdf in frames:
+            allowed, retry = [], []
+            for key, t in zip(pdf["key"], pdf["t"]):
+                if key != now:
+                    now = key
+                    held.clear()
+                while held and t - held[0] > window_s:
+                    held.popleft()
+                ok = len(held) < limit
+                allowed.append(ok)
+                retry.append(0.0 if ok else max(0.0, window_s - (t - held[0])))
+                if ok:
+                    held.append(t)
+            yield pdf[["key", "event_id"]].assign(allowed=allowed, retry_after=retry)
+
+    rows = log.filter("key is not null").select("key", "event_id", "t").repartition("key").sortWithinPartitions("key", "t", "event_id")
+    return rows.mapInPandas(replay, "key long, event_id long, allowed boolean, retry_after double")
 
 
 def burst_alerts(log: DataFrame, window_s: int, threshold: int) -> DataFrame:

@@ -43,7 +43,7 @@ def jobs(spark, d):
     tokens = C.tier_tokens(C.chunk_attribution(a))
     head = a.groupBy("job_id").agg(F.max("input_tokens").alias("input_tokens"), F.count("*").alias("chunks"), F.max("intensity").alias("intensity"))
     df = head.join(tokens, "job_id")
-    df = df.withColumn("retrieved_tokens", C.retrieved_tokens(F.col("input_tokens"), F.col("chunks"), F.floor(F.col("input_tokens") / F.col("chunks"))))
+    df = df.withColumn("retrieved_tokens", C.retrieved_tokens(F.col("input_tokens"), F.col("chunks"), F.floor(F.try_divide(F.col("input_tokens"), F.col("chunks")))))
     df = df.withColumn("generated_tokens", F.floor(F.col("input_tokens") / 3)).withColumn("compile_tokens", F.col("generated_tokens")).withColumn("compile_tier", F.lit("heavy"))
     return df.withColumn("map_tokens", C.map_tokens(F.col("input_tokens"))).withColumn("verification_tokens", F.col("generated_tokens")).withColumn("escalated", F.col("job_id") % 3)
 

@@ -16,14 +16,14 @@ def runs(spark, d):
     model = F.when(F.col("event_type") == "signup", E.ROUTER).otherwise(F.col("event_type"))
     return e.select(
         i.alias("run_id"), model.alias("model"), (F.col("user_id") % 3).alias("campaign_id"), (i % 10 != 0).alias("ok"), (i % 17 == 0).alias("dry_run"), (i % 3 == 0).alias("skipped"),
-        F.col("value").alias("latency_ms"), (k / F.col("value")).alias("tokens_per_sec"), F.when(i % 7 != 0, k).alias("prompt_tokens"), (k * 2).alias("completion_tokens"),
+        F.col("value").alias("latency_ms"), F.try_divide(k, F.col("value")).alias("tokens_per_sec"), F.when(i % 7 != 0, k).alias("prompt_tokens"), (k * 2).alias("completion_tokens"),
         (k * 0.001).alias("cost_usd"), F.when(i % 2 == 0, k * 0.002).alias("cost_upper_usd"), (F.col("value") / 10).alias("energy_wh"), (F.col("value") / 100).alias("co2e_g"), F.when(i % 5 != 0, k).cast("double").alias("quality_score"),
     )
 
 
 RUNS = """runs AS (SELECT *, CASE WHEN dry_run THEN coalesce(cost_upper_usd, cost_usd) ELSE cost_usd END AS cost, CASE WHEN ok AND NOT dry_run AND NOT skipped THEN quality_score END AS q FROM (
   SELECT event_id AS run_id, CASE event_type WHEN 'signup' THEN 'intelligent-router' ELSE event_type END AS model, user_id % 3 AS campaign_id, event_id % 10 <> 0 AS ok, event_id % 17 = 0 AS dry_run, event_id % 3 = 0 AS skipped, value AS latency_ms,
-  k / value AS tokens_per_sec, CASE WHEN event_id % 7 <> 0 THEN k END AS prompt_tokens, k * 2 AS completion_tokens, k * 0.001::DOUBLE AS cost_usd, CASE WHEN event_id % 2 = 0 THEN k * 0.002::DOUBLE END AS cost_upper_usd, value / 10 AS energy_wh, value / 100 AS co2e_g, CASE WHEN event_id % 5 <> 0 THEN CAST(k AS DOUBLE) END AS quality_score
+  k / nullif(value, 0) AS tokens_per_sec, CASE WHEN event_id % 7 <> 0 THEN k END AS prompt_tokens, k * 2 AS completion_tokens, k * 0.001::DOUBLE AS cost_usd, CASE WHEN event_id % 2 = 0 THEN k * 0.002::DOUBLE END AS cost_upper_usd, value / 10 AS energy_wh, value / 100 AS co2e_g, CASE WHEN event_id % 5 <> 0 THEN CAST(k AS DOUBLE) END AS quality_score
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)))"""
 
 

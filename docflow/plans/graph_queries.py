@@ -146,14 +146,14 @@ def edges(spark, d):
     p, s = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
     a = F.col("l_returnflag") == "A"
     rel = F.when(a & (F.col("l_linenumber") % 2 == 0), "imports").when(a, "calls").when(F.col("l_returnflag") == "R", "contains").when(F.col("l_linenumber") % 2 == 0, "uses").otherwise("inherits")
-    return l.filter("l_quantity <= 10").select(F.when(a, s).otherwise(p).alias("src"), F.when(a, p).otherwise(s).alias("dst"), rel.alias("relation"))
+    return l.select(F.when(a, s).otherwise(p).alias("src"), F.when(a, p).otherwise(s).alias("dst"), rel.alias("relation"))
 
 
 CODE = """v0 AS (SELECT 'p' || p_partkey AS id, p_partkey AS k, 'p' AS t FROM part UNION ALL SELECT 's' || s_suppkey, s_suppkey, 's' FROM supplier),
 v1 AS (SELECT id, k, CASE k % 5 WHEN 0 THEN 'make_part_' || k || '()' WHEN 1 THEN 'Part' || k WHEN 2 THEN 'file' || k || '.py' WHEN 3 THEN 'store' ELSE 'readme note ' || k END AS label, CASE WHEN k % 7 = 0 THEN 'concept' ELSE 'code' END AS file_type, CASE t WHEN 'p' THEN 'backend/store/m' ELSE 'frontend/lib/m' END || (k % 20) || '.py' AS source_file, k % 10 AS community FROM v0),
 v AS (SELECT *, CASE WHEN k % 5 = 4 THEN 'readme' WHEN file_type = 'concept' THEN 'concept' WHEN k % 5 = 2 THEN 'file' WHEN k % 5 = 0 THEN 'function' WHEN k % 5 = 1 THEN 'class' WHEN k % 5 = 3 AND source_file LIKE 'backend%' THEN 'module' ELSE 'code' END AS kind FROM v1),
 e AS (SELECT CASE WHEN l_returnflag = 'A' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS src, CASE WHEN l_returnflag = 'A' THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS dst,
-  CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN 'imports' WHEN l_returnflag = 'A' THEN 'calls' WHEN l_returnflag = 'R' THEN 'contains' WHEN l_linenumber % 2 = 0 THEN 'uses' ELSE 'inherits' END AS relation FROM lineitem WHERE l_quantity <= 10),
+  CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN 'imports' WHEN l_returnflag = 'A' THEN 'calls' WHEN l_returnflag = 'R' THEN 'contains' WHEN l_linenumber % 2 = 0 THEN 'uses' ELSE 'inherits' END AS relation FROM lineitem),
 un AS (SELECT DISTINCT src AS a, dst AS b FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst)"""
 DEGREES = """, dg AS (SELECT id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(i, 0) + coalesce(o, 0) AS degree FROM v LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id))"""
 
@@ -193,11 +193,11 @@ def cg4_neighbors(spark, d):
 
 
 @register(f"""WITH RECURSIVE {CODE}, pr AS (SELECT 's' || r_regionkey AS src, 'p' || (r_regionkey * 7 + 1) AS dst FROM region),
-  w(root, id, n) AS (SELECT src, src, 0 FROM pr UNION SELECT root, b, n + 1 FROM w JOIN un ON a = id WHERE n < 4) SELECT src, dst, CAST(min(n) AS INTEGER) AS hops FROM pr LEFT JOIN w ON root = src AND id = dst GROUP BY 1, 2""")
+  w(root, id, n) AS (SELECT src, src, 0 FROM pr UNION SELECT root, b, n + 1 FROM w JOIN un ON a = id WHERE n < 8) SELECT src, dst, CAST(min(n) AS INTEGER) AS hops FROM pr LEFT JOIN w ON root = src AND id = dst GROUP BY 1, 2""")
 def cg5_shortest_paths(spark, d):
     k = F.col("r_regionkey")
     p = table(spark, d, "region").select(F.concat(F.lit("s"), k).alias("src"), F.concat(F.lit("p"), k * 7 + 1).alias("dst"))
-    return C.shortest_paths(edges(spark, d), p, 4).select("src", "dst", "hops")
+    return C.shortest_paths(edges(spark, d), p).select("src", "dst", "hops")
 
 
 @register(f"WITH {CODE} SELECT DISTINCT src AS id, dst AS other, CASE relation WHEN 'imports' THEN 'imports' WHEN 'calls' THEN 'calls' WHEN 'uses' THEN 'calls' WHEN 'inherits' THEN 'inherits' ELSE 'documents' END AS family FROM e WHERE src IN (SELECT id FROM v WHERE community = 3)")
@@ -244,7 +244,7 @@ def cg12_communities(spark, d):
 
 @register()
 def cg13_betweenness(spark, d):
-    return C.betweenness(edges(spark, d), 4, 3).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return C.betweenness(edges(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @register(f"WITH {CODE} SELECT community, 'kind' AS what, kind AS name, count(*) AS vertices FROM v GROUP BY 1, 3 UNION ALL SELECT community, 'module', split_part(source_file, '/', 1) || '/' || split_part(source_file, '/', 2), count(*) FROM v GROUP BY 1, 3")
@@ -292,7 +292,7 @@ def cg21_graph_stats(spark, d):
 def cg10_explain_flow(spark, d):
     k = F.col("r_regionkey")
     p = table(spark, d, "region").select(F.concat(F.lit("s"), k).alias("src"), F.concat(F.lit("p"), k * 7 + 1).alias("dst"))
-    return C.explain_flow(edges(spark, d), vertices(spark, d), p, 4)
+    return C.explain_flow(edges(spark, d), vertices(spark, d), p)
 
 
 @register()

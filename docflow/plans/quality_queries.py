@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import quality as Q
 
-from .bindings import pairs, table
+from .bindings import CHUNKS, chunks, pairs, table
 from .registry import register
 
 _TOK = "list_distinct(regexp_extract_all(lower({}), '[a-zA-Z]{{3,}}'))"
@@ -31,6 +31,24 @@ def judged(spark, d):
     return p.select(F.col("doc_id").alias("pair_id"), "job_id", "source", F.when((F.col("doc_id") % 3 == 0) & F.col("head").isNotNull(), F.col("head")).otherwise(F.col("summary")).alias("summary"), F.col("head").isNotNull().alias("taken"))
 
 
+def _verdicts_sql(pairs=""):
+    """METRICS and what QVA4 makes of them as vd; `pairs` may put others in the place of pr."""
+    return METRICS.replace("FROM pr)", f"FROM {pairs or 'pr'})") + r""",
+rd AS (SELECT *, list_transform(list_filter(string_split_regex(summary, '[.!?]\s+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''), lambda x: list_distinct(regexp_extract_all(lower(x), '[a-zA-Z]{3,}'))) AS sets, list_filter(string_split_regex(summary, '\s+'), lambda x: x <> '') AS ws FROM mt),
+re AS (SELECT *, list_filter(range(1, len(sets)), lambda i: len(sets[i]) > 0 AND len(sets[i + 1]) > 0) AS nb FROM rd),
+rf AS (SELECT *, CASE WHEN len(nb) = 0 THEN 0.0 ELSE len(list_filter(nb, lambda i: len(list_intersect(sets[i], sets[i + 1])) / (len(sets[i]) + len(sets[i + 1]) - len(list_intersect(sets[i], sets[i + 1]))) > 0.7)) / len(nb) END AS redundancy,
+  CASE WHEN len(ws) = 0 THEN 0.0 ELSE least(1, greatest(0, 1 - abs(list_sum(list_transform(ws, lambda x: length(x))) / len(ws) - 5.5) / 8)) END AS readability,
+  least(1, greatest(0, 0.7::DOUBLE * coverage + 0.3::DOUBLE * (1 - hallucination))) AS faithfulness, least(1, greatest(0, 0.5::DOUBLE * (1 - hallucination) + 0.3::DOUBLE * (1 - contradiction) + 0.2::DOUBLE * "numeric")) AS fact_consistency FROM re),
+rg AS (SELECT *, 0.26::DOUBLE * faithfulness + 0.16::DOUBLE * coverage + 0.12::DOUBLE * (1 - hallucination) + 0.08::DOUBLE * (1 - contradiction) + 0.14::DOUBLE * semantic + 0.10::DOUBLE * entity_retention + 0.08::DOUBLE * "numeric" + 0.06::DOUBLE * (1 - redundancy) AS confidence FROM rf),
+vd AS (SELECT *, array_to_string(list_filter([CASE WHEN faithfulness < 0.55 THEN 'low_faithfulness' END, CASE WHEN hallucination > 0.35 THEN 'high_hallucination' END, CASE WHEN contradiction > 0.1 THEN 'contradictions' END, CASE WHEN coverage < 0.35 THEN 'low_coverage' END,
+  CASE WHEN confidence < 0.6 THEN 'low_confidence' END, CASE WHEN semantic < 0.35 THEN 'low_semantic_similarity' END, CASE WHEN entity_retention < 0.4 AND n_entities >= 3 THEN 'low_entity_retention' END, CASE WHEN "numeric" < 0.25 AND n_numbers >= 3 THEN 'numerical_inconsistency' END], lambda x: x IS NOT NULL), ',') AS codes,
+  faithfulness >= 0.55 AND hallucination <= 0.35 AND contradiction <= 0.1 AND confidence >= 0.6 AND semantic >= 0.35 AS passed FROM rg)"""
+
+
+VERDICTS = _verdicts_sql()
+#: A document's chunks, joined, against its summary.
+_FINAL = _verdicts_sql("fin").replace("\nt AS (SELECT *, list_distinct", "\n" + CHUNKS + ", fin AS (SELECT pair_id, job_id, src AS source, summary FROM pr JOIN (SELECT doc_id, string_agg(content, chr(10) ORDER BY chunk_index) AS src FROM chunks GROUP BY 1) c ON c.doc_id = pr.pair_id),\nt AS (SELECT *, list_distinct", 1)
+
 _FIGS = ["coverage", "hallucination", "contradiction", "entity_retention", "compression", "semantic"]
 
 
@@ -64,17 +82,20 @@ def verdicts(spark, d):
     return Q.validate_pairs(judged(spark, d))
 
 
-@register()
+_ALL = [*_FIGS, "redundancy", "readability", "faithfulness", "fact_consistency", "confidence"]
+
+
+@register(f"WITH {VERDICTS} SELECT pair_id, job_id, {', '.join(f'round({c}, 6) AS {c}' for c in _ALL)}, codes, passed FROM vd")
 def qva4_validate_pairs(spark, d):
-    return verdicts(spark, d).select("pair_id", "job_id", *r6([*_FIGS, "redundancy", "readability", "faithfulness", "fact_consistency", "confidence"]), F.array_join("codes", ",").alias("codes"), "passed")
+    return verdicts(spark, d).select("pair_id", "job_id", *r6(_ALL), F.array_join("codes", ",").alias("codes"), "passed")
 
 
-@register()
+@register(f"WITH {VERDICTS}, g AS (SELECT job_id, count(*) AS pairs, avg(CASE WHEN passed THEN 0 ELSE 1 END) AS fail_ratio, avg(confidence) AS confidence FROM vd GROUP BY 1) SELECT job_id, pairs, round(fail_ratio, 6) AS fail_ratio, round(confidence, 6) AS confidence, fail_ratio <= 0.25 AND confidence >= 0.6 AS passed FROM g")
 def qva5_aggregate_verdicts(spark, d):
     return Q.aggregate_verdicts(verdicts(spark, d)).select("job_id", "pairs", *r6(["fail_ratio", "confidence"]), "passed")
 
 
-@register()
+@register(f"WITH {VERDICTS} SELECT pair_id, round(confidence, 6) AS confidence, passed FROM vd")
 def qva6_revalidate(spark, d):
     p = judged(spark, d)
     prior = Q.validate_pairs(p.filter("pair_id % 2 = 0")).select("pair_id", "confidence", "passed")
@@ -88,14 +109,13 @@ def qva7_empty_summaries(spark, d):
     return Q.split_empty(p)[1].withColumn("codes", F.array_join("codes", ","))
 
 
-@register()
+@register(f"WITH {VERDICTS} SELECT job_id, pair_id, CAST(place AS INTEGER) AS place FROM (SELECT job_id, pair_id, row_number() OVER (PARTITION BY job_id ORDER BY round(confidence, 9), pair_id) AS place FROM vd WHERE NOT passed) WHERE place <= 2")
 def qva8_pick_escalations(spark, d):
     return Q.pick_escalations(verdicts(spark, d), 2).select("job_id", "pair_id", "place")
 
 
-@register()
+@register(f"WITH {_FINAL} SELECT pair_id AS job_id, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence, passed FROM vd")
 def qva9_validate_final(spark, d):
-    p = judged(spark, d)
-    final = p.groupBy("job_id").agg(F.min_by("summary", "pair_id").alias("summary"))
-    out = Q.validate_final(p.select("job_id", F.col("pair_id").alias("chunk_index"), "summary"), final)
+    final = judged(spark, d).select(F.col("pair_id").alias("job_id"), "summary")
+    out = Q.validate_final(chunks(spark, d).select(F.col("doc_id").alias("job_id"), "chunk_index", F.col("content").alias("summary")), final)
     return out.select(F.col("pair_id").alias("job_id"), *r6(["coverage", "confidence"]), "passed")

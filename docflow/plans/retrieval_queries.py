@@ -43,11 +43,11 @@ def ret2_bm25_search(spark, d):
 def dense(spark, d, k=10):
     e = table(spark, d, "embeddings")
     v = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("scope"), F.col("embedding").alias("v"))
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q"))
     return R.dense_search(v, q, k)
 
 
-DENSE = """de AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id < 10),
+DENSE = """de AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0),
 dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM de)"""
 
 
@@ -66,17 +66,14 @@ def ret4_rrf(spark, d):
     return R.rrf(lists, top_n=10).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "place")
 
 
-@register(f"""WITH {BM25}, {DENSE}, l AS (SELECT query_id, chunk_id, place FROM bm25 WHERE place <= 20 AND query_id % 2 = 0 UNION ALL SELECT query_id, chunk_id, place FROM dense WHERE place <= 10 AND query_id % 2 = 0),
-  a AS (SELECT * FROM l UNION ALL SELECT item_id AS query_id, item_id + 1 AS chunk_id, 1 AS place FROM benchmark WHERE item_id % 4 = 0),
+@register(f"""WITH {BM25}, {DENSE}, l AS (SELECT query_id, chunk_id, place FROM bm25 WHERE place <= 20 UNION ALL SELECT query_id, chunk_id, place FROM dense WHERE place <= 10),
+  a AS (SELECT * FROM l UNION ALL SELECT item_id AS query_id, item_id + 1 AS chunk_id, 1 AS place FROM benchmark),
   fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + place)) AS score FROM a GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM fu)
-  SELECT query_id, chunk_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.query_id = f.query_id AND l.chunk_id = f.chunk_id) THEN 'rrf' ELSE 'graph_seed' END AS source FROM f WHERE place <= 8
-  UNION ALL SELECT query_id, chunk_id, round(score, 6), CAST(place AS INTEGER), 'dense_rerank' FROM dense WHERE place <= 10 AND query_id % 2 = 1 AND query_id % 4 <> 0""")
+  SELECT query_id, chunk_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.query_id = f.query_id AND l.chunk_id = f.chunk_id) THEN 'rrf' ELSE 'graph_seed' END AS source FROM f WHERE place <= 8""")
 def ret6_hybrid_search(spark, d):
-    even = F.col("query_id") % 2 == 0
-    seeds = table(spark, d, "benchmark").filter("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), (F.col("item_id") + 1).alias("chunk_id"), F.lit(1).alias("place"))
-    lex, den = R.bm25_search(corpus(spark, d), asked(spark, d), 20).filter(even), dense(spark, d)
-    out = R.hybrid_search(lex, den.filter(even), seeds, 8).unionByName(den.filter(~even).withColumn("source", F.lit("dense_rerank")))
-    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place", "source")
+    seeds = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") + 1).alias("chunk_id"), F.lit(1).alias("place"))
+    lex = R.bm25_search(corpus(spark, d), asked(spark, d), 20)
+    return R.hybrid_search(lex, dense(spark, d), seeds, 8).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place", "source")
 
 
 @register(f"WITH {BM25}, s AS (SELECT query_id, chunk_id, place, CASE WHEN chunk_id % 3 <> 0 THEN chunk_id % 7 END AS ns FROM bm25 WHERE place <= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ns DESC NULLS LAST, place, chunk_id) AS new_place FROM s) SELECT query_id, chunk_id, CAST(new_place AS INTEGER) AS new_place FROM r WHERE new_place <= 4")
@@ -177,11 +174,11 @@ def ctx5_assemble_context(spark, d):
     return X.assemble_context(X.merge_siblings(passages(spark, d)))[0].select("query_id", "context_text")
 
 
-@register(f"""WITH {MERGED}, p AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, citation, score, section_path FROM cited WHERE query_id % 2 = 0),
+@register(f"""WITH {MERGED}, p AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, citation, score, section_path FROM cited),
   g AS (SELECT query_id, count(DISTINCT citation) AS citations, count(*) AS sources, round(avg(least(1, greatest(0, score))), 6) AS confidence, string_agg(DISTINCT coalesce(section_path, '(no section)'), ', ' ORDER BY coalesce(section_path, '(no section)')) AS sections FROM p GROUP BY 1)
   SELECT DISTINCT c.conv_id AS query_id, coalesce(citations, 0) AS citations, coalesce(sources, 0) AS sources, coalesce(confidence, 0.0) AS confidence, coalesce(sections, '') AS sections, sources IS NULL AS has_gap FROM conversations c LEFT JOIN g ON g.query_id = c.conv_id""")
 def ctx6_answer_envelopes(spark, d):
-    _, provenance = X.assemble_context(X.merge_siblings(passages(spark, d)).filter("query_id % 2 = 0"))
+    _, provenance = X.assemble_context(X.merge_siblings(passages(spark, d)))
     answers = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.lit("").alias("answer")).distinct()
     return X.answer_envelopes(provenance, answers).select("query_id", "citations", "sources", F.round("confidence", 6).alias("confidence"), "sections", "has_gap")
 

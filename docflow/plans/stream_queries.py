@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docflow.streaming import operators as S
 
+from .bindings import table
 from .registry import register
 
 
@@ -14,7 +15,17 @@ def events(spark, d):
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("key", F.col("user_id"))
 
 
-@register()
+#: In append mode a window comes out once the watermark, ten minutes behind the newest row, has passed its end.
+_MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM {})"
+
+
+def _sessions_sql(gap):
+    return f"""s AS (SELECT user_id AS key, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL {gap} THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  g AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM s), x AS (SELECT key, no, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY 1, 2 HAVING max(ts) + INTERVAL {gap} <= {_MARK.format('events')})"""
+
+
+@register(f"""WITH e AS (SELECT * FROM events WHERE event_type = 'error'), w AS (SELECT user_id AS key, make_timestamp(CAST((epoch_us(ts) // 21600000000 - i) * 21600000000 AS BIGINT)) AS start FROM e, range(4) t(i)),
+  g AS (SELECT key, start, count(*) AS n FROM w GROUP BY 1, 2) SELECT key, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n FROM g WHERE n >= 2 AND start + INTERVAL 1 DAY <= {_MARK.format('e')}""")
 def st1_bursts(spark, d):
     return S.drain(S.stream_bursts(events(spark, d).filter("event_type = 'error'"), 2, 86400, 21600)).select("key", F.col("start").cast("string").alias("start"), "n")
 
@@ -24,14 +35,14 @@ def st2_rate_limit(spark, d):
     return S.drain(S.stream_rate_limit(events(spark, d), 3, 43200.0))
 
 
-@register()
+@register(f"WITH {_sessions_sql('2 HOUR')} SELECT key, epoch_us(first) AS start_us, n FROM x")
 def st3_sessions(spark, d):
-    return S.drain(S.stream_sessions(events(spark, d))).select("key", F.col("start").cast("string").alias("start"), "n")
+    return S.drain(S.stream_sessions(events(spark, d))).select("key", F.unix_micros("start").alias("start_us"), "n")
 
 
-@register()
+@register(f"WITH {_sessions_sql('6 HOUR')} SELECT key, epoch_us(last) AS last_seen_us FROM x")
 def st4_stale(spark, d):
-    return S.drain(S.stream_stale(events(spark, d), "6 hours")).select("key", F.col("last_seen").cast("string").alias("last_seen"))
+    return S.drain(S.stream_stale(events(spark, d), "6 hours")).select("key", F.unix_micros("last_seen").alias("last_seen_us"))
 
 
 @register("SELECT user_id AS key, CAST(ts AS DATE) AS day, count(*) AS docs, round(sum(value), 6) AS carbon_g FROM events GROUP BY 1, 2")
@@ -65,3 +76,11 @@ def st9_dedupe(spark, d):
     e = events(spark, d)
     twice = e.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
     return S.drain(S.stream_dedupe(twice)).select("event_id", "event_type")
+
+
+@register("""WITH e AS (SELECT user_id AS key, ts, max(ts) OVER (PARTITION BY user_id ORDER BY md5(CAST(event_id AS VARCHAR)), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events)
+  SELECT key, count(*) AS n_rows, count_if(ts < newest - INTERVAL 2 DAY) AS late_rows, coalesce(max(CASE WHEN ts < newest - INTERVAL 2 DAY THEN epoch_us(newest) - epoch_us(ts) END), 0) AS most_late_us FROM e GROUP BY 1""")
+def st10_late_rows(spark, d):
+    """Events that arrive in an order shuffled by hash, so that some are late."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.struct(F.md5(F.col("event_id").cast("string").cast("binary")).alias("h"), "event_id").alias("arrival"))
+    return S.late_rows(e, "2 days")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docflow.operators import folds as L
 from docflow.operators import headings as H
 from docflow.operators import structure as S
+from docflow.session import shared_folder
 from docflow.sources import documents as D
 
 from .bindings import CHUNKS, QUERY_ROWS, chunks, queries, table
@@ -278,3 +281,24 @@ def chk2_consolidate(spark, d):
 def hie2_regional_groups(spark, d):
     c = chunks(spark, d).select("doc_id", "chunk_index", F.col("section").cast("string").alias("section"), F.col("content").alias("summary"))
     return L.regional_groups(c)
+
+
+@register("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def src8_event_log(spark, d):
+    """Events written as JSON lines, broken lines among them, and read back."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex[:12]}"
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    D.write_events(e, path)
+    e.select(F.concat(F.lit('{"event_id": '), "event_type", F.lit(', "user_id"'))).write.mode("append").text(path)
+    return D.read_events(spark, path, e.schema).select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@register("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def src8_tail_events(spark, d):
+    return D.tail_events(table(spark, d, "events"), 50).select("event_id", "event_type")
+
+
+@register()
+def str8_split_oversized(spark, d):
+    s = table(spark, d, "documents").select("doc_id", F.lit(0).alias("section"), F.lit("").alias("heading"), F.col("text").alias("body"))
+    return L.split_sections(s, 100).select("doc_id", "section", "part", "tokens", F.md5("body").alias("body_md5"))

@@ -95,6 +95,11 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | str) -> D
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def tail_events(df: DataFrame, n: int, key: str = "event_id") -> DataFrame:
+    """SRC8: the last n rows by key, as a report."""
+    return df.orderBy(F.desc(key)).limit(n)
+
+
 def flatten_routing_events(df: DataFrame, event: str = "event") -> DataFrame:
     """SRC9: indexed columns of a JSON event, confidence and carbon with their fallbacks."""
     g = lambda *ps: F.coalesce(*[F.get_json_object(event, p) for p in ps])

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -126,3 +126,13 @@ def stream_dedupe(events: DataFrame) -> DataFrame:
 def late_row_report(query) -> int:
     """ST10: rows that a query's stateful operators dropped as later than the watermark, so far."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def late_rows(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """ST10: (key, ts, arrival) of a finished log -> rows of each key, those that came later than a watermark
+    `lateness` behind the newest row of the key so far, and how late the latest was."""
+    seen = F.max("ts").over(Window.partitionBy("key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    late = F.col("ts") < F.col("newest") - F.expr(f"interval {lateness}")
+    behind = F.unix_micros("newest") - F.unix_micros("ts")
+    g = log.withColumn("newest", seen).groupBy("key")
+    return g.agg(F.count("*").alias("n_rows"), F.count_if(late).alias("late_rows"), F.coalesce(F.max(F.when(late, behind)), F.lit(0).cast("long")).alias("most_late_us"))

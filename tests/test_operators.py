@@ -1,6 +1,7 @@
 """Facts of single operators on small tables, and properties that hold whatever the order of rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,7 +141,18 @@ def test_components_and_cycles(spark):
 
 def test_betweenness_of_a_path_from_all_sources(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
-    assert {r.id: r.betweenness for r in cgraph.betweenness(e, 4, 4).collect()} == {"a": 0, "b": 4, "c": 4, "d": 0}
+    assert {r.id: r.betweenness for r in cgraph.betweenness(e, 4).collect()} == {"a": 0, "b": 4, "c": 4, "d": 0}
+
+
+def test_loops_run_until_they_settle(spark):
+    ring = spark.createDataFrame([(f"n{i:03d}", f"n{(i + 1) % 70:03d}") for i in range(70)], "src string, dst string")
+    assert Counter(r.component for r in cgraph.scc(ring).collect()) == {"n000": 70}
+    chain = spark.createDataFrame([("j", i, 1.0) for i in range(80)], "job_id string, node_id int, latency_ms double")
+    deps = spark.createDataFrame([("j", i, i + 1) for i in range(79)], "job_id string, dep int, node_id int")
+    assert [r.critical_ms for r in hierarchy.critical_path(chain, deps).collect()] == [80.0]
+    line = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(12)], "src string, dst string")
+    pairs = spark.createDataFrame([("v0", "v12"), ("v12", "v1"), ("v3", "w")], "src string, dst string")
+    assert {(r.src, r.dst): r.hops for r in cgraph.shortest_paths(line, pairs).collect()} == {("v0", "v12"): 12, ("v12", "v1"): 11, ("v3", "w"): None}
 
 
 def test_critical_path_ends_on_cycles(spark):

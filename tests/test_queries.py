@@ -31,7 +31,8 @@ def test_query_matches_its_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     if name not in ORACLES:
-        assert len(df.columns) > 1 or rows
+        # No SQL: rows there must be, none of them all null; brute-force versions are in tests/test_twins.py.
+        assert rows and all(any(v is not None for v in r) for r in rows)
         return
     got = db.execute(ORACLES[name])
     columns = [c[0] for c in got.description]
