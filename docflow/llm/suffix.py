@@ -15,7 +15,8 @@ edges of passages, edited copies) are refined: a run is cut into segments of `SE
 distance from the anchor, each with its whole bytes and a core, the bytes that all its strings share.
 Segments whose whole is seen twice are repeats; only segments that share a core and differ in the rest
 are taken apart into single strings. Bytes are told apart by the 64-bit key of their anchor and a
-64-bit hash of their own, 128 bits together.
+64-bit hash of their own, 128 bits together; bytes themselves are not compared. A row is found again by
+a 64-bit hash, and a run counts in it only if the run's bytes there have the run's own hash.
 All counting is by aggregations with map-side counts, so a passage held by a third of all documents
 is a handful of rows by the time it is shuffled.
 """
@@ -105,6 +106,11 @@ def _bytes(text) -> bytes:
     return t.encode("utf-8", "surrogatepass") if t is not None else b""
 
 
+def _hash(data: bytes) -> int:
+    h = xxh3_64_intdigest(data)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def _signed(hashes) -> pa.Array:
     return pa.array(np.fromiter(hashes, np.uint64).view(np.int64))
 
@@ -205,7 +211,11 @@ def _partly(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
-    """(row, text) -> (row, start, spans): strings start + lo .. start + lo + m - 1 of each span also start elsewhere."""
+    """(row, text) -> (row, start, n, context, spans): strings start + lo .. start + lo + m - 1 of each span also start elsewhere.
+
+    `row` may be a hash: the caller compares the run's bytes with `context` before it trusts a span, so
+    that two rows of one hash do not lend each other theirs.
+    """
     found = anchors(docs, length).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
     found = materialize(found, "suffix-anchors")
     index, met = LogarithmicIndex(), []
@@ -214,9 +224,11 @@ def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataF
     shared = met[0]
     for m in met[1:]:
         shared = shared.union(m)
-    posts = materialize(found.drop("batch").join(shared.distinct(), "key", "left_semi"), "suffix-candidates")
+    # Written, so that the join below has a plain exchange on both sides and a hot key can be split.
+    shared = materialize(shared.distinct(), "suffix-shared")
+    posts = materialize(found.drop("batch").join(shared, "key", "left_semi"), "suffix-candidates")
 
-    discard(found, *index.written)
+    discard(found, shared, *index.written)
 
     contexts = posts.groupBy("key", "context").agg(F.count("*").alias("seen"), F.min(F.struct("row", "start", "n", "reach")).alias("at"))
     contexts = materialize(contexts, "suffix-contexts")
@@ -231,7 +243,8 @@ def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataF
                 out = []
                 for text, runs in zip(part.column(0), part.column(1)):
                     data = _bytes(text)
-                    out += [(r["key"], r["context"], r["reach"], data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in runs.as_py()]
+                    own = [(r, data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in runs.as_py()]
+                    out += [(r["key"], r["context"], r["reach"], piece) for r, piece in own if _hash(piece) == r["context"]]
                 key, ctx, reach, data = zip(*out) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ctx, pa.int64()), pa.array(reach, pa.int32()), pa.array(data, pa.binary())], names=["key", "context", "reach", "data"])
 
@@ -244,7 +257,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4) -> DataF
     status = materialize(status.filter("full or spans is not null"), "suffix-status")
     out = posts.join(status, ["key", "context"])
     all_of_it = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("m")))
-    return out.select("row", "start", F.when(F.col("full"), all_of_it).otherwise(F.col("spans")).alias("spans"))
+    return out.select("row", "start", "n", "context", F.when(F.col("full"), all_of_it).otherwise(F.col("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_text: bool = True) -> DataFrame:
@@ -257,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    hits = repeated_runs(rows, length, batches).groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("runs"))
+    hits = repeated_runs(rows, length, batches).groupBy("row").agg(F.collect_set(F.struct("start", "n", "context", "spans")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(batches):
@@ -266,7 +279,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
                 out = []
                 for text, runs in zip(part.column(1), part.column(2)):
                     data = _bytes(text)
-                    spans = sorted((r["start"] + x["lo"], r["start"] + x["lo"] + x["m"] - 1 + length) for r in runs.as_py() or () for x in r["spans"])
+                    own = [r for r in runs.as_py() or () if _hash(data[r["start"] : r["start"] + r["n"] - 1 + length]) == r["context"]]
+                    spans = sorted((r["start"] + x["lo"], r["start"] + x["lo"] + x["m"] - 1 + length) for r in own for x in r["spans"])
                     merged: list[list[int]] = []
                     for s, e in spans:
                         if merged and s <= merged[-1][1]:
