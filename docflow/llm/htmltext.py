@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ LEAST_PAGES = 3
 LEAST_SHARE = 0.1
 _ITEM = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|math|canvas|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(?P<odd>[a-zA-Z][^\s/>\"']*)[^>]*(?:>|\Z)",
     re.S | re.I,
 )
 # Element names.
@@ -46,17 +47,25 @@ _MARKS = frozenset(
     "cookie cookies consent gdpr notice notices notification popup modal overlay alert comment comments commentlist disqus respond reply replies form search "
     "pagination pager toolbar copyright legal disclaimer complementary contentinfo paywall".split()
 )
+# Words of class, id and role attributes of what holds the article.
+_HOLDS = frozenset("article body content entry main post story text".split())
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 def _marked(attributes: str) -> bool:
+    """Hidden, or an attribute names what is not the article, and none of its names what holds the article alone."""
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(not _MARKS.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())) for m in (x.groups() for x in _NAMED.finditer(attributes)))
+    for x in _NAMED.finditer(attributes):
+        names = [set(re.split(r"[^a-z]+", n)) for n in (x[2] or x[3] or x[4] or "").lower().split()]
+        marked = [not _MARKS.isdisjoint(n) for n in names]
+        if any(marked) and not any(not m and not _HOLDS.isdisjoint(n) for m, n in zip(marked, names)):
+            return True
+    return False
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -72,6 +81,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
 def _blocks(page: str | None, lift: bool) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     open_: list[tuple[str, int, int, int]] = []  # name, barred, main and soft counts outside it
+    where: dict[str, list[int]] = defaultdict(list)  # places of each name among the open ones
+    blocks_at: list[int] = []
     held: list[str] = []
     barred = main = soft = 0  # soft: bars by class words or form, which an article lifts
     at = 0
@@ -86,20 +97,25 @@ def _blocks(page: str | None, lift: bool) -> list[tuple[str, int]]:
     def close_to(i: int):
         nonlocal barred, main, soft
         _, barred, main, soft = open_[i]
+        for name, *_ in open_[i:]:
+            where[name].pop()
         del open_[i:]
+        while blocks_at and blocks_at[-1] >= i:
+            blocks_at.pop()
 
     for m in _ITEM.finditer(page):
         if m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        name = (m[3] or m["odd"] or "").lower()
+        if not name:
             continue
-        name = m[3].lower()
+        attributes = m[4] or ""
         if m[2]:
-            i = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
+            i = where[name][-1] if where[name] else None
             if name in _BLOCK:
                 flush()
-            if i is not None and (name in _BLOCK or all(o[0] not in _BLOCK for o in open_[i + 1 :])):
+            if i is not None and (name in _BLOCK or not blocks_at or blocks_at[-1] <= i):
                 close_to(i)
             continue
         if name == "br":
@@ -107,12 +123,15 @@ def _blocks(page: str | None, lift: bool) -> list[tuple[str, int]]:
             continue
         if name in _BLOCK:
             flush()
-        if name in _SHUTS_P:
-            i = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in _BLOCK), None)
-            if i is not None and (open_[i][0] == "p" or name == open_[i][0] and name in ("li", "dd", "dt", "tr", "td", "th", "option")):
+        if name in _SHUTS_P and blocks_at:
+            i = blocks_at[-1]
+            if open_[i][0] == "p" or name == open_[i][0] and name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                 close_to(i)
-        if name in _VOID or m[4].endswith("/") and name not in _BLOCK:
+        if name in _VOID or attributes.endswith("/") and name not in _BLOCK:
             continue
+        where[name].append(len(open_))
+        if name in _BLOCK:
+            blocks_at.append(len(open_))
         open_.append((name, barred, main, soft))
         if lift and name in _MAIN and barred == soft:
             barred = soft = 0
@@ -121,10 +140,10 @@ def _blocks(page: str | None, lift: bool) -> list[tuple[str, int]]:
             main += 1
         if name in _OUT and not (inside_main and name == "header"):
             barred += 1
-            soft += name == "form" and not _HIDDEN.search(m[4])
-        elif _marked(m[4]) and (name not in _KEPT or _HIDDEN.search(m[4])):
+            soft += name == "form" and not _HIDDEN.search(attributes)
+        elif _marked(attributes) and (name not in _KEPT or _HIDDEN.search(attributes)):
             barred += 1
-            soft += not _HIDDEN.search(m[4])
+            soft += not _HIDDEN.search(attributes)
     if at < len(page):
         held.append(page[at:])
     flush()
@@ -146,13 +165,14 @@ def _host(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
-def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, structure: bool = True) -> DataFrame:
     """pages -> page_id, url, text, n_chars: the article's blocks in page order, joined by newlines.
 
     Character references are decoded; white space inside a block becomes one space; `br` parts blocks.
     Null html is empty and gives an empty text. A page without an article keeps its undecided blocks
     but for tokens covered by runs of `run` or more tokens that LEAST_PAGES pages of its host and
-    LEAST_SHARE of them hold, copies counted once. Urls without a host lose nothing. Repeated rows are the same
+    LEAST_SHARE of them hold, copies counted once. With structure=False no element
+    bars or settles a block, and the index alone decides about all of them. Urls without a host lose nothing. Repeated rows are the same
     page if page_id and url agree. Other columns are ignored. Empty in, empty out.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string").alias("text"))
@@ -163,6 +183,7 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
                 ids, urls, sure, rest, copy = part.column(0), part.column(1), [], [], []
                 for t in part.column(2):
                     found = blocks(t.as_py())
+                    found = found if structure else [(text, 1) for text, _ in found]
                     settled = not any(kind == 1 for _, kind in found)
                     sure.append("\n".join(text for text, kind in found if kind == 2) if settled else None)
                     h = xxh3_64_intdigest("\n".join(text for text, kind in found if kind))
@@ -192,7 +213,7 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     repeated = repeated.join(sizes, "host").filter(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "key")
     undecided = parsed.filter("sure is null")
     theirs = undecided.select("host", "page", "blocks").mapInArrow(index, "host string, page long, key long")
-    covered = theirs.join(repeated, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_list("key").alias("keys"))
+    covered = theirs.join(repeated, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_set("key").alias("keys"))
 
     def trim(batches):
         for b in batches:

@@ -424,6 +424,34 @@ def test_ancestors_do_not_bar_the_article(around):
     assert not any(kind for _, kind in htmltext.blocks("<div hidden><article>x</article></div><nav><article>y</article></nav>"))
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><div class='article-body form-factor'>kept</div><div class='comment-content'>gone</div></article>", "kept"),
+    ("<article><div class='related-coverage main'>kept</div><div id='comments' class='content'>gone</div></article>", "kept"),
+    ("<article><p class=\"a>kept</article>", "kept"),
+    ("<article><p>one<p title='b>two</article>", "one\ntwo"),
+])
+def test_wrappers_and_open_quotes_keep_the_text(page, text):
+    assert "\n".join(t for t, kind in htmltext.blocks(page) if kind == 2) == text
+
+
+@pytest.mark.parametrize("piece", ["<b>x</i>", "<i><p><b>x</i>", "<b><i>x</b>", "<p>x</b>"])
+def test_long_broken_pages_take_linear_time(piece):
+    from time import perf_counter
+
+    began = perf_counter()
+    assert "".join(t for t, _ in htmltext.blocks(piece * (1_000_000 // len(piece)))).count("x") == 1_000_000 // len(piece)
+    assert perf_counter() - began < 10
+
+
+def test_index_alone_removes_what_pages_share(spark):
+    rng = random.Random(7)
+    menu = "home news sports culture weather contact imprint login help about us"
+    own = [words(rng, 40) for _ in range(20)]
+    rows = [(i, f"http://h.org/{i}", f"<nav>{menu}</nav><article><p>{w}</p></article>") for i, w in enumerate(own)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), structure=False).collect()}
+    assert got == dict(enumerate(own))
+
+
 def test_pages_give_their_article(spark, tables):
     import html as h
 
