@@ -105,8 +105,15 @@ def grounding(cand, context) -> Column:
     low, ctx, w = F.lower(text_of(cand)), normal(context), tokens(cand, "eval")
     # Marks of a citation.
     cites = F.array_contains(F.transform(F.array(*[F.lit(m) for m in ("[", "source", "according to", "as stated", "cited")]), lambda m: F.contains(low, m)), F.lit(True))
-    starts = F.when(F.size(w) >= 3, F.sequence(F.lit(1), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-    hits = F.size(F.filter(starts, lambda i: F.contains(ctx, F.array_join(F.slice(w, i, 3), " "))))
+
+    def phrases(l):
+        n = F.greatest(F.size(l) - 2, F.lit(0))
+        join = lambda a, b: F.concat_ws(" ", a, b)
+        return F.zip_with(F.zip_with(F.slice(l, F.lit(1), n), F.slice(l, F.lit(2), n), join), F.slice(l, F.lit(3), n), join)
+
+    # Tokens and context are bound once, as elements of arrays; in a lambda they would be made anew for every phrase.
+    both = F.array(F.struct(w.alias("w"), ctx.alias("ctx")))
+    hits = F.get(F.transform(both, lambda b: F.size(F.filter(phrases(b["w"]), lambda g: F.contains(b["ctx"], g)))), F.lit(0))
     score = 100.0 * F.least(F.lit(1.0), F.size(F.array_intersect(c, x)) / F.greatest(F.lit(1), F.size(c)) + F.when(cites, 0.08).otherwise(0.0) + F.least(F.lit(0.15), hits * 0.03))
     return F.when(strip(text_of(context)) == "", F.lit(None)).when((F.size(c) == 0) | (F.size(x) == 0), 0.0).otherwise(score)
 

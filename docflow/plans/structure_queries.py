@@ -25,7 +25,8 @@ _SPACED = r"regexp_replace(text, '([^\n]*\n[^\n]*\n[^\n]*)\n', '\1' || chr(10) |
 
 
 def spaced(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"([^\n]*\n[^\n]*\n[^\n]*)\n", "$1\n\n").alias("text"))
+    # Matches begin at the start of a line only, else a long line would be read again from each of its characters.
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(?md)^([^\n]*+\n[^\n]*+\n[^\n]*+)\n", "$1\n\n").alias("text"))
 
 
 @register(rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split({_SPACED}, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
