@@ -59,21 +59,33 @@ def exact_match(ref, cand) -> Column:
 
 
 def token_recall(ref, cand) -> Column:
-    r, c = token_set(ref, "eval"), token_set(cand, "eval")
+    return _recall(token_set(ref, "eval"), token_set(cand, "eval"))
+
+
+def _recall(r: Column, c: Column) -> Column:
     return F.when(F.size(r) == 0, F.when(F.size(c) == 0, 100.0).otherwise(50.0)).when(F.size(c) == 0, 0.0).otherwise(100.0 * F.size(F.array_intersect(r, c)) / F.size(r))
 
 
 def token_f1(ref, cand) -> Column:
-    r, c = token_set(ref, "eval"), token_set(cand, "eval")
-    both = F.size(F.array_intersect(r, c))
-    p, q = both / F.greatest(F.lit(1), F.size(c)), both / F.greatest(F.lit(1), F.size(r))
-    f1 = 2 * p * q / F.greatest(F.lit(1e-9), p + q) * 100.0
+    return _f1(token_set(ref, "eval"), token_set(cand, "eval"))
+
+
+def _f1(r: Column, c: Column) -> Column:
+    # p and q are shares of `both`, so 2pq / (p + q) is twice `both` over the two sizes.
+    f1 = 200.0 * F.size(F.array_intersect(r, c)) / (F.size(r) + F.size(c))
     return F.when((F.size(r) == 0) & (F.size(c) == 0), 100.0).when((F.size(r) == 0) | (F.size(c) == 0), 0.0).otherwise(f1)
 
 
 def length_ratio(ref, cand) -> Column:
-    n = lambda x: F.coalesce(F.nullif(F.size(tokens(x, "eval")), F.lit(0)), F.length(normal(x)))
-    r, c = n(ref), n(cand)
+    n = lambda x: _count(tokens(x, "eval"), normal(x))
+    return _ratio(n(ref), n(cand))
+
+
+def _count(words: Column, text: Column) -> Column:
+    return F.coalesce(F.nullif(F.size(words), F.lit(0)), F.length(text))
+
+
+def _ratio(r: Column, c: Column) -> Column:
     ratio = c / r
     return (
         F.when((r <= 0) & (c <= 0), 100.0).when(c <= 0, 0.0)
@@ -82,9 +94,28 @@ def length_ratio(ref, cand) -> Column:
     )
 
 
+_SIDES = ("ref__", "cand__")
+
+
+def _with_sides(pairs: DataFrame, ref: str, cand: str) -> DataFrame:
+    """Tokens, token set, normal form and length of both sides as columns: each is made once a row, however often read."""
+    df = pairs
+    for side, c in zip(_SIDES, (ref, cand)):
+        df = df.withColumns({f"{side}t": tokens(c, "eval"), f"{side}n": normal(c)})
+        df = df.withColumns({f"{side}s": F.array_distinct(f"{side}t"), f"{side}l": _count(F.col(f"{side}t"), F.col(f"{side}n"))})
+    return df
+
+
+def _without_sides(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"{side}{x}" for side in _SIDES for x in "tnsl"])
+
+
 def lexical_scores(pairs: DataFrame, ref: str = "reference", cand: str = "candidate") -> DataFrame:
     """EVL3: exact match, token recall, length ratio and token F1 of each pair, 0 to 100."""
-    return pairs.withColumns({"exact_match": exact_match(ref, cand), "token_recall": token_recall(ref, cand), "length_ratio": length_ratio(ref, cand), "token_f1": token_f1(ref, cand)})
+    r, c = (lambda x: F.col(f"ref__{x}")), (lambda x: F.col(f"cand__{x}"))
+    return _without_sides(_with_sides(pairs, ref, cand).withColumns({
+        "exact_match": F.when(r("n") == c("n"), 100.0).otherwise(0.0), "token_recall": _recall(r("s"), c("s")), "length_ratio": _ratio(r("l"), c("l")), "token_f1": _f1(r("s"), c("s")),
+    }))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -94,8 +125,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def sequence_similarity(ref, cand) -> Column:
     """EVL4: 0.45 of the matching-blocks ratio and 0.55 of the token F1; the ratio runs over Arrow batches."""
-    r, c = normal(ref), normal(cand)
-    mixed = 0.45 * sequence_ratio(r, c) + 0.55 * token_f1(ref, cand)
+    return _similarity(normal(ref), normal(cand), token_f1(ref, cand))
+
+
+def _similarity(r: Column, c: Column, f1: Column) -> Column:
+    mixed = 0.45 * sequence_ratio(r, c) + 0.55 * f1
     return F.when((r == "") & (c == ""), 100.0).when((r == "") | (c == ""), 0.0).otherwise(mixed)
 
 
@@ -122,7 +156,8 @@ def composite(pairs: DataFrame) -> DataFrame:
     """EVL6: (pair_id, reference, candidate, context) -> quality and its parts; skipped without a reference."""
     ref, cand = "reference", "candidate"
     skipped, empty = strip(text_of(ref)) == "", strip(text_of(cand)) == ""
-    df = pairs.withColumns({"em": exact_match(ref, cand), "lex": sequence_similarity(ref, cand), "completeness": token_recall(ref, cand), "conciseness": length_ratio(ref, cand), "groundedness": grounding(cand, "context")})
+    df = lexical_scores(pairs, ref, cand).withColumnsRenamed({"exact_match": "em", "token_recall": "completeness", "length_ratio": "conciseness"})
+    df = df.withColumns({"lex": _similarity(normal(ref), normal(cand), F.col("token_f1")), "groundedness": grounding(cand, "context")})
     df = df.withColumn("correctness", 0.35 * F.col("em") + 0.65 * F.col("lex"))
     with_ctx = F.col("correctness") * 0.40 + F.col("completeness") * 0.25 + F.col("conciseness") * 0.15 + F.col("groundedness") * 0.20
     without = F.col("correctness") * 0.45 + F.col("completeness") * 0.30 + F.col("conciseness") * 0.25

@@ -50,9 +50,15 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "chunk_id", "score", "place")
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """RET3: (chunk_id, scope, v) and (query_id, scope, q) -> the k nearest by cosine within the scope."""
-    met = vectors.join(queries, "scope")
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 16) -> DataFrame:
+    """RET3: (chunk_id, scope, v) and (query_id, scope, q) -> the k nearest by cosine within the scope.
+
+    A scope's vectors are dealt to cells and each query goes to all of them, so that a scope with a third of
+    all rows is met in many tasks; each keeps its k best before they shuffle by query.
+    """
+    dealt = vectors.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int"))
+    asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    met = dealt.join(asked, ["scope", "cell"])
     return top(met.select("query_id", "chunk_id", cosine(F.col("q"), F.col("v")).alias("score")), k)
 
 
