@@ -220,10 +220,15 @@ def cg7_impact(spark, d):
     return C.affected_files(C.impact(edges(spark, d), v.filter("id in ('s1', 'p2')").select("id"), 2), v)
 
 
-@register()
+#: All matches of the node search, before the best are taken.
+_SCORES = ORACLES["cg3_search_nodes"].partition(", place FROM r")[0].partition("SELECT query_id, id, round(score, 6)")[0]
+
+
+@register(_SCORES + """, f AS (SELECT query_id, source_file, s.id, score, row_number() OVER (PARTITION BY query_id, source_file ORDER BY score DESC, s.id DESC) AS n FROM r s JOIN v ON v.id = s.id WHERE place <= 40),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, source_file) AS spot FROM f WHERE n = 1) SELECT query_id, source_file, id, round(score, 6) AS score, CAST(spot AS INTEGER) AS place FROM o WHERE spot <= 10""")
 def cg8_locate(spark, d):
     v, e, q = _searched(spark, d)
-    return C.locate(v, e, q)
+    return C.locate(v, e, q).select("query_id", "source_file", "id", F.round("score", 6).alias("score"), "place")
 
 
 @register(f"""WITH {CODE}, x AS (SELECT DISTINCT a.source_file AS f, b.source_file AS t FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.source_file <> b.source_file)
@@ -295,7 +300,9 @@ def cg10_explain_flow(spark, d):
     return C.explain_flow(edges(spark, d), vertices(spark, d), p)
 
 
-@register()
+@register(_SCORES.replace("AS query FROM region)", "AS q0 FROM region)", 1).replace("SELECT *, lower(query) AS qn FROM q)", "SELECT query_id, lower(q0) AS query, lower(q0) AS qn FROM q)", 1) + """, ht AS (SELECT query_id, id, score FROM r WHERE place <= 10),
+  b AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM ht UNION ALL SELECT query_id, b, 0.7::DOUBLE * score FROM ht JOIN un ON a = id) GROUP BY 1, 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS spot FROM b) SELECT query_id, id, round(score, 6) AS score, CAST(spot AS INTEGER) AS place FROM o WHERE spot <= 10""")
 def cg11_graph_qa(spark, d):
     v, e, q = _searched(spark, d)
     return C.graph_qa(v, e, q.withColumn("query", F.concat(F.lit("where is "), "query", F.lit(" used")))).select("query_id", "id", F.round("score", 6).alias("score"), "place")

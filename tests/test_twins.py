@@ -1,12 +1,14 @@
 """Registered queries that SQL cannot say, against plain brute-force versions on the smallest tables."""
 
+import re
 from collections import Counter, defaultdict, deque
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.operators import cgraph, folds
-from docflow.plans import graph_queries
+from docflow.operators import cgraph, context, features, folds, routing
+from docflow.plans import evaluation_queries, graph_queries, retrieval_queries, routing_queries
 from docflow.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +131,142 @@ def test_split_sections_keep_short_ones(spark):
     s = spark.createDataFrame([("d", 1, "H", "short"), ("d", 2, None, None), ("d", 3, "L", "\n\n".join(["word " * 50] * 9))], "doc_id string, section int, heading string, body string")
     out = sorted((r.section, r.part, r.tokens) for r in folds.split_sections(s, 130).collect())
     assert out[:2] == [(1, 0, 1), (2, 0, 1)] and [x[1] for x in out[2:]] == list(range(5)) and all(x[2] <= 130 for x in out)
+
+
+def test_flow_stories(spark, got):
+    step = defaultdict(set)
+    for a, b in graph(spark):
+        step[a].add(b)
+        step[b].add(a)
+    label = {r.id: r.label for r in graph_queries.vertices(spark, SF).collect()}
+    want = {}
+    for k in range(5):
+        src, dst, front = f"s{k}", f"p{7 * k + 1}", [f"s{k}"]
+        parent = {src: None}
+        while front and dst not in parent:
+            new = {}
+            for x in sorted(front):
+                for y in step[x]:
+                    if y not in parent:
+                        new.setdefault(y, x)
+            parent |= new
+            front = list(new)
+        if dst in parent and src in step:
+            path = [dst]
+            while parent[path[0]] is not None:
+                path.insert(0, parent[path[0]])
+            want[src, dst] = " -> ".join(label[x] for x in path if x in label)
+    assert {(r.src, r.dst): r.story for r in got("cg10_explain_flow")} == want and len(want) > 2
+
+
+def by_query(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r.query_id].append(r)
+    return out
+
+
+def test_repeated_passages_go(spark, got):
+    want = set()
+    for q, rows in by_query(retrieval_queries.passages(spark, SF).collect()).items():
+        kept = []
+        for r in sorted(rows, key=lambda r: (-r.score, r.rank, r.chunk_id)):
+            terms = set(re.findall("[a-z0-9_]{3,}", r.content.lower()))
+
+            def like(k, text=r.content.strip(), terms=terms):
+                if not terms or not k[1]:
+                    return k[0].lower() == text.lower()
+                return k[0] == text or len(terms & k[1]) / len(terms | k[1]) >= 0.85
+
+            if not any(like(k) for k in kept):
+                kept.append((r.content.strip(), terms))
+                want.add((q, r.chunk_id))
+    assert {(r.query_id, r.chunk_id) for r in got("ctx2_dedupe_passages")} == want
+
+
+def test_blocks_under_budget(spark, got):
+    want = {}
+    for q, rows in by_query(context.merge_siblings(retrieval_queries.passages(spark, SF)).collect()).items():
+        used = 0
+        for r in sorted(rows, key=lambda r: (-r.score, r.rank, r.chunk_ids)):
+            cost = max(1, len(r.content) // 4) + 8
+            if not used and cost > 200:
+                want[q, ",".join(r.chunk_ids)] = min(len(r.content), 800)
+                break
+            if used + cost <= 200:
+                used += cost
+                want[q, ",".join(r.chunk_ids)] = len(r.content)
+    assert {(r.query_id, r.chunk_ids): r.n_chars for r in got("ctx4_select_under_budget")} == want
+
+
+def test_overflow_layers(spark, got):
+    todo, want = defaultdict(list), set()
+    for r in routing_queries.nodes(spark, SF).collect():
+        todo[r.job_id, "root"].append((f"n{r.node_id:04d}", r.tokens))
+    for (job, parent), kids in todo.items():
+        for r in range(6):
+            total, n = sum(t for _, t in kids), len(kids)
+            if total <= 6000 or n <= 2:
+                break
+            fan, kids, new = max(2, min(n - 1, 6000 // max(80, total // n))), sorted(kids), []
+            for i in range(0, n, fan):
+                node, part = f"overflow/{parent}/{r}/{i // fan}", kids[i : i + fan]
+                want |= {(job, node, c, t) for c, t in part}
+                new.append((node, min(400, sum(t for _, t in part))))
+            kids = new
+        want |= {(job, parent, c, t) for c, t in kids}
+    assert {(r.job_id, r.parent, r.child, r.tokens) for r in got("hie5_overflow_layers")} == want
+
+
+def test_tiers_under_a_carbon_budget(spark, got):
+    grams = {t: v[1] for t, v in routing.EXPECTED.items()}
+    free, want = defaultdict(list), {}
+    for r in routing.route_chunks(features.chunk_features(routing_queries.fchunks(spark, SF))).collect():
+        free[r.doc_id].append((r.chunk_index, r.tier))
+    for doc, rows in free.items():
+        spent = 0.0
+        for i, tier in sorted(rows):
+            place = routing.TIERS.index(tier)
+            if place and spent + grams[tier] > 1.0:
+                tier = routing.TIERS[place - 1]
+            spent += grams[tier]
+            want[doc, i] = tier
+    out = got("rte3_route_under_budget")
+    assert {(r.doc_id, r.chunk_index): r.tier for r in out} == want and all(r.expected_carbon_g == grams[r.tier] for r in out)
+
+
+def words(text):
+    return re.findall(r"[a-z0-9]+(?:'[a-z]+)?", text.lower())
+
+
+def plain_f1(a, b):
+    r, c = set(words(a)), set(words(b))
+    return 100.0 if not r and not c else 0.0 if not r or not c else 200.0 * len(r & c) / (len(r) + len(c))
+
+
+def plain_similarity(a, b):
+    x, y = (re.sub(r"\s+", " ", t.lower().strip()) for t in (a, b))
+    if not x or not y:
+        return 100.0 if x == y else 0.0
+    return 45.0 * SequenceMatcher(None, x, y).ratio() + 0.55 * plain_f1(a, b)
+
+
+def plain_quality(a, b, ctx):
+    r, c, x = set(words(a)), set(words(b)), set(words(ctx))
+    em = 100.0 * (re.sub(r"\s+", " ", a.lower().strip()) == re.sub(r"\s+", " ", b.lower().strip()))
+    recall = (50.0 if c else 100.0) if not r else 100.0 * len(r & c) / len(r)
+    ratio = len(words(b)) / len(words(a))
+    concise = 100.0 if 0.6 <= ratio <= 1.4 else 100.0 * (ratio / 0.6 if ratio < 0.6 else 1.4 / ratio)
+    w, flat = words(b), re.sub(r"\s+", " ", ctx.lower().strip())
+    hits = sum(" ".join(w[i : i + 3]) in flat for i in range(len(w) - 2))
+    cites = any(m in b.lower() for m in ("[", "source", "according to", "as stated", "cited"))
+    ground = 100.0 * min(1.0, len(c & x) / len(c) + 0.08 * cites + min(0.15, 0.03 * hits)) if c and x else 0.0
+    return 0.40 * (0.35 * em + 0.65 * plain_similarity(a, b)) + 0.25 * recall + 0.15 * concise + 0.20 * ground
+
+
+def test_similarity_and_composite(spark, got):
+    rows = {r.pair_id: r for r in evaluation_queries.answers(spark, SF).collect()}
+    want = {i: plain_similarity(r.reference, r.candidate) for i, r in rows.items()}
+    assert {r.pair_id: r.similarity for r in got("evl4_sequence_similarity")} == pytest.approx(want, abs=1e-5)
+    full = {i: plain_quality(r.reference, r.candidate, r.context) for i, r in rows.items() if words(r.reference) and words(r.candidate)}
+    assert full and {r.pair_id: r.quality_score for r in got("evl6_composite") if r.pair_id in full} == pytest.approx(full, abs=1e-5)
