@@ -28,11 +28,8 @@ PAIRS = r"""pairs AS (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, chunk_index, content, parent_id, section): a chunk is a line of a document that is not blank."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("line")
-    d = d.withColumn("content", F.trim("content")).filter("content <> ''").withColumn("chunk_index", F.row_number().over(w) - 1)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("chunk_index", "content"))
     section = F.floor(F.col("chunk_index") / 8).cast("int")
     return d.select("doc_id", "chunk_index", "content", F.concat_ws("-", "doc_id", section).alias("parent_id"), section.alias("section"))
 
