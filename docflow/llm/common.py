@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from itertools import combinations
 
 import pyarrow as pa
@@ -25,22 +27,49 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Folders that materialize() writes while settle() waits for its result.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    if (held := _written.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote and nothing reads any more; let go of finished shuffles.
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialize() what make() returns, then delete the tables that were written on the way to it.
 
-    Shuffle files go when the driver's JVM collects the plans that made them, so it is asked to.
+    For callers that read the result only; after a failure all tables stay.
     """
+    before = _written.set([])
+    try:
+        out = materialize(make(), name)
+        on_the_way = _written.get()[:-1]
+    finally:
+        _written.reset(before)
+    _delete(spark, on_the_way)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing reads any more."""
     for df in tables:
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """drop(), and let go of finished shuffles: their files go when the driver's JVM collects the plans that made them."""
+    drop(*tables)
     if tables:
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
@@ -96,7 +125,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round is two aggregations with map-side
     minima and two equi-joins whose hot keys AQE can split; the links of a round are written to the
-    shared folder. Ends when a round changes nothing (rounds grow with the logarithm of the longest
+    shared folder and deleted once the next round's are. Ends when a round changes nothing (rounds grow with the logarithm of the longest
     chain). Nodes without links are not in the result.
     """
     def state(df: DataFrame):
@@ -119,7 +148,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .filter("u > v")
             .distinct()
         )
-        e = materialize(small, "links")
+        last, e = e, materialize(small, "links")
+        drop(last)
         after = state(e)
         if after == before:
             break
