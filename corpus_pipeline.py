@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import decontam, mixing, sharding, simhash, toxicity
-from docflow.llm.common import materialize, table
+from docflow.llm.common import drop, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Only its table stays: the others are deleted once the next stage is written."""
+    docs = raw = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        given, docs = docs, settle(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if given is not raw:
+            drop(given)
     return docs
