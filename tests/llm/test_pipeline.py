@@ -27,3 +27,14 @@ def test_stages_keep_and_drop_what_they_should(spark):
     rows = [(r.doc_id, r.text, r.source) for r in mixed.collect()]
     check_shards(shard(spark, mixed, SF).collect(), rows)
     assert Tally(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == Tally(r[0] for r in rows)
+
+
+def test_only_the_last_table_stays(spark):
+    import os
+
+    from docflow.llm.common import shared_folder
+
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF)
+    assert [x.rpartition("-")[0] for x in set(os.listdir(folder)) - before] == ["pipeline-sharding"] and out.count() > 0
