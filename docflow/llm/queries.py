@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, mixing, quality, sharding, simhash, suffix, tokencount, toxicity, vafile
+from . import decontam, htmltext, mixing, quality, runs, sharding, simhash, suffix, tokencount, toxicity, vafile
 from .common import table
 
 
@@ -48,11 +48,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash, op3_quality, op4_decontamination, op5_vector_top_k,
         op6_suffix_dedup, op7_html_text, op8_sharding, op9_mixing, op10_toxicity,
+        op11_periodic_runs,
     )
 }
 
