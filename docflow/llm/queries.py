@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, mixing, quality, runs, sharding, simhash, suffix, tokencount, toxicity, vafile
+from . import decontam, htmltext, mixing, phrases, pii, quality, runs, sharding, simhash, suffix, tokencount, toxicity, vafile
 from .common import table
 
 
@@ -52,12 +52,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash, op3_quality, op4_decontamination, op5_vector_top_k,
         op6_suffix_dedup, op7_html_text, op8_sharding, op9_mixing, op10_toxicity,
-        op11_periodic_runs,
+        op11_periodic_runs, op12_personal_data, op13_phrases,
     )
 }
 
@@ -98,4 +106,30 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_phrases": r"""
+        WITH p AS (
+          SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents)
+        ), words AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        g AS (
+          SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS a
+          FROM p, unnest(range(1, 6)) AS x(m), unnest(range(1, len(w) - m + 2)) AS y(i) GROUP BY lang, m, phrase HAVING count(*) >= 100
+        ), c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM g WHERE m > 1),
+        cuts AS (
+          SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, words.n,
+                 (1000 :: HUGEINT * c.a * words.n) // (l.a :: HUGEINT * r.a) AS score
+          FROM c, unnest(range(1, m)) AS x(k), g AS l, g AS r, words
+          WHERE l.lang = c.lang AND l.phrase = array_to_string(w[1 : k], ' ') AND r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 : m], ' ') AND words.lang = c.lang
+        ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+          SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer
+          FROM c, unnest(range(2, m)) AS x(s), unnest(range(1, m - s + 2)) AS y(i) GROUP BY 1, 2
+        ), ranked AS (
+          SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+          FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
 }
