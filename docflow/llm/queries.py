@@ -120,8 +120,8 @@ ORACLES = {
         cuts AS (
           SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, words.n,
                  (1000 :: HUGEINT * c.a * words.n) // (l.a :: HUGEINT * r.a) AS score
-          FROM c, unnest(range(1, m)) AS x(k), g AS l, g AS r, words
-          WHERE l.lang = c.lang AND l.phrase = array_to_string(w[1 : k], ' ') AND r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 : m], ' ') AND words.lang = c.lang
+          FROM c, unnest(range(1, c.m)) AS x(k), g AS l, g AS r, words
+          WHERE l.lang = c.lang AND l.phrase = array_to_string(w[1 : k], ' ') AND r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 : c.m], ' ') AND words.lang = c.lang
         ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
         inside AS (
           SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer
