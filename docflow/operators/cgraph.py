@@ -11,7 +11,6 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.functions.text import norm_label
 from docflow.session import shared_folder
 
 # Relation families, relations a change passes through, endings of images and files.
@@ -67,33 +66,6 @@ def degrees(v: DataFrame, e: DataFrame) -> DataFrame:
     return v.select("id").join(d, "id", "left").select("id", zero("in_degree"), zero("out_degree"), (F.coalesce("in_degree", F.lit(0)) + F.coalesce("out_degree", F.lit(0))).alias("degree"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Share of the longer string that edits leave, 0 to 100."""
-    return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
-
-
-def search_nodes(v: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """CG3: vertices (with kind, degree) for each query, by exact label or id, shared tokens and similarity.
-
-    A vertex is a candidate if it shares a token of two letters or more in label, id or file. Tokens
-    meet by equality of the words of a vertex, so no query is tried on every vertex.
-    """
-    q = queries.withColumn("qn", norm_label("query"))
-    qt = q.select("query_id", F.explode(F.array_distinct(F.split("qn", " "))).alias("t")).filter(F.length("t") > 1)
-    own = F.array_distinct(F.split(norm_label(F.concat_ws(" ", "label", "id", F.regexp_replace("source_file", "[/._]", " "))), " "))
-    vt = v.select("id", F.explode(own).alias("t"))
-    hits = qt.join(vt, "t").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
-    c = hits.join(v, "id").join(q, "query_id")
-    nl = norm_label("label")
-    score = similarity(F.col("qn"), nl) + F.least(F.lit(10.0), 0.3 * F.col("degree")) + 5.0 * F.col("hits")
-    score = score - F.when(F.length("label") > 80, 15.0).when(F.length("label") > 40, 5.0).otherwise(0.0)
-    score = score + F.when(F.col("kind").isin("class", "function", "module", "file", "code"), 8.0).when(F.col("kind").isin("document", "paper", "image", "concept"), -3.0).otherwise(0.0)
-    score = F.when(F.col("qn") == nl, 100.0).when(F.lower("id") == F.lower("query"), 99.0).otherwise(score)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
-    c = c.withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
-    return c.select("query_id", "id", "score", "place")
-
-
 def neighbors(e: DataFrame, ids: DataFrame, relations: tuple[str, ...] | None = None) -> DataFrame:
     """CG4: distinct neighbours of the ids with direction and relation."""
     e = e.filter(F.col("relation").isin(*relations)) if relations else e
@@ -158,25 +130,6 @@ def affected_files(touched: DataFrame, v: DataFrame) -> DataFrame:
     return touched.join(v.select("id", "source_file"), "id").filter("source_file is not null").groupBy("root", "source_file").agg(F.min("distance").alias("distance"))
 
 
-def locate(v: DataFrame, e: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """CG8: the best vertex of each file for a feature."""
-    s = search_nodes(v, queries, 4 * limit).join(v.select("id", "source_file"), "id")
-    one = s.groupBy("query_id", "source_file").agg(F.max(F.struct("score", "id")).alias("b"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("b.score", 6)), "source_file")
-    return one.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "source_file", F.col("b.id").alias("id"), F.col("b.score").alias("score"), "place")
-
-
-def module_summary(v: DataFrame, e: DataFrame) -> DataFrame:
-    """CG9: members, classes, functions, outside dependencies and users of each file."""
-    f = v.select("id", "source_file", "kind").filter("source_file is not null")
-    size = f.groupBy("source_file").agg(F.count("*").alias("members"), F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "function").alias("functions"))
-    x = e.join(f.select(F.col("id").alias("src"), F.col("source_file").alias("from_file")), "src").join(f.select(F.col("id").alias("dst"), F.col("source_file").alias("to_file")), "dst").filter("from_file <> to_file").select("from_file", "to_file").distinct()
-    deps = x.groupBy(F.col("from_file").alias("source_file")).agg(F.count("*").alias("depends_on"))
-    used = x.groupBy(F.col("to_file").alias("source_file")).agg(F.count("*").alias("used_by"))
-    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return size.join(deps, "source_file", "left").join(used, "source_file", "left").select("source_file", "members", "classes", "functions", z("depends_on"), z("used_by"))
-
-
 def hotspots(v: DataFrame, e: DataFrame, top: int = 25) -> tuple[DataFrame, DataFrame]:
     """CG12: vertices of most edges; communities by size, with their busiest member and first files."""
     d = degrees(v, e)
@@ -213,10 +166,11 @@ def betweenness(e: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame
 
 
 def community(v: DataFrame) -> DataFrame:
-    """CG14: vertices of each community by kind and by the first two parts of their path."""
+    """CG14: vertices of each community by kind, by the first two parts of their path, and by file."""
     module = F.concat_ws("/", F.slice(F.split("source_file", "/"), 1, 2))
     by = lambda what, c: v.groupBy("community", F.lit(what).alias("what"), F.coalesce(c, F.lit("unknown")).alias("name")).agg(F.count("*").alias("vertices"))
-    return by("kind", F.col("kind")).union(by("module", module))
+    files = by("file", F.col("source_file")).filter("name <> 'unknown'")
+    return by("kind", F.col("kind")).union(by("module", module)).union(files)
 
 
 def neighborhood(e: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
@@ -225,8 +179,15 @@ def neighborhood(e: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     return e.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct()
 
 
+def cycles(e: DataFrame, least: int = 2, most: int = 12) -> DataFrame:
+    """CG16: (id, component, size) of strongly connected components of `least` to `most` vertices on import and call edges."""
+    c = scc(e.filter(F.col("relation").isin(*CYCLE_RELATIONS)))
+    sizes = c.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size").between(least, most))
+    return c.join(sizes, "component").select("id", "component", "size")
+
+
 def scc(e: DataFrame) -> DataFrame:
-    """CG16: (id, component) of strongly connected components of two vertices or more, named by their least id.
+    """(id, component) of strongly connected components of two vertices or more, named by their least id.
 
     Each round trims vertices without a way in or out, colours the rest by the least id that reaches
     them, and takes from each colour what reaches its root back. Every loop runs until nothing changes:
@@ -302,17 +263,3 @@ def explain_flow(e: DataFrame, v: DataFrame, pairs: DataFrame, most: int | None
     p = shortest_paths(e, pairs, most).filter("path is not null")
     steps = p.select("src", "dst", F.posexplode(F.split("path", " > ")).alias("step", "id")).join(v.select("id", "label"), "id")
     return steps.groupBy("src", "dst").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "label"))), lambda x: x["label"]), " -> ").alias("story"))
-
-
-# Words of a question that say nothing about its subject.
-STOP_WORDS = ("the", "a", "an", "is", "are", "what", "how", "does", "do", "where", "which", "who", "why", "when", "in", "on", "of", "to", "for", "and", "or", "with", "this", "that", "it", "be", "by", "from", "work", "works", "used")
-
-
-def graph_qa(v: DataFrame, e: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
-    """CG11: vertices for a question: hits of its words, and their neighbours at 0.7 of the score; the best of each."""
-    q = questions.withColumn("query", F.array_join(F.filter(F.split(norm_label("query"), " "), lambda w: ~w.isin(*STOP_WORDS)), " "))
-    hits = search_nodes(v, q, limit)
-    near = hits.join(undirected(e).withColumnsRenamed({"src": "id", "dst": "other"}), "id").select("query_id", F.col("other").alias("id"), (0.7 * F.col("score")).alias("score"))
-    best = hits.select("query_id", "id", "score").union(near).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
-    return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)

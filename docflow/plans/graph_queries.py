@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import cgraph as C
 from docflow.operators import kgraph as K
+from docflow.operators import nodesearch as N
 
 from .bindings import table
 from .registry import ORACLES, register
@@ -121,10 +122,10 @@ def kg8_replace_graph(spark, d):
     return K.replace_graph(e.join(evens.join(new.select("doc_id").distinct(), "doc_id", "left_anti"), "doc_id", "left_anti"), new).select("doc_id", "src", "dst", F.round("confidence", 6).alias("confidence"))
 
 
-@register(f"WITH {GRAPH} SELECT doc_id, node_id, doc_id % 2 = 1 AS built FROM nd WHERE doc_id % 3 <> 2")
+@register(f"WITH {GRAPH} SELECT doc_id, node_id, doc_id % 2 = 1 AS built FROM nd")
 def kg9_export_graph(spark, d):
     n, _ = K.graph_from_knowledge(node_rows(spark, d), relation_rows(spark, d))
-    docs = n.select("doc_id").distinct().filter("doc_id % 3 <> 2")
+    docs = n.select("doc_id").distinct()
     return K.export_graph(docs, n.filter("doc_id % 2 = 0"), n).select("doc_id", "node_id", "built")
 
 
@@ -168,36 +169,66 @@ def cg2_degrees(spark, d):
     return C.degrees(vertices(spark, d), edges(spark, d))
 
 
-_ASKS = ["make part 5", "Part11", "store file", "readme note 4", "s3"]
+_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_./\\+\-]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def _searched(spark, d):
-    v, e = vertices(spark, d), edges(spark, d)
-    q = table(spark, d, "region").select(F.col("r_regionkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in _ASKS]), F.col("r_regionkey") + 1).alias("query"))
-    return v.join(C.degrees(v, e), "id"), e, q
+    """Vertices with degree, edges, and a query for each part whose number is divisible by 50."""
+    v, e, k = vertices(spark, d), edges(spark, d), F.col("p_partkey")
+    text = F.when(k / 50 % 3 == 0, F.concat(F.lit("make part "), k)).when(k / 50 % 3 == 1, F.concat(F.lit("Part"), k + 1, F.lit(" store"))).otherwise(F.concat(F.lit("readme note "), k + 4))
+    return v.join(C.degrees(v, e), "id"), e, table(spark, d, "part").filter(k % 50 == 0).select(k.alias("query_id"), text.alias("query"))
+
 
+#: All matches of the node search, numbered from the best.
+_SCORES = rf"""WITH {CODE}{DEGREES}, q AS (SELECT p_partkey AS query_id, CASE p_partkey // 50 % 3 WHEN 0 THEN 'make part ' || p_partkey WHEN 1 THEN 'Part' || (p_partkey + 1) || ' store' ELSE 'readme note ' || (p_partkey + 4) END AS query FROM part WHERE p_partkey % 50 = 0),
+  qn AS (SELECT *, {_NORM.format('query')} AS qn, list_filter(string_split({_NORM.format('query')}, ' '), lambda t: length(t) > 1) AS ts FROM q),
+  nv AS (SELECT v.*, degree, {_NORM.format('label')} AS nl FROM v JOIN dg USING (id)),
+  h AS (SELECT query_id, qn, query, nv.*, len(list_filter(ts, lambda t: contains(nl, t) OR contains(lower(id), t))) AS hits, len(list_filter(ts, lambda t: contains(nl, t) OR contains(lower(id), t) OR contains(lower(source_file), t))) AS met FROM qn, nv),
+  s AS (SELECT query_id, id, source_file, round(CASE WHEN qn = nl OR lower(query) = lower(label) THEN 100.0 WHEN lower(id) = lower(query) THEN 99.0 ELSE 100.0 * (1 - levenshtein(qn, nl) / greatest(length(qn), length(nl), 1)) + least(10.0, 0.3 * degree) + 5.0 * hits - CASE WHEN length(label) > 80 THEN 15 WHEN length(label) > 40 THEN 5 ELSE 0 END + CASE WHEN kind IN ('class', 'function', 'module', 'file', 'code') THEN 8 WHEN kind IN ('document', 'paper', 'image', 'concept') THEN -3 ELSE 0 END END, 6) AS score FROM h WHERE met > 0 OR qn = nl OR lower(query) = lower(label) OR query = id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s)"""
 
-@register(rf"""WITH {CODE}{DEGREES}, q AS (SELECT r_regionkey AS query_id, list_extract({_ASKS}, r_regionkey + 1) AS query FROM region), qn AS (SELECT *, lower(query) AS qn FROM q),
-  nv AS (SELECT v.*, degree, trim(regexp_replace(regexp_replace(lower(label), '[^a-z0-9_./\\+\-]+', ' ', 'g'), '\s+', ' ', 'g')) AS nl, list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(label || ' ' || id || ' ' || regexp_replace(source_file, '[/._]', ' ', 'g')), '[^a-z0-9_./\\+\-]+', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS ws FROM v JOIN dg USING (id)),
-  h AS (SELECT query_id, qn, query, nv.*, len(list_filter(list_distinct(string_split(qn, ' ')), lambda t: length(t) > 1 AND list_contains(ws, t))) AS hits FROM qn, nv),
-  s AS (SELECT query_id, id, CASE WHEN qn = nl THEN 100.0 WHEN lower(id) = lower(query) THEN 99.0 ELSE 100.0 * (1 - levenshtein(qn, nl) / greatest(length(qn), length(nl), 1)) + least(10.0, 0.3 * degree) + 5.0 * hits - CASE WHEN length(label) > 80 THEN 15 WHEN length(label) > 40 THEN 5 ELSE 0 END + CASE WHEN kind IN ('class', 'function', 'module', 'file', 'code') THEN 8 WHEN kind IN ('document', 'paper', 'image', 'concept') THEN -3 ELSE 0 END END AS score FROM h WHERE hits > 0),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS place FROM s) SELECT query_id, id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10""")
+
+@register(_SCORES + " SELECT query_id, id, score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20")
 def cg3_search_nodes(spark, d):
     v, _, q = _searched(spark, d)
-    return C.search_nodes(v, q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+    return N.search_nodes(v, q)
 
 
-@register(f"WITH {CODE} SELECT DISTINCT src AS id, dst AS other, relation, 'out' AS direction FROM e WHERE src IN ('s1', 's2', 'p3') UNION SELECT DISTINCT dst, src, relation, 'in' FROM e WHERE dst IN ('s1', 's2', 'p3')")
+@register(_SCORES.replace("WHERE met > 0 OR qn = nl OR lower(query) = lower(label) OR query = id", "WHERE (met > 0 OR qn = nl OR lower(query) = lower(label) OR query = id) AND (kind IN ('file', 'code', 'readme') OR file_type IN ('file', 'code', 'readme')) AND contains(source_file, 'm1')") + " SELECT query_id, id, score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20")
+def cg3_search_filtered(spark, d):
+    """Kinds by name and a part of the path."""
+    v, _, q = _searched(spark, d)
+    return N.search_nodes(v, q, kinds=("file", "readme"), file_contains="M1", fuzzy=None)
+
+
+@register()
+def cg3_search_misspelt(spark, d):
+    """Queries that no vertex contains: labels that resemble them."""
+    v, _, q = _searched(spark, d)
+    odd = F.when(F.col("query_id") / 50 % 2 == 0, F.concat(F.lit("mkae_prat_"), "query_id", F.lit("()"))).otherwise(F.concat(F.lit("raedme-nte"), F.col("query_id") + 4))
+    return N.search_nodes(v, q.withColumn("query", odd))
+
+
+def _asked(spark, d):
+    """Vertices whose number is divisible by 50."""
+    return vertices(spark, d).filter("cast(substr(id, 2) as int) % 50 = 0").select("id")
+
+
+@register(f"WITH {CODE} SELECT DISTINCT src AS id, dst AS other, relation, 'out' AS direction FROM e WHERE CAST(substr(src, 2) AS INT) % 50 = 0 UNION SELECT DISTINCT dst, src, relation, 'in' FROM e WHERE CAST(substr(dst, 2) AS INT) % 50 = 0")
 def cg4_neighbors(spark, d):
-    return C.neighbors(edges(spark, d), vertices(spark, d).filter("id in ('s1', 's2', 'p3')").select("id"))
+    return C.neighbors(edges(spark, d), _asked(spark, d))
+
 
+def _pairs(spark, d):
+    """Each supplier whose number is divisible by 50, and the first ones, with a part."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").filter((k % 50 == 0) | (k < 5)).select(F.concat(F.lit("s"), k).alias("src"), F.concat(F.lit("p"), k * 7 + 1).alias("dst"))
 
-@register(f"""WITH RECURSIVE {CODE}, pr AS (SELECT 's' || r_regionkey AS src, 'p' || (r_regionkey * 7 + 1) AS dst FROM region),
+
+@register(f"""WITH RECURSIVE {CODE}, pr AS (SELECT 's' || s_suppkey AS src, 'p' || (s_suppkey * 7 + 1) AS dst FROM supplier WHERE s_suppkey % 50 = 0 OR s_suppkey < 5),
   w(root, id, n) AS (SELECT src, src, 0 FROM pr UNION SELECT root, b, n + 1 FROM w JOIN un ON a = id WHERE n < 8) SELECT src, dst, CAST(min(n) AS INTEGER) AS hops FROM pr LEFT JOIN w ON root = src AND id = dst GROUP BY 1, 2""")
 def cg5_shortest_paths(spark, d):
-    k = F.col("r_regionkey")
-    p = table(spark, d, "region").select(F.concat(F.lit("s"), k).alias("src"), F.concat(F.lit("p"), k * 7 + 1).alias("dst"))
-    return C.shortest_paths(edges(spark, d), p).select("src", "dst", "hops")
+    return C.shortest_paths(edges(spark, d), _pairs(spark, d)).select("src", "dst", "hops")
 
 
 @register(f"WITH {CODE} SELECT DISTINCT src AS id, dst AS other, CASE relation WHEN 'imports' THEN 'imports' WHEN 'calls' THEN 'calls' WHEN 'uses' THEN 'calls' WHEN 'inherits' THEN 'inherits' ELSE 'documents' END AS family FROM e WHERE src IN (SELECT id FROM v WHERE community = 3)")
@@ -213,28 +244,41 @@ def cg6_dependents(spark, d):
 _IMPACT = "st AS (SELECT DISTINCT * FROM (SELECT dst AS a, src AS b FROM e UNION ALL SELECT src, dst FROM e WHERE relation IN ('contains', 'defines', 'method')))"
 
 
-@register(f"""WITH RECURSIVE {CODE}, {_IMPACT}, w(root, id, n) AS (SELECT id, id, 0 FROM v WHERE id IN ('s1', 'p2') UNION SELECT root, b, n + 1 FROM w JOIN st ON a = id WHERE n < 2), m AS (SELECT root, id, min(n) AS distance FROM w GROUP BY 1, 2)
+@register(f"""WITH RECURSIVE {CODE}, {_IMPACT}, w(root, id, n) AS (SELECT id, id, 0 FROM v WHERE CAST(substr(id, 2) AS INT) % 50 = 0 UNION SELECT root, b, n + 1 FROM w JOIN st ON a = id WHERE n < 2), m AS (SELECT root, id, min(n) AS distance FROM w GROUP BY 1, 2)
   SELECT root, source_file, CAST(min(distance) AS INTEGER) AS distance FROM m JOIN v USING (id) WHERE distance > 0 GROUP BY 1, 2""")
 def cg7_impact(spark, d):
     v = vertices(spark, d)
-    return C.affected_files(C.impact(edges(spark, d), v.filter("id in ('s1', 'p2')").select("id"), 2), v)
-
+    return C.affected_files(C.impact(edges(spark, d), _asked(spark, d), 2), v)
 
-#: All matches of the node search, before the best are taken.
-_SCORES = ORACLES["cg3_search_nodes"].partition(", place FROM r")[0].partition("SELECT query_id, id, round(score, 6)")[0]
 
-
-@register(_SCORES + """, f AS (SELECT query_id, source_file, s.id, score, row_number() OVER (PARTITION BY query_id, source_file ORDER BY score DESC, s.id DESC) AS n FROM r s JOIN v ON v.id = s.id WHERE place <= 40),
-  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, source_file) AS spot FROM f WHERE n = 1) SELECT query_id, source_file, id, round(score, 6) AS score, CAST(spot AS INTEGER) AS place FROM o WHERE spot <= 10""")
+@register(_SCORES + """, top AS (SELECT query_id, id, score, place FROM r WHERE place <= 5),
+  fe AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, relation) AS nth FROM (SELECT DISTINCT src, dst, relation FROM e WHERE src IN (SELECT id FROM top))),
+  fs AS (SELECT query_id, source_file, id, score, 'hit' AS role, place AS turn, 0 AS nth FROM r WHERE place <= 25
+    UNION ALL SELECT query_id, v.source_file, v.id, score, 'neighbour', 25 + place, nth FROM top JOIN fe ON src = top.id AND nth <= 20 JOIN v ON v.id = dst WHERE kind IN ('readme', 'document', 'paper') OR file_type IN ('document', 'image')),
+  one AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_file ORDER BY turn, nth, id) AS n FROM fs),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, nth, id) AS spot FROM one WHERE n = 1)
+  SELECT query_id, source_file, id, score, role, CAST(spot AS INTEGER) AS place FROM o WHERE spot <= 25""")
 def cg8_locate(spark, d):
     v, e, q = _searched(spark, d)
-    return C.locate(v, e, q).select("query_id", "source_file", "id", F.round("score", 6).alias("score"), "place")
+    return N.locate(v, e, q)
+
 
+_LISTS = ("files", "classes", "functions", "dependencies", "users")
 
-@register(f"""WITH {CODE}, x AS (SELECT DISTINCT a.source_file AS f, b.source_file AS t FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.source_file <> b.source_file)
-  SELECT source_file, count(*) AS members, count_if(kind = 'class') AS classes, count_if(kind = 'function') AS functions, (SELECT count(*) FROM x WHERE f = v.source_file) AS depends_on, (SELECT count(*) FROM x WHERE t = v.source_file) AS used_by FROM v GROUP BY source_file""")
+
+@register(_SCORES + """, fit AS (SELECT r.query_id, r.id, place, contains(lower(source_file), replace(qn, ' ', '/')) OR contains(r.id, replace(qn, ' ', '_')) AS fits FROM r JOIN qn USING (query_id) WHERE place <= 15),
+  seed AS (SELECT f.query_id, v.id AS seed, v.source_file, v.community, regexp_replace(v.source_file, '/[^/]*$', '') AS folder FROM (SELECT query_id, arg_min(id, (CASE WHEN fits THEN 0 ELSE 100 END) + place) AS id FROM fit GROUP BY 1) f JOIN v USING (id)),
+  peers AS (SELECT community, id FROM v QUALIFY row_number() OVER (PARTITION BY community ORDER BY id) <= 80),
+  rel AS (SELECT query_id, seed AS id FROM seed UNION SELECT query_id, v.id FROM seed JOIN v ON lower(v.source_file) = lower(seed.source_file) UNION SELECT query_id, v.id FROM seed JOIN v ON starts_with(v.source_file, folder || '/') UNION SELECT query_id, id FROM seed JOIN peers USING (community)),
+  names AS (SELECT query_id, 'files' AS what, source_file AS name FROM rel JOIN v USING (id) UNION SELECT query_id, CASE kind WHEN 'class' THEN 'classes' ELSE 'functions' END, label FROM rel JOIN v USING (id) WHERE kind IN ('class', 'function')
+    UNION SELECT query_id, 'dependencies', label FROM rel JOIN (SELECT DISTINCT src, dst FROM e WHERE relation IN ('imports', 'imports_from', 'calls', 'uses')) x ON x.src = rel.id JOIN v ON v.id = dst
+    UNION SELECT query_id, 'users', label FROM rel JOIN (SELECT DISTINCT src, dst FROM e WHERE relation IN ('imports', 'imports_from', 'calls', 'uses', 'references')) x ON x.dst = rel.id JOIN v ON v.id = src),
+  cut AS (SELECT *, row_number() OVER (PARTITION BY query_id, what ORDER BY name) AS n FROM names),
+  ls AS (SELECT query_id, what, string_agg(name, ',' ORDER BY name) AS names FROM cut WHERE n <= CASE what WHEN 'files' THEN 25 WHEN 'classes' THEN 20 ELSE 30 END GROUP BY 1, 2)
+  SELECT query_id, seed, (SELECT count(*) FROM rel WHERE rel.query_id = seed.query_id) AS members, """ + ", ".join(f"coalesce((SELECT names FROM ls WHERE ls.query_id = seed.query_id AND what = '{c}'), '') AS {c}" for c in _LISTS) + " FROM seed")
 def cg9_module_summary(spark, d):
-    return C.module_summary(vertices(spark, d), edges(spark, d))
+    v, e, q = _searched(spark, d)
+    return N.module_summary(v, e, q).select("query_id", "seed", "members", *[F.array_join(c, ",").alias(c) for c in _LISTS])
 
 
 @register(f"WITH {CODE}{DEGREES} SELECT id, CAST(degree AS BIGINT) AS degree FROM dg ORDER BY degree DESC, id LIMIT 25")
@@ -252,20 +296,40 @@ def cg13_betweenness(spark, d):
     return C.betweenness(edges(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-@register(f"WITH {CODE} SELECT community, 'kind' AS what, kind AS name, count(*) AS vertices FROM v GROUP BY 1, 3 UNION ALL SELECT community, 'module', split_part(source_file, '/', 1) || '/' || split_part(source_file, '/', 2), count(*) FROM v GROUP BY 1, 3")
+@register(f"WITH {CODE} SELECT community, 'kind' AS what, kind AS name, count(*) AS vertices FROM v GROUP BY 1, 3 UNION ALL SELECT community, 'module', split_part(source_file, '/', 1) || '/' || split_part(source_file, '/', 2), count(*) FROM v GROUP BY 1, 3 UNION ALL SELECT community, 'file', source_file, count(*) FROM v GROUP BY 1, 3")
 def cg14_community(spark, d):
     return C.community(vertices(spark, d))
 
 
-@register(f"WITH {CODE}, n AS (SELECT 's1' AS id UNION SELECT b FROM un WHERE a = 's1') SELECT DISTINCT src, dst, relation FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
+@register(f"WITH {CODE}, n AS (SELECT id FROM v WHERE CAST(substr(id, 2) AS INT) % 50 = 0 UNION SELECT b FROM un WHERE CAST(substr(a, 2) AS INT) % 50 = 0) SELECT DISTINCT src, dst, relation FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
 def cg15_neighborhood(spark, d):
-    return C.neighborhood(edges(spark, d), vertices(spark, d).filter("id = 's1'").select("id"))
+    return C.neighborhood(edges(spark, d), _asked(spark, d))
 
 
-@register()
+@register(f"""WITH {CODE}{DEGREES}, hub AS (SELECT id, degree FROM dg ORDER BY degree DESC, id LIMIT 20),
+  fe AS (SELECT src, dst, relation, degree, row_number() OVER (PARTITION BY src ORDER BY dst, relation) AS nth FROM (SELECT DISTINCT src, dst, relation FROM e) JOIN hub ON hub.id = src QUALIFY nth <= 5),
+  new AS (SELECT dst, min(row(-degree, src, nth)) AS at FROM fe WHERE dst NOT IN (SELECT id FROM hub) GROUP BY 1 ORDER BY 2 LIMIT 20)
+  SELECT src, dst, relation FROM fe WHERE dst IN (SELECT dst FROM new UNION ALL SELECT id FROM hub)""")
+def cg15_skeleton(spark, d):
+    v, e = vertices(spark, d), edges(spark, d)
+    return N.skeleton(v.join(C.degrees(v, e), "id"), e)
+
+
+def imports(spark, d):
+    """Imports among parts of a block of six, and a ring of many suppliers: small cycles and one that is too large."""
+    l = table(spark, d, "lineitem").filter("l_linenumber < 3")
+    p, s, flag = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_returnflag")
+    rel = F.when(flag == "A", "imports").when(flag == "R", "calls").otherwise("contains")
+    blocks = l.select(F.concat(F.lit("p"), p).alias("src"), F.concat(F.lit("p"), p - p % 6 + s % 6).alias("dst"), rel.alias("relation"))
+    ring = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).select(F.concat(F.lit("s"), "k").alias("src"), F.explode(F.array(F.col("k") + 1, F.when(F.col("k") > 1, F.col("k") - 1).otherwise(F.lit(2)))).alias("o"))
+    return blocks.union(ring.select("src", F.concat(F.lit("s"), "o"), F.lit("uses")))
+
+
+@register("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 'p' || (l_partkey - l_partkey % 6 + l_suppkey % 6) AS dst FROM lineitem WHERE l_linenumber < 3 AND l_returnflag IN ('A', 'R')),
+  w(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT a, dst FROM w JOIN e ON src = b), m AS (SELECT x.a AS id, min(least(x.a, x.b)) AS component FROM w x JOIN w y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1),
+  z AS (SELECT component, count(*) AS size FROM m GROUP BY 1) SELECT id, component, size FROM m JOIN z USING (component) WHERE size BETWEEN 2 AND 12""")
 def cg16_cycles(spark, d):
-    e = edges(spark, d).filter(F.col("relation").isin(*C.CYCLE_RELATIONS))
-    return C.scc(e)
+    return C.cycles(imports(spark, d))
 
 
 @register(f"WITH {CODE}{DEGREES} SELECT v.id, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, CAST(degree AS BIGINT) AS degree FROM v JOIN dg USING (id) WHERE (file_type = 'code' OR kind IN ('function', 'class', 'module', 'file')) AND in_degree = 0 AND out_degree <= 1")
@@ -295,17 +359,13 @@ def cg21_graph_stats(spark, d):
 
 @register()
 def cg10_explain_flow(spark, d):
-    k = F.col("r_regionkey")
-    p = table(spark, d, "region").select(F.concat(F.lit("s"), k).alias("src"), F.concat(F.lit("p"), k * 7 + 1).alias("dst"))
-    return C.explain_flow(edges(spark, d), vertices(spark, d), p)
+    return C.explain_flow(edges(spark, d), vertices(spark, d), _pairs(spark, d))
 
 
-@register(_SCORES.replace("AS query FROM region)", "AS q0 FROM region)", 1).replace("SELECT *, lower(query) AS qn FROM q)", "SELECT query_id, lower(q0) AS query, lower(q0) AS qn FROM q)", 1) + """, ht AS (SELECT query_id, id, score FROM r WHERE place <= 10),
-  b AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM ht UNION ALL SELECT query_id, b, 0.7::DOUBLE * score FROM ht JOIN un ON a = id) GROUP BY 1, 2),
-  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS spot FROM b) SELECT query_id, id, round(score, 6) AS score, CAST(spot AS INTEGER) AS place FROM o WHERE spot <= 10""")
+@register()
 def cg11_graph_qa(spark, d):
     v, e, q = _searched(spark, d)
-    return C.graph_qa(v, e, q.withColumn("query", F.concat(F.lit("where is "), "query", F.lit(" used")))).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+    return N.graph_qa(v, e, q.withColumn("query", F.concat(F.lit("How does the "), "query", F.lit(" work with Part1 code"))))
 
 
 @register(ORACLES["kg7_neighbor_chunks"].replace("SELECT doc_id AS query_id, chunk_id, CAST(hop AS INTEGER) AS hop, CAST(place AS INTEGER) AS place FROM r", "SELECT r.doc_id AS query_id, chunk_id, CAST(place AS INTEGER) AS place, length(text) AS n_chars FROM r JOIN conversations c ON c.conv_id = r.doc_id AND CAST(c.turn AS VARCHAR) = chunk_id"))

@@ -70,16 +70,23 @@ def reach(start, step):
 
 def test_cycles(spark, got):
     fore, back = defaultdict(set), defaultdict(set)
-    for a, b in graph(spark, cgraph.CYCLE_RELATIONS):
-        fore[a].add(b)
-        back[b].add(a)
+    for r in graph_queries.imports(spark, SF).collect():
+        if r.relation in ("imports", "imports_from", "calls", "uses") and r.src != r.dst:
+            fore[r.src].add(r.dst)
+            back[r.dst].add(r.src)
     want, left = {}, set(fore) | set(back)
     while left:
         v = min(left)
         own = reach(v, fore) & reach(v, back)
         left -= own
-        want |= {x: min(own) for x in own} if len(own) > 1 else {}
-    assert {r.id: r.component for r in got("cg16_cycles")} == want
+        want |= {x: (min(own), len(own)) for x in own} if 2 <= len(own) <= 12 else {}
+    assert {r.id: (r.component, r.size) for r in got("cg16_cycles")} == want and len(want) > 4
+
+
+def test_cycles_of_more_than_twelve_go(spark):
+    ring = lambda name, n: [(f"{name}{i}", f"{name}{(i + 1) % n}", "calls") for i in range(n)]
+    e = spark.createDataFrame([*ring("a", 13), *ring("b", 12), *ring("c", 2), ("d", "d", "calls"), ("x", "y", "contains"), ("y", "x", "contains")], "src string, dst string, relation string")
+    assert {(r.component, r.size) for r in cgraph.cycles(e).collect()} == {("b0", 12), ("c0", 2)}
 
 
 def test_betweenness(spark, got):
