@@ -1,13 +1,13 @@
 """Phrase collocations by prefix-free parsing.
 
-Texts are parsed into chunks: a chunk starts where a piece starts or where the checksum of OVERLAP
-words triggers, and ends OVERLAP words into the next one, so that each phrase of up to OVERLAP + 1
-words lies whole in the chunk that owns its first word, and only there. Equal chunks become one entry
-of a dictionary with the number of times the parse holds it. Phrases are counted inside distinct
-chunks, weighted by that number. They are counted length by length: a phrase that is frequent
-enough has frequent parts, so a length is counted only where the two phrases one word shorter may be
-frequent. Which ones may be is a bit map of fixed size; bits that several phrases share let more
-be counted, and lose none.
+Words are counted first. Then texts are parsed into chunks: a chunk starts where a piece starts (words too rare for
+any phrase end pieces as well) or where the checksum of OVERLAP words triggers, and ends OVERLAP words into the
+next one, so that each phrase of up to OVERLAP + 1 words lies whole in the chunk that owns its first word, and only
+there. Equal chunks become one entry of a dictionary with the number of times the parse holds it.
+Phrases are counted inside distinct chunks, weighted by that number, length by length: a phrase that is
+frequent enough has frequent parts, so before each length the dictionary is narrowed to the stretches
+where the phrases one word shorter may be frequent. Which ones may be is a bit map of fixed size;
+bits that several phrases share let more be counted, and lose none.
 """
 
 from __future__ import annotations
@@ -35,14 +35,35 @@ SIEVE = 1 << 26
 _BUCKET = 1 << 15
 
 
+#: Entries that a worker keeps of what it knows of words.
+_KNOWN = 1_000_000
+
+
 class _Checksums(dict):
-    """Word -> checksum, never 0; the mark between pieces has 0."""
+    """Word of a language -> checksum, 0 for words that the bit map rules out; the mark between pieces has 0 as well."""
+
+    def __init__(self, lang: str, sieve: np.ndarray | None):
+        self.seed, self.sieve = fold(np.uint64(0), np.uint64(xxh64_intdigest(lang.encode(), 42))), sieve
+        self[b","] = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > _KNOWN:
             self.clear()
             self[b","] = 0
-        self[word] = h = zlib.crc32(word) or 1
+        h = zlib.crc32(word) or 1
+        if self.sieve is not None and not held(self.sieve, fold(self.seed, np.uint64(xxh64_intdigest(word, 42)))):
+            h = 0
+        self[word] = h
+        return h
+
+
+class _Hashes(dict):
+    """Word -> hash as Spark has it."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _KNOWN:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, 42)
         return h
 
 
@@ -54,109 +75,203 @@ class _Numbers(dict):
         return n
 
 
+def fold(key, h):
+    """The key of a word sequence one word longer; the language is its first word."""
+    return (key << np.uint64(5)) ^ (key >> np.uint64(2)) ^ h
+
+
+def held(sieve: np.ndarray, key):
+    bit = key & np.uint64(SIEVE - 1)
+    return (sieve[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+
+def sieve_of(frequent: DataFrame) -> np.ndarray:
+    """Bit map of the phrases of a table, by hash; at most SIEVE bits reach the driver, whatever the table's size."""
+    key = F.aggregate(
+        F.transform(F.concat(F.array("lang"), F.split("phrase", " ")), lambda w: F.xxhash64(w)),
+        F.lit(0).cast("long"),
+        lambda k, h: F.shiftleft(k, 5).bitwiseXOR(F.shiftrightunsigned(k, 2)).bitwiseXOR(h),
+    )
+    bit = frequent.select(F.pmod(key, F.lit(SIEVE)).alias("h"))
+    rows = bit.groupBy(F.expr(f"h div {_BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"h % {_BUCKET}")).alias("bits")).collect()
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for r in rows:
+        out[r.bucket * _BUCKET // 8 : (r.bucket + 1) * _BUCKET // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
 def _by_lang(batch: pa.RecordBatch):
     """(lang, rows) of each language of an Arrow batch whose first column is the language."""
     for lang in pc.unique(batch.column(0)).to_pylist():
         yield lang, batch.filter(pc.equal(batch.column(0), lang))
 
 
+def _pieces(rows: pa.RecordBatch) -> bytes:
+    """The texts in lower case (A-Z), their pieces parted by commas."""
+    return b",".join(rows.column(1).cast(pa.binary()).to_pylist()).lower().translate(_TABLE)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _column(lang: str, n: int) -> pa.Array:
+    return pa.array([lang] * n, pa.string())
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """documents -> lang, phrase, a of all single words."""
+    def rows_of(lang, seen):
+        return pa.RecordBatch.from_arrays([_column(lang, len(seen)), pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "phrase", "a"])
+
+    def run(batches):
+        counts: dict[str, Counter] = {}
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                for lang, rows in _by_lang(part):
+                    counts.setdefault(lang, Counter()).update(_pieces(rows).replace(b",", b" ").split())
+                if sum(map(len, counts.values())) > _KNOWN // 2:
+                    yield from (rows_of(*x) for x in counts.items())
+                    counts = {}
+        yield from (rows_of(*x) for x in counts.items())
+
+    return _texts(docs).mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+
+
 def parse(data: bytes, checksums: dict) -> tuple[Counter, Counter]:
-    """Chunks of lower-cased, comma-parted text with their counts: those that end their piece, and those with an overlap behind them."""
+    """Chunks of comma-parted text with their counts: those that end their piece, and those with an overlap behind them. Single words are no chunks."""
     words = data.replace(b",", b" , ").split()
     n = len(words)
     h = np.fromiter(map(checksums.__getitem__, words), np.uint64, n)
-    marks = np.flatnonzero(h == 0)
     place = np.arange(n)
-    before = np.append(-1, marks)[np.searchsorted(marks, place, "left")]
-    until = np.append(marks, n)[np.searchsorted(marks, place, "left")]
+    mark = h == 0
+    before = np.maximum.accumulate(np.where(mark, place, -1))
+    until = np.minimum.accumulate(np.where(mark, place, n)[::-1])[::-1]
     mixed = np.zeros(n, np.uint64)
     for k in range(OVERLAP):
         mixed[: max(0, n - k)] = (mixed[: max(0, n - k)] + h[k:]) * np.uint64(0x9E3779B97F4A7C15)
     inner = (mixed >> np.uint64(40)) % np.uint64(TRIGGER) == 0
-    begins = (place == before + 1) | ((inner | ((place - before - 1) % CUT == 0)) & (place + OVERLAP <= until))
-    a = np.flatnonzero(begins & (h != 0))
+    begins = (place == np.append(-1, before)[:n] + 1) | ((inner | ((place - before - 1) % CUT == 0)) & (place + OVERLAP <= until))
+    a = np.flatnonzero(begins & ~mark)
     end = until[a]
     own = np.minimum(np.append(a[1:], n), end)
     whole = own == end
+    longer = whole & (end - a > 1)
     cut = lambda x, y: Counter(b" ".join(words[i:j]) for i, j in zip(x.tolist(), y.tolist()))
-    return cut(a[whole], own[whole]), cut(a[~whole], own[~whole] + OVERLAP)
+    return cut(a[longer], own[longer]), cut(a[~whole], own[~whole] + OVERLAP)
+
+
+def _entries(df: DataFrame, run) -> DataFrame:
+    """The dictionary that run gives parts of: lang, chunk, own, n; phrases that start in the first `own` words of a chunk are the chunk's."""
+    return df.mapInArrow(run, "lang string, chunk string, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """documents -> lang, chunk, own, n: the dictionary of distinct chunks a language; phrases that start in its first `own` words are the chunk's."""
+def _entry_rows(lang: str, chunks: list[bytes], own, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column(lang, len(chunks)), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(own, pa.int32()), pa.array(n, pa.int64())], names=["lang", "chunk", "own", "n"])
+
+
+def chunks(docs: DataFrame, sieve=None) -> DataFrame:
+    """documents -> the dictionary of distinct chunks a language. sieve: broadcast bit map of words; others end pieces."""
     def run(batches):
-        checksums = _Checksums({b",": 0})
+        known: dict[str, _Checksums] = {}
         for batch in batches:
             for part in text_slices(batch, "text"):
                 for lang, rows in _by_lang(part):
-                    data = b",".join(rows.column(1).cast(pa.binary()).to_pylist()).lower().translate(_TABLE)
-                    for held, behind in zip(parse(data, checksums), (0, OVERLAP)):
-                        text = pa.array(list(held), pa.binary()).cast(pa.string())
-                        own = pa.array([t.count(b" ") + 1 - behind for t in held], pa.int32())
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), text, own, pa.array(list(held.values()), pa.int64())], names=["lang", "chunk", "own", "n"])
+                    if len(known) > 64:
+                        known.clear()
+                    if lang not in known:
+                        known[lang] = _Checksums(lang, sieve and sieve.value)
+                    for found, behind in zip(parse(_pieces(rows), known[lang]), (0, OVERLAP)):
+                        yield _entry_rows(lang, list(found), [t.count(b" ") + 1 - behind for t in found], list(found.values()))
 
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "lang string, chunk string, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
+    return _entries(_texts(docs), run)
 
 
-def count_inside(lang: str, rows: pa.RecordBatch, length: int, sieves: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    """Distinct phrases of `length` words that the chunks of one language own, and their weighted counts."""
+def _chunk_words(rows: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all chunks with a comma between two, where they are commas, each word's chunk, and its place in it."""
     words = b" , ".join(rows.column(1).cast(pa.binary()).to_pylist()).split(b" ")
-    gram = np.fromiter(map(_Numbers({b",": 0}).__getitem__, words), np.int64, len(words))
-    marks = np.flatnonzero(gram == 0)
-    chunk = np.searchsorted(marks, np.arange(len(words)), "left")
-    offset = np.arange(len(words)) - np.append(0, marks + 1)[chunk]
-    at = np.flatnonzero(gram)  # where a phrase of the present length starts
-    gram = gram[at]
+    sizes = np.fromiter((t.count(b" ") for t in rows.column(1).cast(pa.binary()).to_pylist()), np.int64, rows.num_rows) + 2
+    chunk = np.repeat(np.arange(len(sizes)), sizes)[:-1]
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    return words, starts[1:] - 1, chunk, np.arange(len(words)) - starts[chunk]
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, and where each key begins in it."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    return order, np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
+def count_inside(rows: pa.RecordBatch, length: int) -> tuple[list[bytes], np.ndarray]:
+    """Distinct phrases of `length` words that the chunks of one language own, and their weighted counts."""
+    words, marks, chunk, offset = _chunk_words(rows)
+    number = np.fromiter(map(_Numbers({b",": 0}).__getitem__, words), np.int64, len(words))
+    at = np.flatnonzero((number != 0) & (offset < rows.column(2).to_numpy()[chunk]))
+    left = np.append(marks, len(words))[chunk[at]] - at  # words from here to the chunk's end
+    at = at[left >= length]
+    gram = number[at]
     for k in range(1, length):
-        _, first, gram = np.unique(gram, return_index=True, return_inverse=True)
-        sieve, prefix = sieves[k - 1], lang.encode() + b" "
-        keys = [xxh64_intdigest(prefix + b" ".join(words[p : p + k]), 42) % SIEVE for p in at[first].tolist()]
-        keys = np.array(keys, np.int64)
-        alive = (sieve[keys >> 3] >> (keys & 7) & 1).astype(bool)[gram]
-        at, gram = at[alive], gram[alive]
-        both = np.flatnonzero(at[1:] == at[:-1] + 1)
-        gram = gram[both] * (gram.max(initial=0) + 1) + gram[both + 1]
-        at = at[both]
-    owned = offset[at] < rows.column(2).to_numpy()[chunk[at]]
-    at, gram = at[owned], gram[owned]
-    _, first, gram = np.unique(gram, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, gram, rows.column(3).to_numpy()[chunk[at]])
-    return [b" ".join(words[p : p + length]) for p in at[first].tolist()], total
-
-
-def counts(dictionary: DataFrame, length: int, sieves: list) -> DataFrame:
-    """The dictionary -> lang, phrase, a of phrases of one length, a being its count in all texts. sieves: broadcast bit maps of the shorter lengths."""
+        if k > 1:  # shorter phrases are numbered anew, so that two numbers fit one key
+            order, first = _groups(gram)
+            gram[order] = np.cumsum(np.bincount(first, minlength=len(order))) if len(order) else 0
+        gram = gram * (number.max(initial=0) + 1) + number[at + k]
+    order, first = _groups(gram)
+    if not len(order):
+        return [], np.zeros(0, np.int64)
+    total = np.add.reduceat(rows.column(3).to_numpy()[chunk[at[order]]], first)
+    return [b" ".join(words[p : p + length]) for p in at[order[first]].tolist()], total
+
+
+def counts(dictionary: DataFrame, length: int) -> DataFrame:
+    """The dictionary -> lang, phrase, a of phrases of one length, a being its count in all texts."""
     def run(batches):
-        maps = [s.value for s in sieves]
         for batch in batches:
             for part in text_slices(batch, "chunk"):
                 for lang, rows in _by_lang(part):
-                    found, total = count_inside(lang, rows, length, maps)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(total)], names=["lang", "phrase", "a"])
+                    found, total = count_inside(rows, length)
+                    yield pa.RecordBatch.from_arrays([_column(lang, len(found)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(total, pa.int64())], names=["lang", "phrase", "a"])
 
     return dictionary.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def sieve_of(frequent: DataFrame) -> np.ndarray:
-    """Bit map of the phrases of a table, by hash; at most SIEVE bits reach the driver, whatever the table's size."""
-    bit = frequent.select(F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), F.lit(SIEVE)).alias("h"))
-    rows = bit.groupBy(F.expr(f"h div {_BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"h % {_BUCKET}")).alias("bits")).collect()
-    out = np.zeros(SIEVE // 8, np.uint8)
-    for r in rows:
-        out[r.bucket * _BUCKET // 8 : (r.bucket + 1) * _BUCKET // 8] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def frequent_phrases(dictionary: DataFrame, least: int) -> list[DataFrame]:
-    """Tables of phrases of 1, 2, ... LONGEST words that occur `least` times, as (lang, phrase, a)."""
-    spark, tables, sieves = dictionary.sparkSession, [], []
-    for length in range(1, LONGEST + 1):
-        tables.append(materialize(counts(dictionary, length, sieves).filter(F.col("a") >= least), f"phrases-{length}"))
-        if length < LONGEST:
-            sieves.append(spark.sparkContext.broadcast(sieve_of(tables[-1])))
-    return tables
+def narrow(dictionary: DataFrame, length: int, sieve) -> DataFrame:
+    """The dictionary of the longest stretches of which all phrases of `length` words may be frequent, two of them at least."""
+    def run(batches):
+        hashes = _Hashes()
+        for batch in batches:
+            for part in text_slices(batch, "chunk"):
+                for lang, rows in _by_lang(part):
+                    words, marks, chunk, offset = _chunk_words(rows)
+                    n = len(words)
+                    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+                    key = fold(np.zeros(n, np.uint64), np.uint64(xxh64_intdigest(lang.encode(), 42)))
+                    for k in range(length):
+                        key = fold(key[: n - k], h[k:])
+                    alive = np.zeros(n + 2, bool)
+                    alive[1 : len(key) + 1] = held(sieve.value, key)
+                    for k in range(length):  # phrases lie in one chunk
+                        alive[1 + marks[marks >= k] - k] = False
+                    turns = np.flatnonzero(alive[1:] != alive[:-1])
+                    a, b = turns[::2], turns[1::2]
+                    kept = (b - a > 1) & (offset[a] < rows.column(2).to_numpy()[chunk[a]]) if len(a) else np.zeros(0, bool)
+                    a, b = a[kept], b[kept] + length - 1
+                    own = np.minimum(rows.column(2).to_numpy()[chunk[a]] - offset[a], b - a)
+                    yield _entry_rows(lang, [b" ".join(words[i:j]) for i, j in zip(a.tolist(), b.tolist())], own, rows.column(3).to_numpy()[chunk[a]])
+
+    return _entries(dictionary, run)
+
+
+def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Word totals as (lang, n), and tables of phrases of 1, 2, ... LONGEST words that occur `least` times, as (lang, phrase, a)."""
+    share = lambda t: docs.sparkSession.sparkContext.broadcast(sieve_of(t))
+    every = materialize(word_counts(docs), "words")
+    tables, dictionary = [every.filter(F.col("a") >= least)], None
+    for length in range(2, LONGEST + 1):
+        sieve = share(tables[-1])
+        dictionary = materialize(chunks(docs, sieve) if dictionary is None else narrow(dictionary, length - 1, sieve), f"chunks-{length}")
+        tables.append(materialize(counts(dictionary, length).filter(F.col("a") >= least), f"phrases-{length}"))
+    return every.groupBy("lang").agg(F.sum("a").alias("n")), tables
 
 
 def collocations(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -169,9 +284,7 @@ def collocations(docs: DataFrame, least: int = 100) -> DataFrame:
     without words give nothing, repeated rows count each time, other columns are ignored; no
     phrase so frequent or no rows: no rows out.
     """
-    dictionary = materialize(chunks(docs), "chunks")
-    total = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
-    tables = frequent_phrases(dictionary, least)
+    total, tables = frequent_phrases(docs, least)
     known = tables[0]
     for t in tables[1:-1]:
         known = known.unionByName(t)
