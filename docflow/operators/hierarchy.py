@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cgraph import cut
+from .running import exponential_average
 
 # Smoothing of the planner's averages.
 ALPHA = 0.25
@@ -100,15 +101,8 @@ def dag_perf(nodes: DataFrame, wall: DataFrame, workers: int) -> DataFrame:
 
 
 def planner_ema(obs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """HIE11: (metric, seq, value) -> the exponential average, in closed form: weights by distance from the last.
-
-    Each value weighs alpha * (1 - alpha) ** steps after it, the first one the rest. Negative values do
-    not count.
-    """
-    w = Window.partitionBy("metric").orderBy("seq")
-    ok = obs.filter("value >= 0").withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("metric")))
-    weight = F.pow(F.lit(1.0 - alpha), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(alpha)
-    return ok.groupBy("metric").agg(F.sum(F.col("value") * weight).alias("ema"), F.count("*").alias("n"))
+    """HIE11: (metric, seq, value) -> the exponential average of each metric, from its first value on. Negative values do not count."""
+    return exponential_average(obs.filter("value >= 0"), ["metric"], [F.col("seq")], "value", alpha).select("metric", "ema", "n")
 
 
 def plan_estimate(plans: DataFrame, workers: int, intensity: float, sec_per: float = 8.0, carbon_per: float = 0.02, runtime_s: float = 60.0, cost_usd: float = 0.01, api_calls: float = 20.0) -> DataFrame:
@@ -133,12 +127,40 @@ def execution_trace(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("job_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "error").alias("failed"), F.sum(F.size("dep_ids")).alias("edges"), F.sum("cost_usd").alias("cost_usd"), slow.alias("slowest_node"))
 
 
-def wait_audit(nodes: DataFrame, least_ms: float = 2000.0) -> DataFrame:
-    """HIE15: nodes that waited least_ms or more after their last dependency ended, with how many they had."""
-    d = nodes.select("job_id", "node_id", "start_ms", F.explode("dep_ids").alias("dep"))
+def execution_timeline(nodes: DataFrame) -> DataFrame:
+    """HIE14: a row for each node in order of start: kind, status, depth, dependencies, model, tokens, cost, and times since the job's first start."""
+    first = nodes.groupBy("job_id").agg(F.min("start_ms").alias("first"))
+    t = nodes.join(first, "job_id")
+    w = Window.partitionBy("job_id").orderBy("start_ms", "node_id")
+    since = lambda c: (F.col(c) - F.col("first")).alias(c.replace("_ms", "ed_at_ms").replace("end", "finish"))
+    return t.select(
+        "job_id", F.row_number().over(w).alias("place"), "node_id", "kind", "status", "depth", "dep_ids", "model", "tokens", "carbon_g", "latency_ms",
+        since("start_ms"), since("end_ms"), (F.col("status") == "error").alias("failed"),
+    )
+
+
+#: Why a node waited.
+QUEUED, BLOCKED = "scheduler_queue_or_worker_capacity_after_deps_ready", "dependencies_unfinished"
+
+
+def wait_audit(nodes: DataFrame, submits: DataFrame, least_ms: float = 2000.0) -> DataFrame:
+    """HIE15: submissions that came least_ms or more after the last dependency that had ended by then.
+
+    submits: (job_id, node_id, at_ms). Each dependency's state is that of the moment: it is unfinished if it has no end or
+    ends later. submit_n counts a node's submissions in order, submits all of them; the reason is BLOCKED
+    with the unfinished dependencies, or QUEUED.
+    """
+    w = Window.partitionBy("job_id", "node_id").orderBy("at_ms")
+    s = submits.withColumn("submit_n", F.row_number().over(w)).withColumn("submits", F.count("*").over(Window.partitionBy("job_id", "node_id")))
+    d = nodes.select("job_id", "node_id", F.explode("dep_ids").alias("dep"))
     ends = nodes.select("job_id", F.col("node_id").alias("dep"), "end_ms")
-    g = d.join(ends, ["job_id", "dep"]).groupBy("job_id", "node_id").agg(F.max("start_ms").alias("start_ms"), F.max("end_ms").alias("ready_ms"), F.count("*").alias("deps"))
-    return g.withColumn("wait_ms", F.col("start_ms") - F.col("ready_ms")).filter(F.col("wait_ms") >= least_ms).select("job_id", "node_id", "deps", "wait_ms")
+    at = s.join(d, ["job_id", "node_id"]).join(ends, ["job_id", "dep"], "left")
+    done = F.coalesce(F.col("end_ms") <= F.col("at_ms"), F.lit(False))
+    g = at.groupBy("job_id", "node_id", "submit_n", "submits", "at_ms").agg(
+        F.count("*").alias("deps"), F.max(F.when(done, F.col("end_ms"))).alias("ready_ms"), F.array_sort(F.collect_list(F.when(~done, F.col("dep")))).alias("unfinished"),
+    )
+    g = g.withColumn("wait_ms", F.col("at_ms") - F.col("ready_ms")).filter(F.col("wait_ms") >= least_ms)
+    return g.select("job_id", "node_id", "submit_n", "submits", "deps", "wait_ms", F.when(F.size("unfinished") > 0, BLOCKED).otherwise(QUEUED).alias("reason"), "unfinished")
 
 
 def prompt_tokens(nodes: DataFrame, pending: Column = None, cap: int = 400) -> DataFrame:
@@ -148,26 +170,26 @@ def prompt_tokens(nodes: DataFrame, pending: Column = None, cap: int = 400) -> D
     return d.join(c, ["job_id", "dep"]).groupBy("job_id", "node_id").agg(F.sum("t").alias("prompt_tokens"))
 
 
-def overflow_layers(edges: DataFrame, budget: int, summary_cap: int = 400, rounds: int = 6) -> DataFrame:
+def overflow_layers(edges: DataFrame, budget: int, summary_cap: int = 400) -> DataFrame:
     """HIE5: (job_id, parent, child, tokens) -> edges with intermediate nodes under parents whose children exceed the budget.
 
     An overfull parent's children are dealt in order into nodes of budget / mean tokens children, two at
-    least; a new node counts with its summary's cap. Repeats while a parent is overfull, `rounds` at most; a parent that is still overfull then is visible in its children's tokens.
+    least; a new node counts with its summary's cap. Repeats, for new nodes too, until no parent of more than two
+    children is overfull: each turn leaves the parent fewer children and gives its new nodes fewer than it had.
     """
-    now = cut(edges.select("job_id", "parent", "child", F.col("tokens").cast("long").alias("tokens")))
-    done = None
-    for r in range(rounds):
+    now, done, turn = cut(edges.select("job_id", "parent", "child", F.col("tokens").cast("long").alias("tokens"))), None, 0
+    while True:
         load = now.groupBy("job_id", "parent").agg(F.sum("tokens").alias("total"), F.count("*").alias("n"))
-        over = load.filter((F.col("total") > budget) & (F.col("n") > 2))
+        over = cut(load.filter((F.col("total") > budget) & (F.col("n") > 2)))
         if over.isEmpty():
-            break
+            return now if done is None else done.unionByName(now)
+        settled = now.join(over, ["job_id", "parent"], "left_anti")
+        done = settled if done is None else done.unionByName(settled)
         fan = F.greatest(F.lit(2), F.least(F.col("n") - 1, F.floor(F.lit(budget) / F.greatest(F.lit(80), F.floor(F.col("total") / F.col("n"))))))
         w = Window.partitionBy("job_id", "parent").orderBy("child")
         full = now.join(over, ["job_id", "parent"]).withColumn("batch", F.floor((F.row_number().over(w) - 1) / fan))
-        node = F.concat_ws("/", F.lit("overflow"), "parent", F.lit(str(r)), "batch")
+        node = F.concat_ws("/", F.lit("overflow"), "parent", F.lit(str(turn)), "batch")
         full = cut(full.select("job_id", "parent", "child", "tokens", node.alias("node")))
         lower = full.select("job_id", F.col("node").alias("parent"), "child", "tokens")
         upper = full.groupBy("job_id", "parent", F.col("node").alias("child")).agg(F.least(F.sum("tokens"), F.lit(summary_cap)).alias("tokens"))
-        done = lower if done is None else done.unionByName(lower)
-        now = cut(now.join(over, ["job_id", "parent"], "left_anti").unionByName(upper))
-    return now if done is None else now.unionByName(done)
+        now, turn = cut(lower.unionByName(upper)), turn + 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docflow.functions.text import norm_label
-from docflow.operators.cgraph import CYCLE_RELATIONS, REUSE_RELATIONS, neighbors
+from docflow.operators.cgraph import CYCLE_RELATIONS, REUSE_RELATIONS, cut, neighbors
 
 # Kinds asked for by name, kinds of code and of prose, words of a question that say nothing
 # about its subject, beginnings of paths of the main sources.
@@ -105,11 +105,11 @@ def resembling(v: DataFrame, queries: DataFrame, least: float = FUZZY) -> DataFr
     qs = queries.filter("qn <> ''").select("qn").distinct().select("qn", F.explode(counted("qn")).alias("c"))
     ranks = ls.groupBy("c").agg(F.count("*").alias("n"))
     placed = lambda df, s: df.join(ranks, "c", "left").fillna(0, ["n"]).withColumn("place", F.row_number().over(Window.partitionBy(s).orderBy("n", "c"))).withColumn("size", F.length(s))
-    l, q = placed(ls, "nl"), placed(qs, "qn")
+    l, q = cut(placed(ls, "nl")), cut(placed(qs, "qn"))
     ahead = F.col("place") <= F.col("size") - need(F.col("size")) + 1
     few_l = l.filter(ahead).select("c", "nl", F.col("size").alias("ln")).join(q.select("c", "qn", F.col("size").alias("qn_")), "c").filter("ln <= qn_")
     few_q = q.filter(ahead).select("c", "qn", F.col("size").alias("qn_")).join(l.select("c", "nl", F.col("size").alias("ln")), "c").filter("ln > qn_")
-    pairs = few_l.select("qn", "nl").union(few_q.select("qn", "nl")).distinct()
+    pairs = cut(few_l.select("qn", "nl").union(few_q.select("qn", "nl")).distinct())
     shared = F.size(F.array_intersect(counted("qn"), counted("nl")))
     pairs = pairs.filter(shared >= need(F.least(F.length("qn"), F.length("nl")))).filter(_partial("qn", "nl") >= least)
     return pairs.join(queries.select("query_id", "qn"), "qn").join(v.select("id", norm_label("label").alias("nl")), "nl").select("query_id", "id")
@@ -141,8 +141,11 @@ def search_nodes(v: DataFrame, queries: DataFrame, limit: int = 20, kinds: tuple
     )
     pairs = hits.select("query_id", "id").union(exact).distinct()
     if fuzzy is not None:
+        pairs = cut(pairs)
         many = pairs.groupBy("query_id").count().filter(F.col("count") >= FEW)
-        pairs = pairs.union(resembling(v, q.join(many, "query_id", "left_anti"), fuzzy)).distinct()
+        few = cut(q.join(many, "query_id", "left_anti").select("query_id", "qn"))
+        if not few.isEmpty():
+            pairs = pairs.union(resembling(v, few, fuzzy)).distinct()
     c = pairs.join(hits, ["query_id", "id"], "left").fillna(0, ["hits"]).join(allowed, "id").join(q, "query_id")
     label, nl = F.coalesce("label", F.lit("")), norm_label("label")
     score = similarity(F.col("qn"), nl) + F.least(F.lit(10.0), 0.3 * F.col("degree")) + 5.0 * F.col("hits")
@@ -165,7 +168,7 @@ def locate(v: DataFrame, e: DataFrame, queries: DataFrame, limit: int = 25) -> D
     Files of the hits come in their order (role hit), then files of documents that the first five hits point to
     by one of their first 20 edges (role neighbour, the hit's score); each file once.
     """
-    hits = search_nodes(v, queries, limit)
+    hits = cut(search_nodes(v, queries, limit))
     own = hits.join(v.select("id", "source_file"), "id").select("query_id", "source_file", "id", "score", F.lit("hit").alias("role"), F.col("place").alias("turn"), F.lit(0).alias("nth"))
     top = hits.filter("place <= 5")
     docs = v.filter(F.col("kind").isin("readme", "document", "paper") | F.col("file_type").isin("document", "image")).select(F.col("id").alias("dst"), "source_file")
@@ -188,7 +191,7 @@ def module_summary(v: DataFrame, e: DataFrame, queries: DataFrame, members: int
     path = F.lower(F.coalesce("source_file", F.lit("")))
     fits = F.contains(F.replace(path, F.lit("\\"), F.lit("/")), F.replace("qn", F.lit(" "), F.lit("/"))) | F.contains("id", F.replace("qn", F.lit(" "), F.lit("_")))
     seeds = hits.groupBy("query_id").agg(F.min_by("id", F.struct((~fits).alias("no"), "place")).alias("id"))
-    seeds = seeds.join(v.select("id", "source_file", "community"), "id").select("query_id", F.col("id").alias("seed"), "source_file", "community")
+    seeds = cut(seeds.join(v.select("id", "source_file", "community"), "id").select("query_id", F.col("id").alias("seed"), "source_file", "community"))
     placed = v.filter("source_file <> ''").select("id", F.lower("source_file").alias("file"), F.split("source_file", "/").alias("p"))
     above = placed.filter("size(p) > 1").select("id", F.explode(F.expr("transform(sequence(1, size(p) - 1), n -> array_join(slice(p, 1, n), '/'))")).alias("folder"))
     folder = F.expr("array_join(slice(split(source_file, '/'), 1, size(split(source_file, '/')) - 1), '/')")
@@ -197,6 +200,7 @@ def module_summary(v: DataFrame, e: DataFrame, queries: DataFrame, members: int
     peers = first_of(v.filter("community is not null").select("community", "id").join(seeds.select("community").distinct(), "community", "left_semi"), ["community"], [F.asc("id")], members, "n")
     by_community = seeds.select("query_id", "community").join(peers, "community").select("query_id", "id")
     related = by_file.union(by_folder).union(by_community).union(seeds.select("query_id", F.col("seed"))).distinct()
+    related = cut(related)
     label = F.coalesce("label", "id")
     own = related.join(v, "id")
     out = e.filter(F.col("relation").isin(*CYCLE_RELATIONS)).select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("dependency").alias("what"))
@@ -241,6 +245,7 @@ def graph_qa(v: DataFrame, e: DataFrame, questions: DataFrame, limit: int = 12)
     hits = search_nodes(v, asks.select(F.col("text").alias("query_id"), F.col("text").alias("query")).distinct(), 8).withColumnRenamed("query_id", "text")
     seeds = asks.join(hits, "text").filter("place <= most")
     seeds = seeds.groupBy("query_id", "id").agg(F.min_by("score", F.struct("n", "place")).alias("score"), F.min(F.struct("n", "place")).alias("turn"))
+    seeds = cut(seeds)
     around = neighbors(e, seeds.select("id").distinct()).join(v.select(F.col("id").alias("other"), "label", "degree"), "other")
     around = first_of(around, ["id"], [F.desc("degree"), F.asc("label"), F.asc("other"), F.asc("relation"), F.asc("direction")], 15, "nth")
     near = seeds.join(around.select("id", "other").distinct(), "id").groupBy("query_id", F.col("other").alias("id")).agg(F.min_by("score", "turn").alias("near"))

@@ -325,7 +325,7 @@ def imports(spark, d):
     return blocks.union(ring.select("src", F.concat(F.lit("s"), "o"), F.lit("uses")))
 
 
-@register("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 'p' || (l_partkey - l_partkey % 6 + l_suppkey % 6) AS dst FROM lineitem WHERE l_linenumber < 3 AND l_returnflag IN ('A', 'R')),
+@register("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 'p' || (l_partkey - l_partkey % 6 + l_suppkey % 6) AS dst FROM lineitem WHERE l_linenumber < 3 AND l_returnflag IN ('A', 'R') UNION SELECT 's' || s_suppkey, 's' || unnest([s_suppkey + 1, CASE WHEN s_suppkey > 1 THEN s_suppkey - 1 ELSE 2 END]) FROM supplier),
   w(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT a, dst FROM w JOIN e ON src = b), m AS (SELECT x.a AS id, min(least(x.a, x.b)) AS component FROM w x JOIN w y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1),
   z AS (SELECT component, count(*) AS size FROM m GROUP BY 1) SELECT id, component, size FROM m JOIN z USING (component) WHERE size BETWEEN 2 AND 12""")
 def cg16_cycles(spark, d):

@@ -203,10 +203,25 @@ def rte11_routing_expectations(spark, d):
     return R.routing_expectations(routes(spark, d)).select("doc_id", *r6(["quality", "carbon_g", "latency_ms"]))
 
 
-@register("""WITH g AS (SELECT user_id AS endpoint, count(*) AS calls, avg((event_type <> 'error')::INT) - least(0.5, avg(value) / 10000.0) AS h FROM events GROUP BY 1) SELECT endpoint, calls, round(h, 10) AS health, CAST(row_number() OVER (ORDER BY round(h, 9) DESC, calls, endpoint) AS INTEGER) AS place FROM g""")
+_CALLS_NOW = 1_705_000_000.0
+
+
+@register(f"""WITH RECURSIVE c AS (SELECT user_id AS endpoint, event_id AS call_id, epoch(ts) AS s, epoch(ts) + 3600 * value AS e, event_type <> 'error' AS ok, value * 10 AS lat, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value * 20 END AS ttft, CASE WHEN event_type = 'view' THEN 0 ELSE event_id % 100 END AS tok, event_type = 'signup' AND event_id % 2 = 0 AS lim FROM events WHERE epoch(ts) <= {_CALLS_NOW}),
+  o AS (SELECT endpoint, count_if(e > {_CALLS_NOW}) AS active, count_if(e <= {_CALLS_NOW}) AS calls, count_if(e <= {_CALLS_NOW} AND ok) AS good, max(CASE WHEN e <= {_CALLS_NOW} THEN greatest(CASE WHEN NOT ok THEN e + 8.0 END, CASE WHEN lim THEN e + 20.0 END) END) AS cool FROM c GROUP BY 1),
+  n AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY e, call_id) AS i FROM c WHERE e <= {_CALLS_NOW}),
+  w(endpoint, i, lat, ttft, tps) AS (SELECT endpoint, 0::BIGINT, 1500.0::DOUBLE, 800.0::DOUBLE, 20.0::DOUBLE FROM o UNION ALL
+    SELECT w.endpoint, n.i, CASE WHEN n.lat > 0 THEN 0.8 * w.lat + 0.2 * n.lat ELSE w.lat END, CASE WHEN n.ttft > 0 THEN 0.8 * w.ttft + 0.2 * n.ttft ELSE w.ttft END, CASE WHEN tok > 0 AND n.lat > 0 THEN 0.8 * w.tps + 0.2 * (tok / greatest(0.05, n.lat / 1000.0)) ELSE w.tps END FROM w JOIN n ON n.endpoint = w.endpoint AND n.i = w.i + 1),
+  l AS (SELECT endpoint, arg_max(lat, i) AS lat, arg_max(ttft, i) AS ttft, arg_max(tps, i) AS tps FROM w GROUP BY 1),
+  h AS (SELECT endpoint, active, calls, round(lat, 6) AS latency_ms, round(ttft, 6) AS ttft_ms, round(tps, 6) AS tps, round(CASE WHEN cool > {_CALLS_NOW} THEN 1e9 ELSE 0.45::DOUBLE * least(1.0, active / 6.0::DOUBLE) + 0.25::DOUBLE * least(1.0, ttft / 8000) + 0.15::DOUBLE * least(1.0, greatest(0.0, 1 - tps / 40)) + 0.15::DOUBLE * CASE WHEN calls > 0 THEN 1 - good / calls ELSE 0 END END, 9) AS health FROM o JOIN l USING (endpoint))
+  SELECT *, row_number() OVER (ORDER BY active, latency_ms, health, endpoint) AS place FROM h""")
 def rte12_rank_endpoints(spark, d):
-    c = table(spark, d, "events").select(F.col("user_id").alias("endpoint"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"))
-    return R.rank_endpoints(c).select("endpoint", "calls", *r6(["health"]), "place")
+    k, v, kind = F.col("event_id"), F.col("value"), F.col("event_type")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    c = table(spark, d, "events").select(
+        F.col("user_id").alias("endpoint"), k.alias("call_id"), start.alias("started_s"), (start + 3600 * v).alias("ended_s"), (kind != "error").alias("ok"), (v * 10).alias("latency_ms"),
+        F.when(k % 3 == 0, 0.0).otherwise(v * 20).alias("ttft_ms"), F.when(kind == "view", 0).otherwise(k % 100).alias("tokens"), ((kind == "signup") & (k % 2 == 0)).alias("rate_limited"),
+    )
+    return R.rank_endpoints(c, _CALLS_NOW)
 
 
 @register("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'big-70b,mid-n,big-120b' ELSE 'm' || (o_orderkey % 4) || ',mid-n,big-70b,big-120b' END AS chain FROM orders")
@@ -317,9 +332,24 @@ def hie14_execution_trace(spark, d):
     return H.execution_trace(nodes(spark, d)).select("job_id", "nodes", "failed", "edges", *r6(["cost_usd"]), "slowest_node")
 
 
-@register(f"""WITH {NODES}, x AS (SELECT dep.job_id, dep.node_id, max(a.s) AS s, max(b.e) AS r, count(*) AS deps FROM dep JOIN nd a ON a.job_id = dep.job_id AND a.node_id = dep.node_id JOIN nd b ON b.job_id = dep.job_id AND b.node_id = dep.dep GROUP BY 1, 2) SELECT job_id, node_id, deps, s - r AS wait_ms FROM x WHERE s - r >= 2000""")
+@register(f"""WITH {NODES}, f AS (SELECT job_id, min(s) AS f FROM nd GROUP BY 1)
+  SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY s, node_id) AS INTEGER) AS place, node_id, kind, status, CAST(depth AS INTEGER) AS depth, array_to_string(list_sort(deps), ',') AS dep_ids, model, tokens, round(carbon_g, 10) AS carbon_g, ms AS latency_ms, s - f AS started_at_ms, e - f AS finished_at_ms, status = 'error' AS failed FROM nd JOIN f USING (job_id)""")
+def hie14_timeline(spark, d):
+    t = H.execution_timeline(nodes(spark, d))
+    return t.withColumn("dep_ids", F.array_join(F.array_sort("dep_ids"), ",")).withColumn("carbon_g", F.round("carbon_g", 10))
+
+
+def _submits(spark, d):
+    """Each node at its start, and nodes that failed once more, three seconds after their end."""
+    n = nodes(spark, d)
+    return n.select("job_id", "node_id", F.col("start_ms").cast("double").alias("at_ms")).union(n.filter("status = 'error'").select("job_id", "node_id", F.col("end_ms") + 3000.0))
+
+
+@register(f"""WITH {NODES}, sb AS (SELECT *, row_number() OVER (PARTITION BY job_id, node_id ORDER BY t) AS submit_n, count(*) OVER (PARTITION BY job_id, node_id) AS submits FROM (SELECT job_id, node_id, s::DOUBLE AS t FROM nd UNION ALL SELECT job_id, node_id, e + 3000.0 FROM nd WHERE status = 'error')),
+  x AS (SELECT sb.job_id, sb.node_id, submit_n, submits, t, count(*) AS deps, max(CASE WHEN e <= t THEN e END) AS r, string_agg(CASE WHEN e > t THEN dep.dep END, ',' ORDER BY dep.dep) AS u FROM sb JOIN dep ON dep.job_id = sb.job_id AND dep.node_id = sb.node_id JOIN nd ON nd.job_id = sb.job_id AND nd.node_id = dep.dep GROUP BY ALL)
+  SELECT job_id, node_id, CAST(submit_n AS INTEGER) AS submit_n, submits, deps, t - r AS wait_ms, CASE WHEN u IS NULL THEN '{H.QUEUED}' ELSE '{H.BLOCKED}' END AS reason, coalesce(u, '') AS unfinished FROM x WHERE t - r >= 2000""")
 def hie15_wait_audit(spark, d):
-    return H.wait_audit(nodes(spark, d))
+    return H.wait_audit(nodes(spark, d), _submits(spark, d)).withColumn("unfinished", F.array_join("unfinished", ","))
 
 
 @register(f"""WITH {NODES} SELECT dep.job_id, dep.node_id, sum(CASE WHEN status = 'complete' THEN tokens ELSE least(tokens, 400) END)::BIGINT AS prompt_tokens FROM dep JOIN nd ON nd.job_id = dep.job_id AND nd.node_id = dep.dep GROUP BY 1, 2""")
