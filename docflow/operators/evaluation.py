@@ -50,6 +50,12 @@ def quality_summary(runs: DataFrame) -> DataFrame:
     return d.crossJoin(best).select("n_scored", "mean", "min", F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"), "max", "best_model")
 
 
+def quality_scatter(runs: DataFrame) -> DataFrame:
+    """EVL2: a point for each scored run: quality beside latency, cost, CO2e and speed."""
+    q = runs.filter("ok and not dry_run and not skipped and quality_score is not null")
+    return q.select("run_id", "model", "quality_score", "latency_ms", "cost_usd", "co2e_g", "tokens_per_sec")
+
+
 def normal(c) -> Column:
     return F.regexp_replace(strip(F.lower(text_of(c))), r"\s+", " ")
 

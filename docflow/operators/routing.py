@@ -204,24 +204,27 @@ NODE_WEIGHTS = (0.30, 0.30, 0.25, 0.25)
 
 
 def assign_models(nodes: DataFrame, chain: DataFrame, latency: DataFrame) -> DataFrame:
-    """RTE8: (job_id, node_id, kind, min_tier, load, intensity) x (place, model) -> the model of best utility.
+    """RTE8: (job_id, node_id, kind, min_tier, load, intensity, prefer_quality) x (place, model) -> the model of best utility.
 
     Earlier models of the chain are cheaper: their place decides which priors they get, live latency
-    replaces the prior's, and a busy pool or a dirty grid favours them.
+    replaces the prior's, and a busy pool or a dirty grid favours them. Where quality is preferred it weighs more, the last
+    model has the heavy tier's priors, and a calm pool and grid favour later models.
     """
     size = chain.agg(F.count("*").alias("n"))
     df = nodes.crossJoin(F.broadcast(chain.crossJoin(size))).join(F.broadcast(latency), "model", "left")
     frac = F.when(F.col("n") > 1, F.col("place") / (F.col("n") - 1)).otherwise(0.0)
+    prefer = F.coalesce("prefer_quality", F.lit(False))
     tier = (
-        F.when(F.col("min_tier") == "heavy", F.lit("heavy"))
+        F.when((F.col("min_tier") == "heavy") | (prefer & (F.col("place") == F.col("n") - 1)), F.lit("heavy"))
         .when(F.col("min_tier") == "light", F.when(F.col("place") == 0, "light").otherwise("medium"))
         .otherwise(F.when((F.col("place") > 0) & (frac > 0.66), "heavy").otherwise("medium"))
     )
     p = [look(NODE_PRIORS, tier, i, NODE_PRIORS["medium"][i]) for i in range(3)]
     dirty = clamp((F.col("intensity") - 200.0) / 600.0)
-    quality = F.when(F.col("kind").isin("executive", "final"), 0.40).otherwise(NODE_WEIGHTS[0])
+    quality = F.when(prefer | F.col("kind").isin("executive", "final"), 0.40).otherwise(NODE_WEIGHTS[0])
     u = quality * p[0] - NODE_WEIGHTS[1] * F.coalesce("rolling_ms", p[1]) / 5000.0 - NODE_WEIGHTS[2] * dirty * p[2] / 0.55 - NODE_WEIGHTS[3] * F.col("load") * frac
     u = u + F.when((F.col("load") > 0.55) | (dirty > 0.55), 0.08 * (1.0 - frac)).otherwise(0.0)
+    u = u + F.when(prefer & (F.col("load") < 0.35) & (dirty < 0.45), 0.06 * frac).otherwise(0.0)
     df = df.withColumn("utility", u)
     return df.groupBy("job_id", "node_id").agg(F.max(F.struct(F.round("utility", 9).alias("u"), (-F.col("place")).alias("k"), "model")).alias("b")).select("job_id", "node_id", F.col("b.model").alias("model"), F.col("b.u").alias("utility"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docflow.functions.text import est_tokens
+
 
 def stage_summary(timings: DataFrame, by: str = "stage", ms: str = "ms") -> DataFrame:
     """TEL1: n, mean, p50, p95, max, min of each stage; percentiles by linear interpolation."""
@@ -68,6 +70,11 @@ def compare_runs(before: DataFrame, after: DataFrame, targets: DataFrame) -> Dat
     return df.withColumn("status", F.when(F.col("target_ms").isNull(), "no_target").when(F.col("after_mean") <= F.col("target_ms"), "pass").otherwise("fail"))
 
 
+def status_distribution(rows: DataFrame, status: str) -> DataFrame:
+    """TEL9: how often each status came; rows without one do not count."""
+    return rows.filter(F.col(status).isNotNull() & (F.col(status) != "")).groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
+
+
 def eta(progress: DataFrame) -> DataFrame:
     """TEL11: rate and seconds left; null while nothing is done or no time has passed."""
     rate = F.when(F.col("elapsed_s") > 0, F.col("done") / F.col("elapsed_s"))
@@ -85,3 +92,17 @@ def generation_timing(calls: DataFrame) -> DataFrame:
     gen = F.greatest(F.lit(0.0), ttlt - ttft)
     errors = F.transform(F.filter("attempts", lambda a: ~a["ok"] & a["error"].isNotNull()), lambda a: a["error"])
     return calls.select("call_id", first.alias("network_ms"), F.greatest(F.lit(0.0), ttlt - first).alias("inference_ms"), gen.alias("generation_ms"), F.when((gen > 0) & (F.col("out_tokens") > 0), F.col("out_tokens") / (gen / 1000.0)).otherwise(0.0).alias("tokens_per_sec"), F.array_join(errors, ",").alias("retry_reasons"))
+
+
+def prompt_token_parts(calls: DataFrame) -> DataFrame:
+    """TEL10: tokens of a prompt by part: system texts, the user's query, retrieved context, the final prompt, output.
+
+    calls: call_id, messages (role, content), query, context_tokens, out_tokens, max_tokens. Texts of a role are joined first.
+    """
+    of = lambda role: F.array_join(F.transform(F.filter("messages", lambda m: F.lower(m["role"]) == role), lambda m: F.coalesce(m["content"], F.lit(""))), "")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    system = est_tokens(of("system"))
+    return calls.select(
+        "call_id", system.cast("long").alias("system_tokens"), est_tokens("query").cast("long").alias("user_query_tokens"), zero("context_tokens").alias("retrieved_context_tokens"),
+        (system + est_tokens(of("user"))).cast("long").alias("final_prompt_tokens"), zero("out_tokens").alias("output_tokens"), F.col("max_tokens").cast("long").alias("max_tokens_cap"),
+    )

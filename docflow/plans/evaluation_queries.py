@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docflow.operators import evaluation as E
+from docflow.operators import evaluators as V
 
 from .bindings import CHUNKS, PAIRS, chunks, pairs, table
 from .registry import register
@@ -56,6 +57,11 @@ def evl2_quality_summary(spark, d):
     return E.quality_summary(runs(spark, d)).select("n_scored", *r6(["mean"]), "min", *r6(["p25", "p50", "p75"]), "max", "best_model")
 
 
+@register(f"WITH {RUNS} SELECT run_id, model, q AS quality_score, latency_ms, round(cost_usd, 6) AS cost_usd, round(co2e_g, 6) AS co2e_g, round(tokens_per_sec, 6) AS tokens_per_sec FROM runs WHERE q IS NOT NULL")
+def evl2_scatter(spark, d):
+    return E.quality_scatter(runs(spark, d)).select("run_id", "model", "quality_score", "latency_ms", *r6(["cost_usd", "co2e_g", "tokens_per_sec"]))
+
+
 _SETS = PAIRS + r""", p0 AS (SELECT doc_id, source, summary, regexp_extract_all(lower(source), '[a-z0-9]+(?:''[a-z]+)?') AS rl, regexp_extract_all(lower(summary), '[a-z0-9]+(?:''[a-z]+)?') AS cl,
   regexp_replace(trim(lower(source)), '\s+', ' ', 'g') AS rn, regexp_replace(trim(lower(summary)), '\s+', ' ', 'g') AS cn FROM pairs),
 p1 AS (SELECT *, list_distinct(rl) AS r, list_distinct(cl) AS c FROM p0), p2 AS (SELECT *, len(list_intersect(r, c)) AS b, CASE WHEN len(rl) = 0 THEN length(rn) ELSE len(rl) END AS rlen, CASE WHEN len(cl) = 0 THEN length(cn) ELSE len(cl) END AS clen FROM p1)"""
@@ -191,3 +197,24 @@ def evl19_freeze_window(spark, d):
 def evl20_workload_points(spark, d):
     m = E.per_model(runs(spark, d))
     return E.workload_points(m, m.filter("model <> 'click'")).select("workload", "model", *r6(["cost_usd", "co2e_g"]))
+
+
+def _labelled_pairs(spark, d):
+    """Documents beside their first words, with their label where there is one."""
+    known = table(spark, d, "labels").select(F.col("doc_id").alias("pair_id"), "quality")
+    return pairs(spark, d).select(F.col("doc_id").alias("pair_id"), F.col("source").alias("reference"), F.col("summary").alias("candidate"), F.col("source").alias("context")).join(known, "pair_id", "left")
+
+
+_SCORED = f"""WITH {_SETS}, sc AS (SELECT doc_id AS pair_id, 'lexical' AS evaluator, trim(source) = '' AS skipped, CASE WHEN trim(source) <> '' THEN {_F1} END AS quality_score, 'token f1' AS note FROM p2
+  UNION ALL SELECT d.doc_id, 'labelled', quality IS NULL, 100.0::DOUBLE * quality, 'label' FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+@register(_SCORED + " SELECT evaluator, pair_id, skipped, round(quality_score, 6) AS quality_score, note FROM sc")
+def evl_registered_evaluators(spark, d):
+    """Named evaluators over the same pairs."""
+    return V.evaluate(_labelled_pairs(spark, d), "lexical", "labelled").select("evaluator", "pair_id", "skipped", *r6(["quality_score"]), "note")
+
+
+@register(_SCORED + " SELECT a.evaluator AS first, b.evaluator AS second, count(*) AS pairs, round(avg(b.quality_score - a.quality_score), 6) AS mean_difference FROM sc a JOIN sc b ON a.pair_id = b.pair_id AND a.evaluator < b.evaluator WHERE NOT a.skipped AND NOT b.skipped GROUP BY 1, 2")
+def evl_compared_evaluators(spark, d):
+    return V.compare_evaluators(V.evaluate(_labelled_pairs(spark, d), "lexical", "labelled")).select("first", "second", "pairs", *r6(["mean_difference"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docflow.operators import cgraph as C
 from docflow.operators import kgraph as K
 from docflow.operators import nodesearch as N
+from docflow.operators.tablefunctions import register_table_functions
 
 from .bindings import table
 from .registry import ORACLES, register
@@ -231,6 +232,22 @@ def cg5_shortest_paths(spark, d):
     return C.shortest_paths(edges(spark, d), _pairs(spark, d)).select("src", "dst", "hops")
 
 
+_BLOCKS = """x AS (SELECT l_partkey // 6 AS g, 'p' || l_partkey AS a, 'p' || (l_partkey - l_partkey % 6 + l_suppkey % 6) AS b FROM lineitem WHERE l_linenumber < 3),
+  ends AS (SELECT g, min(v) AS src, max(v) AS dst FROM (SELECT g, a AS v FROM x UNION ALL SELECT g, b FROM x) GROUP BY 1), st AS (SELECT DISTINCT g, a, b FROM (SELECT g, a, b FROM x UNION ALL SELECT g, b, a FROM x) WHERE a <> b)"""
+
+
+@register(f"""WITH RECURSIVE {_BLOCKS}, w(g, src, id, n) AS (SELECT g, src, src, 0 FROM ends UNION SELECT w.g, src, b, n + 1 FROM w JOIN st ON st.g = w.g AND a = id WHERE n < 6)
+  SELECT CAST(ends.g AS VARCHAR) AS graph_id, ends.src, dst, CAST(min(n) AS INTEGER) AS hops FROM ends LEFT JOIN w ON w.g = ends.g AND id = dst GROUP BY 1, 2, 3""")
+def cg5_paths_in_modules(spark, d):
+    """From the first to the last part of each block of six, by the table function."""
+    register_table_functions(spark)
+    p = F.col("l_partkey")
+    e = table(spark, d, "lineitem").filter("l_linenumber < 3").select(F.floor(p / 6).cast("string").alias("graph_id"), F.lit("edge").alias("kind"), F.concat(F.lit("p"), p).alias("src"), F.concat(F.lit("p"), p - p % 6 + F.col("l_suppkey") % 6).alias("dst"))
+    ends = e.select("graph_id", F.explode(F.array("src", "dst")).alias("v")).groupBy("graph_id").agg(F.lit("pair").alias("kind"), F.min("v").alias("src"), F.max("v").alias("dst"))
+    e.union(ends.select("graph_id", "kind", "src", "dst")).createOrReplaceTempView("module_links")
+    return spark.sql("SELECT graph_id, src, dst, hops FROM shortest_paths(TABLE(module_links) PARTITION BY graph_id)")
+
+
 @register(f"WITH {CODE} SELECT DISTINCT src AS id, dst AS other, CASE relation WHEN 'imports' THEN 'imports' WHEN 'calls' THEN 'calls' WHEN 'uses' THEN 'calls' WHEN 'inherits' THEN 'inherits' ELSE 'documents' END AS family FROM e WHERE src IN (SELECT id FROM v WHERE community = 3)")
 def cg6_dependencies(spark, d):
     return C.dependencies(edges(spark, d), vertices(spark, d).filter("community = 3").select("id"))

@@ -271,6 +271,12 @@ def tel9_compare_runs(spark, d):
     return out.select("stage", *[F.round(c, 6).alias(c) for c in ("before_mean", "after_mean", "before_sd", "after_sd", "improvement_pct")], "status")
 
 
+@register("SELECT json_extract_string(props, '$.k') AS status, count(*) AS n FROM events WHERE event_id % 4 <> 0 AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+def tel9_status_distribution(spark, d):
+    e = table(spark, d, "events").select(F.when(F.col("event_id") % 4 != 0, F.get_json_object("props", "$.k")).alias("rerank_status"))
+    return T.status_distribution(e, "rerank_status")
+
+
 @register("SELECT event_id, round((event_id % 10) / value, 6) AS rate, round(CASE WHEN event_id % 10 > 0 THEN (10 - event_id % 10) / ((event_id % 10) / value) END, 6) AS eta_s FROM events")
 def tel11_eta(spark, d):
     p = table(spark, d, "events").select("event_id", (F.col("event_id") % 10).alias("done"), F.lit(10).alias("total"), F.col("value").alias("elapsed_s"))
@@ -346,3 +352,11 @@ def job15_compact_metrics(spark, d):
     ins = F.struct(F.struct(F.lit(1).alias("light"), F.lit(2).alias("medium")).alias("routing_distribution"))
     j = table(spark, d, "orders").select(k.alias("job_id"), F.to_json(F.struct(cd.alias("carbon_data"), ins.alias("processing_insights"))).alias("result"))
     return J.compact_metrics(j).select("job_id", "baseline_g", "optimized_g", "saved_g", "region", "total_chunks")
+
+
+@register("""WITH m AS (SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN text END, '' ORDER BY turn) AS s, string_agg(CASE WHEN role = 'user' THEN text END, '' ORDER BY turn) AS u, arg_max(text, turn) AS q, count(*) AS n FROM conversations GROUP BY 1)
+  SELECT conv_id AS call_id, greatest(1, length(coalesce(s, '')) // 4) AS system_tokens, greatest(1, length(q) // 4) AS user_query_tokens, n * 10 AS retrieved_context_tokens, greatest(1, length(coalesce(s, '')) // 4) + greatest(1, length(coalesce(u, '')) // 4) AS final_prompt_tokens, n AS output_tokens, CAST(400 AS BIGINT) AS max_tokens_cap FROM m""")
+def tel10_prompt_parts(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"), F.max_by("text", "turn").alias("query"), F.count("*").alias("n"))
+    c = c.select(F.col("conv_id").alias("call_id"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"), "query", (F.col("n") * 10).alias("context_tokens"), F.col("n").alias("out_tokens"), F.lit(400).alias("max_tokens"))
+    return T.prompt_token_parts(c)

@@ -357,14 +357,14 @@ def hie16_prompt_tokens(spark, d):
     return H.prompt_tokens(nodes(spark, d))
 
 
-@register(f"""WITH {NODES}, wk AS (SELECT job_id, node_id, kind, node_id % 3 AS t, worker_id / 4 AS load, tokens % 600 / 600.0::DOUBLE AS dirty FROM nd),
+@register(f"""WITH {NODES}, wk AS (SELECT job_id, node_id, kind, node_id % 3 AS t, worker_id / 4 AS load, tokens % 600 / 600.0::DOUBLE AS dirty, node_id % 2 = 0 AS pq FROM nd),
   ch AS (SELECT unnest([0, 1, 2]) AS place, unnest(['small-8b', 'mid-14b', 'big-70b']) AS model), lv AS (SELECT avg(value) AS ms FROM events WHERE event_type = 'click'),
-  x AS (SELECT *, place / 2.0::DOUBLE AS frac, CASE WHEN t = 2 OR (t = 1 AND place = 2) THEN 3 WHEN t = 0 AND place = 0 THEN 1 ELSE 2 END AS p FROM wk, ch, lv),
-  u AS (SELECT *, CASE WHEN kind IN ('executive', 'final') THEN 0.40::DOUBLE ELSE 0.30::DOUBLE END * list_extract([0.62::DOUBLE, 0.78, 0.92], p) - 0.30::DOUBLE * coalesce(CASE WHEN place = 1 THEN ms END, list_extract([800.0::DOUBLE, 1800.0, 4500.0], p)) / 5000
-    - 0.25::DOUBLE * dirty * list_extract([0.08::DOUBLE, 0.22, 0.55], p) / 0.55::DOUBLE - 0.25::DOUBLE * load * frac + CASE WHEN load > 0.55 OR dirty > 0.55 THEN 0.08::DOUBLE * (1 - frac) ELSE 0 END AS u FROM x)
+  x AS (SELECT *, place / 2.0::DOUBLE AS frac, CASE WHEN t = 2 OR (t = 1 AND place = 2) OR (pq AND place = 2) THEN 3 WHEN t = 0 AND place = 0 THEN 1 ELSE 2 END AS p FROM wk, ch, lv),
+  u AS (SELECT *, CASE WHEN pq OR kind IN ('executive', 'final') THEN 0.40::DOUBLE ELSE 0.30::DOUBLE END * list_extract([0.62::DOUBLE, 0.78, 0.92], p) - 0.30::DOUBLE * coalesce(CASE WHEN place = 1 THEN ms END, list_extract([800.0::DOUBLE, 1800.0, 4500.0], p)) / 5000
+    - 0.25::DOUBLE * dirty * list_extract([0.08::DOUBLE, 0.22, 0.55], p) / 0.55::DOUBLE - 0.25::DOUBLE * load * frac + CASE WHEN load > 0.55 OR dirty > 0.55 THEN 0.08::DOUBLE * (1 - frac) ELSE 0 END + CASE WHEN pq AND load < 0.35 AND dirty < 0.45 THEN 0.06::DOUBLE * frac ELSE 0 END AS u FROM x)
   SELECT job_id, node_id, model, round(u, 6) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY job_id, node_id ORDER BY round(u, 9) DESC, place) AS r FROM u) WHERE r = 1""")
 def rte8_assign_models(spark, d):
-    n = nodes(spark, d).select("job_id", "node_id", "kind", F.element_at(F.array(*[F.lit(t) for t in R.TIERS]), (F.col("node_id") % 3 + 1).cast("int")).alias("min_tier"), (F.col("worker_id") / 4).alias("load"), (F.lit(200.0) + F.col("tokens") % 600).alias("intensity"))
+    n = nodes(spark, d).select("job_id", "node_id", "kind", F.element_at(F.array(*[F.lit(t) for t in R.TIERS]), (F.col("node_id") % 3 + 1).cast("int")).alias("min_tier"), (F.col("worker_id") / 4).alias("load"), (F.lit(200.0) + F.col("tokens") % 600).alias("intensity"), (F.col("node_id") % 2 == 0).alias("prefer_quality"))
     chain = spark.createDataFrame([(0, "small-8b"), (1, "mid-14b"), (2, "big-70b")], "place int, model string")
     live = table(spark, d, "events").filter("event_type = 'click'").agg(F.lit("mid-14b").alias("model"), F.avg("value").alias("rolling_ms"))
     return R.assign_models(n, chain, live).select("job_id", "node_id", "model", F.round("utility", 6).alias("utility"))

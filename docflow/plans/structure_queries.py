@@ -58,6 +58,17 @@ def src4_validate_uploads(spark, d):
     return D.validate_uploads(table(spark, d, "events").select(F.col("event_id").alias("file_id"), pick(0).alias("name"), pick(1).alias("content")))
 
 
+_BYTES = [(".PDF", "%PDF-1.7 ", "application/pdf", None), (".docx", "PK", "", "not_a_docx"), (".txt", "", "text/plain; charset=utf-8", None), (".csv", "a,< script>", "", "markup_in_text"), (".txt", "a\0", "", "binary_text"), (".pdf", "", "", "not_a_pdf"), (".txt", "", "image/png", "unsupported_content_type")]
+
+
+@register("SELECT doc_id, lower(x.n) AS extension, r IS NULL AS accepted, r AS reason FROM (SELECT *, CASE WHEN x.r <> '' THEN x.r WHEN x.n = '.txt' AND regexp_matches(left(text, 200), '(?i)<\\s*script\\b|javascript\\s*:|on[a-zA-Z0-9_]+\\s*=|<\\s*iframe\\b|<\\s*object\\b|<\\s*embed\\b|<html') THEN 'markup_in_text' END AS r FROM (SELECT doc_id, text, list_extract([" + ", ".join(f"{{'n': '{n}', 'r': '{r or ''}'}}" for n, _, _, r in _BYTES) + f"], CAST(doc_id % {len(_BYTES)} + 1 AS INTEGER)) AS x FROM documents))")
+def src4_upload_bytes(spark, d):
+    """Documents as files of every kind, some damaged."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in _BYTES]), (F.col("doc_id") % len(_BYTES) + 1).cast("int"))
+    f = table(spark, d, "documents").select("doc_id", F.concat(F.lit("up/f"), "doc_id", pick(0)).alias("name"), pick(2).alias("content_type"), F.concat(pick(1), F.substring("text", 1, 200)).cast("binary").alias("content"))
+    return D.validate_upload_bytes(f).select("doc_id", "extension", "accepted", "reason")
+
+
 @register("SELECT conv_id, turn, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n, CASE WHEN length(text) > 300 THEN 'too_long' WHEN turn % 4 = 3 THEN 'script' END AS rejected FROM conversations WHERE length(text) = length(trim(text)) OR turn >= 0".replace("length(text) > 300", "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) + CASE WHEN turn % 4 = 3 THEN 20 ELSE 0 END > 300").replace("AS n, CASE", "+ CASE WHEN turn % 4 = 3 THEN 20 ELSE 0 END AS n, CASE"))
 def src5_sanitize_text(spark, d):
     t = F.concat(F.lit("\x01"), D.strip("text"), F.when(F.col("turn") % 4 == 3, F.lit(" javascript: alert(1)"[:20])).otherwise(F.lit("")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,8 @@ from docflow.functions.text import safe_filename, strip, text_of
 # Most characters read and kept, allowed uploads, patterns of headings, controls and scripts.
 MOST_BYTES, BLOCK_CHARS, PATH_CHARS, QUERY_CHARS = 2_000_000, 20_000, 500, 8_000
 UPLOADS = (".pdf", ".docx", ".txt", ".csv")
+STORED_TYPES = {".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".txt": "text/plain", ".csv": "text/csv"}
+UPLOAD_TYPES = (*STORED_TYPES.values(), "application/msword", "application/csv", "application/octet-stream")
 HEADING_NUMBERED, HEADING_MARKDOWN = r"(?i)^(?:(?:chapter|section|part)\s+)?\d+(?:\.\d+)*\.?\s+\S+", r"^#{1,3}\s+\S+"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 SCRIPT = r"(?is)<\s*script\b|javascript\s*:|on\w+\s*=|<\s*iframe\b|<\s*object\b|<\s*embed\b"
@@ -66,6 +72,49 @@ def validate_uploads(files: DataFrame) -> DataFrame:
     return files.select("file_id", ext.alias("extension"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
+@F.pandas_udf(T.BooleanType())
+def _is_docx(content: pd.Series) -> pd.Series:
+    """Zip files that hold a content list and something under word/."""
+    def fits(data) -> bool:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                names = z.namelist()
+        except Exception:  # whatever a damaged file makes the reader say, it is no document
+            return False
+        return "[Content_Types].xml" in names and any(n.startswith("word/") for n in names)
+
+    return content.map(fits)
+
+
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a folder as (name, content_type null, content bytes); Spark's reader leaves files of no bytes out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.lit(None).cast("string").alias("content_type"), "content")
+
+
+def validate_upload_bytes(files: DataFrame) -> DataFrame:
+    """SRC4 on bytes: files with (name, content_type, content binary) -> also extension, accepted, reason and the type to store.
+
+    Beginnings are compared as bytes; a word document must be a zip file with its parts; texts have no NUL in
+    their first 8192 bytes and no script or page in their first 4096, bytes beyond ASCII being no part of either. Null content is empty, a
+    null type is any.
+    """
+    ext = F.lower(F.regexp_extract(safe_filename("name"), r"(\.[^.]*)$", 1))
+    body = F.coalesce("content", F.lit(b""))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    head = F.lower(F.regexp_replace(F.decode(F.substring(body, 1, 4096), "ISO-8859-1"), r"[^\x00-\x7F]", "?"))
+    starts = lambda b: F.substring(body, 1, len(b)) == F.lit(b)
+    text = ext.isin(".txt", ".csv")
+    docx = F.when((ext == ".docx") & starts(b"PK"), _is_docx(F.when((ext == ".docx") & starts(b"PK"), body).otherwise(F.lit(b"")))).otherwise(False)
+    reason = (
+        F.when(F.length(body) == 0, "empty").when(~ext.isin(*UPLOADS), "unsupported_type").when((kind != "") & ~kind.isin(*UPLOAD_TYPES), "unsupported_content_type")
+        .when((ext == ".pdf") & ~starts(b"%PDF"), "not_a_pdf").when((ext == ".docx") & ~docx, "not_a_docx")
+        .when(text & F.contains(F.substring(body, 1, 8192), F.lit(b"\0")), "binary_text").when(text & (head.rlike(SCRIPT) | F.contains(head, F.lit("<html"))), "markup_in_text")
+    )
+    stored = F.element_at(F.create_map(*[F.lit(x) for kv in STORED_TYPES.items() for x in kv]), ext)
+    return files.withColumns({"extension": ext, "accepted": reason.isNull(), "reason": reason, "stored_type": F.when(reason.isNull(), stored)})
+
+
 def sanitize_text(c, most: int = QUERY_CHARS) -> tuple[Column, Column]:
     """SRC5: text without controls, and why it is rejected (too long, script), null if it is not."""
     s = strip(F.regexp_replace(text_of(c), CONTROLS, ""))

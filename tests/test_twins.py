@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.operators import cgraph, context, features, folds, routing
+from docflow.operators import cgraph, context, features, folds, hierarchy, routing
 from docflow.plans import evaluation_queries, graph_queries, retrieval_queries, routing_queries
 from docflow.plans.catalog import QUERIES
 
@@ -206,23 +206,43 @@ def test_blocks_under_budget(spark, got):
     assert {(r.query_id, r.chunk_ids): r.n_chars for r in got("ctx4_select_under_budget")} == want
 
 
-def test_overflow_layers(spark, got):
-    todo, want = defaultdict(list), set()
-    for r in routing_queries.nodes(spark, SF).collect():
-        todo[r.job_id, "root"].append((f"n{r.node_id:04d}", r.tokens))
-    for (job, parent), kids in todo.items():
-        for r in range(6):
+def plain_overflow(kids_of, budget, cap=400):
+    """(job, parent) -> (child, tokens): until no parent of more than two children is overfull, new nodes included."""
+    want, todo, turn = set(), dict(kids_of), 0
+    while todo:
+        nxt = {}
+        for (job, parent), kids in todo.items():
             total, n = sum(t for _, t in kids), len(kids)
-            if total <= 6000 or n <= 2:
-                break
-            fan, kids, new = max(2, min(n - 1, 6000 // max(80, total // n))), sorted(kids), []
+            if total <= budget or n <= 2:
+                want |= {(job, parent, c, t) for c, t in kids}
+                continue
+            fan, kids = max(2, min(n - 1, budget // max(80, total // n))), sorted(kids)
             for i in range(0, n, fan):
-                node, part = f"overflow/{parent}/{r}/{i // fan}", kids[i : i + fan]
-                want |= {(job, node, c, t) for c, t in part}
-                new.append((node, min(400, sum(t for _, t in part))))
-            kids = new
-        want |= {(job, parent, c, t) for c, t in kids}
-    assert {(r.job_id, r.parent, r.child, r.tokens) for r in got("hie5_overflow_layers")} == want
+                node, part = f"overflow/{parent}/{turn}/{i // fan}", kids[i : i + fan]
+                nxt[job, node] = part
+                nxt.setdefault((job, parent), []).append((node, min(cap, sum(t for _, t in part))))
+        todo, turn = nxt, turn + 1
+    return want
+
+
+def test_overflow_layers(spark, got):
+    kids = defaultdict(list)
+    for r in routing_queries.nodes(spark, SF).collect():
+        kids[r.job_id, "root"].append((f"n{r.node_id:04d}", r.tokens))
+    assert {(r.job_id, r.parent, r.child, r.tokens) for r in got("hie5_overflow_layers")} == plain_overflow(kids, 6000)
+
+
+def test_overflow_goes_on_until_no_parent_is_overfull(spark):
+    rows = [(1, "root", f"n{i:04d}", 390 if i % 7 else 3000) for i in range(700)] + [(2, "root", "a", 9000), (2, "root", "b", 9000)]
+    out = hierarchy.overflow_layers(spark.createDataFrame(rows, "job_id long, parent string, child string, tokens long"), 900).collect()
+    kids = defaultdict(list)
+    for job, parent, child, tokens in rows:
+        kids[job, parent].append((child, tokens))
+    assert {(r.job_id, r.parent, r.child, r.tokens) for r in out} == plain_overflow(kids, 900)
+    load = defaultdict(list)
+    for r in out:
+        load[r.job_id, r.parent].append(r.tokens)
+    assert all(sum(t) <= 900 or len(t) <= 2 for t in load.values()) and {r.child for r in out} >= {f"n{i:04d}" for i in range(700)}
 
 
 def test_tiers_under_a_carbon_budget(spark, got):
