@@ -1,13 +1,14 @@
 """Phrase collocations by prefix-free parsing.
 
-Words are counted first. Then texts are parsed into chunks: a chunk starts where a piece starts (words too rare for
-any phrase end pieces as well) or where the checksum of OVERLAP words triggers, and ends OVERLAP words into the
-next one, so that each phrase of up to OVERLAP + 1 words lies whole in the chunk that owns its first word, and only
-there. Equal chunks become one entry of a dictionary with the number of times the parse holds it.
-Phrases are counted inside distinct chunks, weighted by that number, length by length: a phrase that is
-frequent enough has frequent parts, so before each length the dictionary is narrowed to the stretches
-where the phrases one word shorter may be frequent. Which ones may be is a bit map of fixed size;
-bits that several phrases share let more be counted, and lose none.
+Texts are parsed into chunks: a chunk starts where a piece starts or where the checksum of OVERLAP words
+triggers, and ends OVERLAP words into the next one, so that each phrase of up to OVERLAP + 1 words lies whole in
+the chunk that owns its first word, and only there. Equal chunks become one entry of a dictionary
+with the number of times the parse holds it.
+Phrases are counted inside distinct chunks, weighted by that number, length by length: those of a length are weighed
+by their hash, the dictionary is narrowed to the stretches where they may be frequent, and there they
+are counted. As the parts of a frequent phrase are frequent, the next length needs no more than these stretches. Which
+phrases may be frequent is a bit map of fixed size; bits and hashes that several phrases share let more be
+counted, and lose none.
 """
 
 from __future__ import annotations
@@ -37,23 +38,20 @@ _BUCKET = 1 << 15
 
 #: Entries that a worker keeps of what it knows of words.
 _KNOWN = 1_000_000
+_GATHER = 4 << 20
 
 
 class _Checksums(dict):
-    """Word of a language -> checksum, 0 for words that the bit map rules out; the mark between pieces has 0 as well."""
+    """Word -> checksum, never 0; the mark between pieces has 0."""
 
-    def __init__(self, lang: str, sieve: np.ndarray | None):
-        self.seed, self.sieve = fold(np.uint64(0), np.uint64(xxh64_intdigest(lang.encode(), 42))), sieve
+    def __init__(self):
         self[b","] = 0
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > _KNOWN:
             self.clear()
             self[b","] = 0
-        h = zlib.crc32(word) or 1
-        if self.sieve is not None and not held(self.sieve, fold(self.seed, np.uint64(xxh64_intdigest(word, 42)))):
-            h = 0
-        self[word] = h
+        self[word] = h = zlib.crc32(word) or 1
         return h
 
 
@@ -85,14 +83,18 @@ def held(sieve: np.ndarray, key):
     return (sieve[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-def sieve_of(frequent: DataFrame) -> np.ndarray:
-    """Bit map of the phrases of a table, by hash; at most SIEVE bits reach the driver, whatever the table's size."""
-    key = F.aggregate(
-        F.transform(F.concat(F.array("lang"), F.split("phrase", " ")), lambda w: F.xxhash64(w)),
+def phrase_key(lang: str = "lang", phrase: str = "phrase"):
+    """fold() over the language and the words of a phrase."""
+    return F.aggregate(
+        F.transform(F.concat(F.array(lang), F.split(phrase, " ")), lambda w: F.xxhash64(w)),
         F.lit(0).cast("long"),
         lambda k, h: F.shiftleft(k, 5).bitwiseXOR(F.shiftrightunsigned(k, 2)).bitwiseXOR(h),
     )
-    bit = frequent.select(F.pmod(key, F.lit(SIEVE)).alias("h"))
+
+
+def sieve_of(keys: DataFrame) -> np.ndarray:
+    """Bit map of a table's keys; at most SIEVE bits reach the driver, whatever the table's size."""
+    bit = keys.select(F.pmod("key", F.lit(SIEVE)).alias("h"))
     rows = bit.groupBy(F.expr(f"h div {_BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"h % {_BUCKET}")).alias("bits")).collect()
     out = np.zeros(SIEVE // 8, np.uint8)
     for r in rows:
@@ -100,6 +102,19 @@ def sieve_of(frequent: DataFrame) -> np.ndarray:
     return out
 
 
+def _gathered(batches, column: str):
+    """Arrow batches of small rows put together, of large ones cut, to a few MB each."""
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.column(column).nbytes
+        if size >= _GATHER:
+            yield from text_slices(pa.Table.from_batches(kept).combine_chunks().to_batches()[0], column)
+            kept, size = [], 0
+    if size:
+        yield from text_slices(pa.Table.from_batches(kept).combine_chunks().to_batches()[0], column)
+
+
 def _by_lang(batch: pa.RecordBatch):
     """(lang, rows) of each language of an Arrow batch whose first column is the language."""
     for lang in pc.unique(batch.column(0)).to_pylist():
@@ -126,13 +141,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts: dict[str, Counter] = {}
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                for lang, rows in _by_lang(part):
-                    counts.setdefault(lang, Counter()).update(_pieces(rows).replace(b",", b" ").split())
-                if sum(map(len, counts.values())) > _KNOWN // 2:
-                    yield from (rows_of(*x) for x in counts.items())
-                    counts = {}
+        for part in _gathered(batches, "text"):
+            for lang, rows in _by_lang(part):
+                counts.setdefault(lang, Counter()).update(_pieces(rows).replace(b",", b" ").split())
+            if sum(map(len, counts.values())) > _KNOWN // 2:
+                yield from (rows_of(*x) for x in counts.items())
+                counts = {}
         yield from (rows_of(*x) for x in counts.items())
 
     return _texts(docs).mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
@@ -170,19 +184,14 @@ def _entry_rows(lang: str, chunks: list[bytes], own, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_column(lang, len(chunks)), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(own, pa.int32()), pa.array(n, pa.int64())], names=["lang", "chunk", "own", "n"])
 
 
-def chunks(docs: DataFrame, sieve=None) -> DataFrame:
-    """documents -> the dictionary of distinct chunks a language. sieve: broadcast bit map of words; others end pieces."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """documents -> the dictionary of distinct chunks a language."""
     def run(batches):
-        known: dict[str, _Checksums] = {}
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                for lang, rows in _by_lang(part):
-                    if len(known) > 64:
-                        known.clear()
-                    if lang not in known:
-                        known[lang] = _Checksums(lang, sieve and sieve.value)
-                    for found, behind in zip(parse(_pieces(rows), known[lang]), (0, OVERLAP)):
-                        yield _entry_rows(lang, list(found), [t.count(b" ") + 1 - behind for t in found], list(found.values()))
+        checksums = _Checksums()
+        for part in _gathered(batches, "text"):
+            for lang, rows in _by_lang(part):
+                for found, behind in zip(parse(_pieces(rows), checksums), (0, OVERLAP)):
+                    yield _entry_rows(lang, list(found), [t.count(b" ") + 1 - behind for t in found], list(found.values()))
 
     return _entries(_texts(docs), run)
 
@@ -226,51 +235,83 @@ def count_inside(rows: pa.RecordBatch, length: int) -> tuple[list[bytes], np.nda
 def counts(dictionary: DataFrame, length: int) -> DataFrame:
     """The dictionary -> lang, phrase, a of phrases of one length, a being its count in all texts."""
     def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "chunk"):
-                for lang, rows in _by_lang(part):
-                    found, total = count_inside(rows, length)
-                    yield pa.RecordBatch.from_arrays([_column(lang, len(found)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(total, pa.int64())], names=["lang", "phrase", "a"])
+        for part in _gathered(batches, "chunk"):
+            for lang, rows in _by_lang(part):
+                found, total = count_inside(rows, length)
+                yield pa.RecordBatch.from_arrays([_column(lang, len(found)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(total, pa.int64())], names=["lang", "phrase", "a"])
 
     return dictionary.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
+def _keys(lang: str, words: list[bytes], marks: np.ndarray, length: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the `length` words from each place on, and where they lie in one chunk."""
+    n = len(words)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+    key = fold(np.zeros(n, np.uint64), np.uint64(xxh64_intdigest(lang.encode(), 42)))
+    for k in range(length):
+        key = fold(key[: max(0, n - k)], h[k:])
+    inside = np.ones(len(key), bool)
+    for k in range(length):
+        at = marks[marks >= k] - k
+        inside[at[at < len(key)]] = False
+    return key, inside
+
+
+def weighed(dictionary: DataFrame, length: int, sieve=None) -> DataFrame:
+    """The dictionary -> key, a: the occurrences of all phrases of `length` words that share a key. sieve: broadcast bit map of words; phrases with others are left out."""
+    def run(batches):
+        hashes = _Hashes()
+        for part in _gathered(batches, "chunk"):
+            for lang, rows in _by_lang(part):
+                words, marks, chunk, offset = _chunk_words(rows)
+                n = max(0, len(words) - length + 1)
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                key = word = fold(fold(np.uint64(0), np.uint64(xxh64_intdigest(lang.encode(), 42))), h)
+                often = held(sieve.value, word) if sieve else np.ones(len(words), bool)
+                often[marks] = False
+                mine = often[:n] & (offset < rows.column(2).to_numpy()[chunk])[:n]
+                for k in range(1, length):
+                    key = fold(key[:-1], h[k:])
+                    mine &= often[k : n + k]
+                at = np.flatnonzero(mine)
+                order, first = _groups(key[at])
+                total = np.add.reduceat(rows.column(3).to_numpy()[chunk[at[order]]], first) if len(at) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[at[order[first]]].view(np.int64)), pa.array(total, pa.int64())], names=["key", "a"])
+
+    return dictionary.mapInArrow(run, "key long, a long").groupBy("key").agg(F.sum("a").alias("a"))
+
+
 def narrow(dictionary: DataFrame, length: int, sieve) -> DataFrame:
-    """The dictionary of the longest stretches of which all phrases of `length` words may be frequent, two of them at least."""
+    """The dictionary of the longest stretches of which all phrases of `length` words may be frequent."""
     def run(batches):
         hashes = _Hashes()
-        for batch in batches:
-            for part in text_slices(batch, "chunk"):
-                for lang, rows in _by_lang(part):
-                    words, marks, chunk, offset = _chunk_words(rows)
-                    n = len(words)
-                    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-                    key = fold(np.zeros(n, np.uint64), np.uint64(xxh64_intdigest(lang.encode(), 42)))
-                    for k in range(length):
-                        key = fold(key[: n - k], h[k:])
-                    alive = np.zeros(n + 2, bool)
-                    alive[1 : len(key) + 1] = held(sieve.value, key)
-                    for k in range(length):  # phrases lie in one chunk
-                        alive[1 + marks[marks >= k] - k] = False
-                    turns = np.flatnonzero(alive[1:] != alive[:-1])
-                    a, b = turns[::2], turns[1::2]
-                    kept = (b - a > 1) & (offset[a] < rows.column(2).to_numpy()[chunk[a]]) if len(a) else np.zeros(0, bool)
-                    a, b = a[kept], b[kept] + length - 1
-                    own = np.minimum(rows.column(2).to_numpy()[chunk[a]] - offset[a], b - a)
-                    yield _entry_rows(lang, [b" ".join(words[i:j]) for i, j in zip(a.tolist(), b.tolist())], own, rows.column(3).to_numpy()[chunk[a]])
+        for part in _gathered(batches, "chunk"):
+            for lang, rows in _by_lang(part):
+                words, marks, chunk, offset = _chunk_words(rows)
+                key, inside = _keys(lang, words, marks, length, hashes)
+                alive = np.zeros(len(key) + 2, bool)
+                alive[1:-1] = inside & held(sieve.value, key)
+                turns = np.flatnonzero(alive[1:] != alive[:-1])
+                a, b = turns[::2], turns[1::2] + length - 1
+                own = np.minimum(rows.column(2).to_numpy()[chunk[a]] - offset[a], b - a) if len(a) else a
+                a, b, own = a[own > 0], b[own > 0], own[own > 0]
+                yield _entry_rows(lang, [b" ".join(words[i:j]) for i, j in zip(a.tolist(), b.tolist())], own, rows.column(3).to_numpy()[chunk[a]] if len(a) else a)
 
     return _entries(dictionary, run)
 
 
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Word totals as (lang, n), and tables of phrases of 1, 2, ... LONGEST words that occur `least` times, as (lang, phrase, a)."""
-    share = lambda t: docs.sparkSession.sparkContext.broadcast(sieve_of(t))
+    share = lambda keys: docs.sparkSession.sparkContext.broadcast(sieve_of(keys))
+    often = F.col("a") >= least
     every = materialize(word_counts(docs), "words")
-    tables, dictionary = [every.filter(F.col("a") >= least)], None
+    tables = [every.filter(often)]
+    dictionary = materialize(chunks(docs), "chunks")
+    words = share(tables[0].select(phrase_key().alias("key")))
     for length in range(2, LONGEST + 1):
-        sieve = share(tables[-1])
-        dictionary = materialize(chunks(docs, sieve) if dictionary is None else narrow(dictionary, length - 1, sieve), f"chunks-{length}")
-        tables.append(materialize(counts(dictionary, length).filter(F.col("a") >= least), f"phrases-{length}"))
+        keys = weighed(dictionary, length, words if length == 2 else None).filter(often)
+        dictionary = materialize(narrow(dictionary, length, share(keys)), f"chunks-{length}")
+        tables.append(materialize(counts(dictionary, length).filter(often), f"phrases-{length}"))
     return every.groupBy("lang").agg(F.sum("a").alias("n")), tables
 
 
