@@ -103,15 +103,16 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     top = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).first()
     prior = min(max(top.s / top.n if top.n else 0.5, 1e-3), 1 - 1e-3)
 
-    def strength(groups: DataFrame, mean, n) -> float:
-        """Pseudo-documents of the parent: by moments, from the spread of group means beyond sampling."""
-        m = groups.filter(n >= 2).agg(F.count("*").alias("g"), F.avg((mean - prior) ** 2).alias("v"), F.avg(prior * (1 - prior) / n).alias("e")).first()
+    def strength(groups: DataFrame, mean, n, parent) -> float:
+        """Pseudo-documents of the parent: by moments, from the spread of group means around their parent's beyond sampling."""
+        m = groups.filter(n >= 2).agg(F.avg((mean - parent) ** 2).alias("v"), F.avg(parent * (1 - parent) / n).alias("e"), F.avg(parent * (1 - parent)).alias("s")).first()
         between = max((m.v or 0.0) - (m.e or 0.0), 1e-4)
-        return float(min(max(prior * (1 - prior) / between - 1, 1.0), 1e4))
+        return float(min(max((m.s or 0.25) / between - 1, 1.0), 1e4))
 
-    kh = strength(hosts, F.col("hs") / F.col("hn"), F.col("hn"))
-    kp = strength(paths, F.col("s") / F.col("n"), F.col("n"))
     groups = paths.join(hosts, "host")
+    kh = strength(hosts, F.col("hs") / F.col("hn"), F.col("hn"), F.lit(prior))
+    # A path that is all of its host says nothing about the spread within hosts.
+    kp = strength(groups.filter("n < hn"), F.col("s") / F.col("n"), F.col("n"), F.col("hs") / F.col("hn"))
     out = scored.join(groups, ["host", "path"])
     others = lambda s, n, k, mean: (F.col(s) - F.col("p") + k * mean) / (F.col(n) - 1 + k)
     out = out.withColumn("host_rate", others("hs", "hn", kh, F.lit(prior)))
