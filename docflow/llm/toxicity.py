@@ -1,17 +1,19 @@
 """Toxicity by weak supervision.
 
-Lexicons are found on a bounded sample of labelled rows outside the held-out fold, near copies counted
-once (else every word of a much copied toxic document would look like a toxic word): words and word
-beginnings that occur in far more toxic than clean documents, by a likelihood ratio above the
-logarithm of the number of candidates by EVIDENCE, and hardly in clean ones (PURITY). They are dealt into voters by kind, and pattern voters look
-at how many entries a document hits and how densely. A generative model of the votes (two latent
-classes, fitted by expectation maximisation) estimates each voter's accuracy in either class, and the
-correlations of voters given the class discount voters that repeat each other. A linear classifier is
-then trained on the model's posterior labels and scores whole texts in Arrow batches.
+Voters are lexicons and patterns. Lexicon entries are words, beginnings of words, and beginnings that two or three different
+words of a text share; they are looked for on a bounded sample of labelled rows outside the held-out fold, near copies counted
+once (else every word of a much copied toxic document would look like a toxic word). An entry must be hardly known to
+clean texts (PURITY), and so telling that at most one false entry of its kind is to be expected by chance, at any size of the table. Entries of a kind are dealt into voters by their evidence. Some
+pattern voters look at how many entries a text hits, others at its shape alone. A generative model of the
+votes (two latent classes, fitted by expectation maximisation, the labels being one voter of fixed accuracy) estimates each voter's rates in either
+class, given the vote of one other voter where the two hang together (a tree of pairwise terms, the
+pairs chosen by their information). A linear classifier is trained on the model's posterior labels
+and scores whole texts in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,13 +30,14 @@ FOLDS = 5
 #: Bytes that part words: all ASCII but small letters (texts are lower-cased first).
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 BEGINNINGS = (4, 5, 6, 7)
-VOTERS_A_KIND = 8
-KINDS = 1 + len(BEGINNINGS)
-PATTERNS = 4
+VOTERS_A_KIND = 4
+#: Whole words, then for each beginning: a word, two words, three words that share it.
+KINDS = 1 + 3 * len(BEGINNINGS)
+#: Rows that a candidate of a kind must be in, toxic ones at least.
+LEAST = [3, *[3] * len(BEGINNINGS), *[3] * len(BEGINNINGS), *[2] * len(BEGINNINGS)]
+PATTERNS = 6
 #: Least share of toxic documents among those with a lexicon entry.
-PURITY = 0.85
-#: Logarithm of the likelihood ratio that an entry needs beyond that of the number of candidates.
-EVIDENCE = 3.0
+PURITY = 0.9
 #: Minimum hashes that tell near copies: a row stays if it comes first among its equals in each.
 SKETCH = 4
 
@@ -43,9 +46,19 @@ def distinct_words(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split())
 
 
-def traits(word: bytes) -> list[bytes]:
-    """The word itself and its beginnings, marked by kind."""
-    return [b"0" + word, *(b"%d" % k + word[:n] for k, n in enumerate(BEGINNINGS, 1) if len(word) >= n)]
+def traits(words: set[bytes]) -> list[tuple[int, bytes]]:
+    """(kind, entry) of a text's distinct words."""
+    out = [(0, w) for w in words]
+    for k, n in enumerate(BEGINNINGS, 1):
+        for start, times in Counter(w[:n] for w in words if len(w) >= n).items():
+            out += [(k + i * len(BEGINNINGS), start) for i in range(min(3, times))]
+    return out
+
+
+def shape(text: str) -> tuple[bool, bool]:
+    """Mostly capitals; a word three times in a row. Neither looks at what the words are."""
+    small, words = sum(map(text.count, "aeinrst")), text.split()
+    return sum(map(text.count, "AEINRST")) > max(10, small), any(a == b == c for a, b, c in zip(words, words[1:], words[2:]))
 
 
 def sketch(text: str | None) -> list[int]:
@@ -78,34 +91,55 @@ def one_of_each(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    voter_of: dict[bytes, int] = field(default_factory=dict)
-    dense: float = 1.0
+    """voter_of: (kind, entry) -> voter."""
+
+    voter_of: dict[tuple[int, bytes], int] = field(default_factory=dict)
     weights: np.ndarray | None = None
     base: float = 0.0
 
-    def votes(self, words: set[bytes], memo: dict) -> np.ndarray:
+    def __post_init__(self):
+        #: Beginnings that entries of any count have, and the entries that one word gives.
+        self.shared = {entry for kind, entry in self.voter_of if kind > len(BEGINNINGS)}
+
+    def _known(self, word: bytes) -> tuple[list[int], list[bytes]]:
+        """Voters that the word alone moves, and beginnings to be counted."""
+        starts = [word[:n] for n in BEGINNINGS if len(word) >= n]
+        ones = [(0, word), *((k, word[:n]) for k, n in enumerate(BEGINNINGS, 1) if len(word) >= n)]
+        return [self.voter_of[t] for t in ones if t in self.voter_of], [x for x in starts if x in self.shared]
+
+    def votes(self, text: str | None, memo: dict) -> np.ndarray:
         """1 where a voter votes toxic: lexicon voters first, then the patterns."""
-        out = np.zeros(KINDS * VOTERS_A_KIND + PATTERNS)
-        clean = memo.setdefault("clean", set())
+        words, out = distinct_words(text), np.zeros(KINDS * VOTERS_A_KIND + PATTERNS)
+        clean, known = memo.setdefault("clean", set()), memo.setdefault("known", {})
         if len(clean) > 1_000_000:
             clean.clear()
-        bad, hits = 0, 0
+        bad, hits, counted = 0, 0, Counter()
         for w in words - clean:
-            found = [self.voter_of[t] for t in traits(w) if t in self.voter_of]
-            if not found:
-                clean.add(w)
-                continue
-            bad += 1
-            hits += len(found)
-            out[found] = 1
-        share = bad / max(1, len(words))
-        out[-PATTERNS:] = bad >= 2, bad >= 3, share >= self.dense, hits >= 4
+            if w not in known:
+                known[w] = self._known(w)
+                if not any(known[w]):
+                    del known[w]
+                    clean.add(w)
+                    continue
+            found, starts = known[w]
+            counted.update(starts)
+            if found:
+                bad += 1
+                hits += len(found)
+                out[found] = 1
+        for start, times in counted.items():
+            for i in range(1, min(3, times)):
+                voter = self.voter_of.get((BEGINNINGS.index(len(start)) + 1 + i * len(BEGINNINGS), start))
+                if voter is not None:
+                    hits += 1
+                    out[voter] = 1
+        out[-PATTERNS:] = bad >= 2, bad >= 3, hits >= 2, hits >= 4, *shape(text or "")
         return out
 
     def score(self, text: str | None, memo: dict) -> float:
         if self.weights is None:
             return self.base
-        x = self.votes(distinct_words(text), memo)
+        x = self.votes(text, memo)
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30))))
 
 
@@ -114,32 +148,107 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(key.cast("binary")) % FOLDS == 0
 
 
-def label_model(votes: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Posterior of the toxic class from 0/1 votes, without labels.
+def pair_tree(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each voter the voter that it hangs on, given the class, or -1: the forest of most information (Chow and Liu).
 
-    Two latent classes; each voter has its own rate of voting in either. Voters that agree beyond
-    what the class explains count for less: a voter's evidence is divided by one plus the sum of its
-    positive correlations with the others, given the class.
+    A pair counts only if its information pays for its parameters (the logarithm of the rows, halved, for each class).
     """
     n, m = votes.shape
-    p = np.where(votes.sum(1) >= 2, 0.95, np.where(votes.sum(1) >= 1, 0.5, 0.02))
-    discount = np.ones(m)
+    info = np.zeros((m, m))
+    for w in (p, 1 - p):
+        total = w.sum() + 1e-9
+        one = (w @ votes) / total
+        both = (votes * w[:, None]).T @ votes / total
+        for cell, x, y in ((both, one[:, None], one[None]), (one[:, None] - both, one[:, None], 1 - one[None]), (one[None] - both, 1 - one[:, None], one[None]), (1 - one[:, None] - one[None] + both, 1 - one[:, None], 1 - one[None])):
+            cell, apart = np.clip(cell, 0, 1), x * y
+            info += total * np.where((cell > 1e-12) & (apart > 1e-12), cell * np.log(np.maximum(cell, 1e-12) / np.maximum(apart, 1e-12)), 0)
+    info -= np.log(max(n, 2))
+    np.fill_diagonal(info, -np.inf)
+    parent, inside = np.full(m, -1), np.zeros(m, bool)
+    best, via = np.full(m, -np.inf), np.full(m, -1)
+    for _ in range(m):
+        i = int(np.where(inside, -np.inf, best).argmax()) if (~inside & (best > 0)).any() else int(np.flatnonzero(~inside)[0])
+        parent[i] = via[i] if best[i] > 0 else -1
+        inside[i] = True
+        closer = info[i] > best
+        best[closer], via[closer] = info[i][closer], i
+    return parent
+
+
+def rates(votes: np.ndarray, p: np.ndarray, parent: np.ndarray, hold: float = 2.0) -> np.ndarray:
+    """P(voter votes toxic | class, parent's vote) as (class, parent's vote, voter), rare cases held near the voter's rate in the class."""
+    above = np.where(parent >= 0, votes[:, parent], 0.0)
+    out = np.empty((2, 2, votes.shape[1]))
+    for c, w in enumerate((1 - p, p)):
+        alone = (w @ votes + (0.5 if c else 0.05)) / (w.sum() + 1.0)
+        for v, side in enumerate((1 - above, above)):
+            out[c, v] = (w @ (votes * side) + hold * alone) / (w @ side + hold)
+    return np.clip(out, 1e-4, 1 - 1e-4)
+
+
+#: How far the label model trusts a label: a voter of this accuracy.
+TRUST = 0.98
+
+
+def posterior(votes: np.ndarray, prior: float, rate: np.ndarray, parent: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """P(toxic | votes, and labels as one voter more) under the model. A voter that is silent says nothing: texts of which only one lexicon knows the words would else be drowned."""
+    above = np.where(parent >= 0, votes[:, parent], 0.0)
+    z = np.full(len(votes), np.log(prior / (1 - prior)))
+    if labels is not None:
+        z += (2 * labels - 1) * np.log(TRUST / (1 - TRUST))
+    for c, sign in ((1, 1), (0, -1)):
+        z += sign * (votes * np.log(np.where(above > 0, rate[c, 1], rate[c, 0]))).sum(1)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def evidence(k, n, rate: float):
+    """Logarithm of the likelihood ratio of k toxic among n rows against the common rate."""
+    share = np.clip(k / n, 1e-12, 1 - 1e-12)
+    return k * np.log(share / rate) + (n - k) * np.log((1 - share) / (1 - rate))
+
+
+def least_evidence(sizes: dict[int, int], pure: list[tuple[int, int]], rate: float, least: int, most_false: float = 1.0) -> float:
+    """The evidence from which on at most `most_false` entries of a kind are to be expected by chance, and at most a third of those found.
+
+    sizes: how many candidates have n rows; pure: (k, n) of those found. A candidate without bearing has as many toxic rows
+    as n draws at the common rate.
+    """
+    chance: list[tuple[float, float]] = []
+    for n, many in sizes.items():
+        p = (1 - rate) ** n
+        for k in range(n + 1):
+            if k >= least and k / n >= max(PURITY, rate):
+                chance.append((float(evidence(k, n, rate)), many * p))
+            p *= (n - k) / (k + 1) * rate / (1 - rate)
+    chance.sort(reverse=True)
+    expected, at, out = 0.0, 0, float("inf")
+    found = sorted((float(evidence(k, n, rate)) for k, n in pure), reverse=True)
+    for i, x in enumerate(found):
+        if i + 1 < len(found) and found[i + 1] == x:
+            continue
+        while at < len(chance) and chance[at][0] >= x - 1e-9:
+            expected += chance[at][1]
+            at += 1
+        if expected > most_false:
+            break
+        if expected <= (i + 1) / 3:
+            out = x
+    return out
+
+
+def label_model(votes: np.ndarray, balance: float | None = None, labels: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+    """Posterior of the toxic class from 0/1 votes; starts from the number of lexicon votes. Labels, where there are any, are a voter of accuracy TRUST.
+
+    The balance of the classes is given, or the share of texts with two votes: votes for one class alone do not tell it.
+    """
+    lexicon = votes[:, : KINDS * VOTERS_A_KIND].sum(1) if votes.shape[1] > PATTERNS else votes.sum(1)
+    p = np.where(lexicon >= 2, 0.95, np.where(lexicon >= 1, 0.6, 0.02))
+    prior = float(np.clip((lexicon >= 2).mean() if balance is None else balance, 1e-3, 0.4))
+    parent = np.full(votes.shape[1], -1)
     for r in range(rounds):
-        prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        hit = ((p @ votes) + 0.5) / (p.sum() + 1.0)
-        miss = (((1 - p) @ votes) + 0.05) / ((1 - p).sum() + 1.0)
-        if r % 10 == 5:
-            expected = np.outer(p, hit) + np.outer(1 - p, miss)
-            rest = votes - expected
-            cov = rest.T @ rest / n
-            sd = np.sqrt(np.diag(cov)) + 1e-9
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-            np.fill_diagonal(corr, 0)
-            discount = 1 / (1 + corr.sum(1))
-        hit, miss = np.clip(hit, 1e-4, 1 - 1e-4), np.clip(miss, 1e-4, 1 - 1e-4)
-        on, off = np.log(hit / miss) * discount, np.log((1 - hit) / (1 - miss)) * discount
-        z = np.log(prior / (1 - prior)) + votes @ on + (1 - votes) @ off
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        if r in (3, 10):
+            parent = pair_tree(votes, p)
+        new = posterior(votes, prior, rates(votes, p, parent), parent, labels)
         if np.abs(new - p).max() < 1e-6 and r > 10:
             break
         p = new
@@ -189,42 +298,48 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         def spread(batches):
             for b in batches:
                 for part in range(0, b.num_rows, 256):
-                    cut, out, ys = b.slice(part, 256), [], []
+                    cut, kinds, entries, ys = b.slice(part, 256), [], [], []
                     for t, y in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist()):
-                        found = {x for w in distinct_words(t) for x in traits(w)}
-                        out += found
+                        found = traits(distinct_words(t))
+                        kinds += [k for k, _ in found]
+                        entries += [x for _, x in found]
                         ys += [y] * len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(ys, pa.int64())], names=["trait", "toxic"])
-
-        seen = rows.mapInArrow(spread, "trait binary, toxic long").groupBy("trait").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter("n >= 3")
-        rate, k = toxic / total, F.col("bad")
-        ratio = k * F.log(k / F.col("n") / rate) + F.when(k < F.col("n"), (F.col("n") - k) * F.log((F.col("n") - k) / F.col("n") / (1 - rate))).otherwise(0.0)
-        seen = materialize(seen.filter((k >= 3) & (k / F.col("n") >= max(PURITY, rate))).withColumn("ratio", ratio), "toxic-traits")
-        candidates = seen.count()
-        # As many entries as the evidence bears out; the sample of texts bounds them.
-        lexicon = seen.filter(F.col("ratio") > np.log(max(candidates, 1)) + EVIDENCE).orderBy(F.desc("ratio"), "trait").collect()
-        if not lexicon:
-            return Model(base=rate)
-        dealt = [0] * KINDS
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(entries, pa.binary()), pa.array(ys, pa.int64())], names=["kind", "entry", "toxic"])
+
+        k, n = F.col("bad"), F.col("n")
+        least = F.element_at(F.array(*[F.lit(x) for x in LEAST]), F.col("kind") + 1)
+        seen = materialize(rows.mapInArrow(spread, "kind int, entry binary, toxic long").groupBy("kind", "entry").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter(n >= least), "toxic-traits")
+        rate = toxic / total
+        sizes: dict[int, dict[int, int]] = {}
+        # As many rows as kinds and numbers of texts, of which the sample has SAMPLE at most.
+        for r in seen.groupBy("kind", "n").count().collect():
+            sizes.setdefault(r.kind, {})[r.n] = r["count"]
+        found = seen.filter((k >= least) & (k / n >= max(PURITY, rate))).collect()
+        lexicon = []
+        for kind in range(KINDS):
+            own = [r for r in found if r.kind == kind]
+            bar = least_evidence(sizes.get(kind, {}), [(r.bad, r.n) for r in own], rate, LEAST[kind])
+            lexicon += [(kind, bytes(r.entry), x) for r in own if (x := float(evidence(r.bad, r.n, rate))) >= bar - 1e-9]
+        if not lexicon and found:  # nothing stands out: the best there is
+            best = max(float(evidence(r.bad, r.n, rate)) for r in found)
+            lexicon = [(r.kind, bytes(r.entry), best) for r in found if float(evidence(r.bad, r.n, rate)) == best]
         voter_of = {}
-        for r in lexicon:
-            t = bytes(r.trait)
-            kind = t[0] - 48
-            voter_of[t] = kind * VOTERS_A_KIND + dealt[kind] % VOTERS_A_KIND
-            dealt[kind] += 1
-        model = Model(voter_of)
+        for kind in range(KINDS):
+            own = sorted((-x, entry) for k_, entry, x in lexicon if k_ == kind)
+            voter_of |= {(kind, entry): kind * VOTERS_A_KIND + i * VOTERS_A_KIND // len(own) for i, (_, entry) in enumerate(own)}
+        model = Model(voter_of, base=rate)
 
         def vote(batches):
             memo: dict = {}
             for b in batches:
-                out = [model.votes(distinct_words(t.as_py()), memo).astype(np.uint8).tobytes() for t in b.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["votes"])
+                out = [model.votes(t.as_py(), memo).astype(np.uint8).tobytes() for t in b.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], names=["votes", "toxic"])
 
-        found = rows.mapInArrow(vote, "votes binary").collect()
+        cast = rows.mapInArrow(vote, "votes binary, toxic int").collect()
     finally:
         rows.unpersist()
-    votes = np.frombuffer(b"".join(bytes(r.votes) for r in found), np.uint8).reshape(len(found), -1).astype(float)
-    model.weights = fit_linear(votes, label_model(votes))
+    votes = np.frombuffer(b"".join(bytes(r.votes) for r in cast), np.uint8).reshape(len(cast), -1).astype(float)
+    model.weights = fit_linear(votes, label_model(votes, rate, np.array([r.toxic for r in cast], float)))
     return model
 
 

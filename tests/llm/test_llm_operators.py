@@ -234,6 +234,31 @@ def test_a_site_moves_a_document_and_a_sparse_one_falls_back(spark):
     assert quality.site_quality(extra.limit(0), l).count() == 0
 
 
+def test_rates_are_shrunk_as_said(spark, tables):
+    """host_rate and path_rate once more from the evidence of each document, in plain Python."""
+    d, l = tables("documents", "0.01"), tables("labels", "0.01")
+    site = {r.doc_id: (r.source, r.lang) for r in d.collect()}
+    got = {r.doc_id: r for r in quality.site_quality(d, l).collect()}
+    p = {i: 1 / (1 + np.exp(-r.evidence)) for i, r in got.items()}
+    host, path = defaultdict(list), defaultdict(list)
+    for i, (h, q) in site.items():
+        host[h].append(p[i])
+        path[h, q].append(p[i])
+    prior = min(max(np.mean(list(p.values())), 1e-3), 1 - 1e-3)
+
+    def strength(groups):
+        big = [(np.mean(x), len(x), m) for x, m in groups if len(x) > 1]
+        between = max(np.mean([(a - m) ** 2 for a, _, m in big]) - np.mean([m * (1 - m) / n for _, n, m in big]), 1e-4)
+        return min(max(np.mean([m * (1 - m) for *_, m in big]) / between - 1, 1.0), 1e4)
+
+    kh = strength([(x, prior) for x in host.values()])
+    kp = strength([(x, np.mean(host[h])) for (h, _), x in path.items() if len(x) < len(host[h])])
+    for i, (h, q) in site.items():
+        up = (sum(host[h]) - p[i] + kh * prior) / (len(host[h]) - 1 + kh)
+        own = (sum(path[h, q]) - p[i] + kp * up) / (len(path[h, q]) - 1 + kp)
+        assert abs(got[i].host_rate - up) < 1e-6 and abs(got[i].path_rate - own) < 1e-6
+
+
 # 4 decontamination
 
 
@@ -593,14 +618,17 @@ def test_toxicity_holds_on_the_held_out_fold(spark, tables):
     assert {r.doc_id: r.score for r in toxicity.toxicity(d, changed).collect()} == {i: r.score for i, r in got.items()}
 
 
-def test_toxicity_catches_nine_of_ten_with_few_labels(spark, tables):
-    """At sf0.1: 449 toxic documents of 4,000 labelled, in four languages, of which about a tenth hold no word of a lexicon."""
-    d, l = tables("documents", "0.1"), tables("labels", "0.1")
-    got = {r.doc_id: r.predicted for r in toxicity.toxicity(d.join(l.select("doc_id"), "doc_id", "left_semi"), l).collect()}
+@pytest.mark.parametrize("sf,least", [("0.001", 0.75), ("0.01", 0.82), ("0.1", 0.93)])
+def test_toxicity_catches_most_with_few_labels(spark, tables, sf, least):
+    """Of 11, 51 and 449 toxic documents; about a twentieth hold no word that tells, and at 0.001 and 0.01 two languages have five or fewer."""
+    d, l = tables("documents", sf), tables("labels", sf)
+    got = {r.doc_id: r for r in toxicity.toxicity(d.join(l.select("doc_id"), "doc_id", "left_semi"), l).collect()}
     marks = {r.doc_id: r.toxic for r in l.collect() if r.doc_id in got}
-    caught = np.mean([got[i] for i, y in marks.items() if y])
-    flagged = np.mean([got[i] for i, y in marks.items() if not y])
-    assert caught > 0.9 and flagged < 0.005
+    caught = np.mean([got[i].predicted for i, y in marks.items() if y])
+    flagged = np.mean([got[i].predicted for i, y in marks.items() if not y])
+    assert caught >= least and flagged < 0.007 and len({r.score for r in got.values()}) > 1
+    held = [got[i].predicted for i, y in marks.items() if y and got[i].held_out]
+    assert np.mean(held) >= (0.9 if sf == "0.1" else 0.4)
 
 
 def test_toxicity_of_odd_tables(spark, tables):
@@ -624,6 +652,44 @@ def test_label_model_finds_two_classes():
     assert ((toxicity.label_model(votes) > 0.5) == y).mean() > 0.97
 
 
+def test_posterior_by_the_product_of_all_terms():
+    rng = np.random.default_rng(4)
+    votes, parent = (rng.random((40, 5)) < 0.4).astype(float), np.array([-1, 0, 1, -1, 0])
+    p = rng.random(40)
+    prior, rate = 0.3, toxicity.rates(votes, p, parent)
+    for c, w in enumerate((1 - p, p)):  # the rates are weighted shares, held near the voter's own
+        for i in range(5):
+            alone = (sum(w * votes[:, i]) + (0.5 if c else 0.05)) / (sum(w) + 1)
+            for v in (0, 1):
+                rows = np.array([(votes[r, parent[i]] if parent[i] >= 0 else 0) == v for r in range(40)])
+                assert abs(rate[c, v, i] - (sum(w[rows] * votes[rows, i]) + 2 * alone) / (sum(w[rows]) + 2)) < 1e-9
+    got = toxicity.posterior(votes, prior, rate, parent)
+    for r in range(40):
+        joint = []
+        for c in (0, 1):
+            x = prior if c else 1 - prior
+            for i in range(5):
+                if votes[r, i]:  # silence is no evidence
+                    x *= rate[c, int(votes[r, parent[i]]) if parent[i] >= 0 else 0, i]
+            joint.append(x)
+        assert abs(got[r] - joint[1] / sum(joint)) < 1e-9
+
+
+def test_copied_voters_hang_on_each_other_and_count_once():
+    rng = np.random.default_rng(5)
+    y = rng.random(4000) < 0.3
+    votes = np.where(y[:, None], rng.random((4000, 6)) < 0.6, rng.random((4000, 6)) < 0.1)
+    noisy = rng.random(4000) < 0.15
+    votes = np.column_stack([votes, *[noisy ^ (rng.random(4000) < 0.01) for _ in range(5)]]).astype(float)
+    parent = toxicity.pair_tree(votes, y.astype(float))
+    assert all(parent[i] >= 6 for i in range(7, 11)) or sum(parent[i] >= 6 for i in range(6, 11)) == 4
+    assert all(parent[i] < 6 for i in range(6))
+    p = y * 0.9 + 0.05
+    for _ in range(30):
+        p = toxicity.posterior(votes, 0.3, toxicity.rates(votes, p, parent), parent)
+    assert ((p > 0.5) == y).mean() > 0.9
+
+
 def test_copies_of_a_toxic_document_lend_no_words(spark):
     rng = random.Random(13)
     bad = ["moronix", "idiotum", "scumwort"]
