@@ -7,11 +7,13 @@ and returns a streaming DataFrame; drain() runs one over what there is and gives
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docflow.operators.jobs import phase_rank
@@ -128,6 +130,33 @@ def late_row_report(query) -> int:
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
+class LateRowCounter(StreamingQueryListener):
+    """ST10: rows that stateful operators drop as late, of every batch of every query while it is registered.
+
+    recentProgress keeps the last hundred batches only; this keeps a sum a query, by its id, and the batches seen.
+    spark.streams.addListener(counter) before the query starts; events come in their own thread, shortly after a batch.
+    """
+
+    def __init__(self):
+        self.dropped: Counter = Counter()
+        self.batches: Counter = Counter()
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.id)] += 0
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches[str(p.id)] += 1
+        self.dropped[str(p.id)] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing to count."""
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+
 def late_rows(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """ST10: (key, ts, arrival) of a finished log -> rows of each key, those that came later than a watermark
     `lateness` behind the newest row of the key so far, and how late the latest was."""
