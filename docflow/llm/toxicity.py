@@ -191,13 +191,18 @@ TRUST = 0.98
 
 
 def posterior(votes: np.ndarray, prior: float, rate: np.ndarray, parent: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """P(toxic | votes, and labels as one voter more) under the model. A voter that is silent says nothing: texts of which only one lexicon knows the words would else be drowned."""
+    """P(toxic | votes, and labels as one voter more) under the model.
+
+    With labels a voter that is silent says nothing: texts of which only one lexicon knows the words would else be drowned. Without them
+    silence counts as well, as nothing else tells a lone vote from several.
+    """
     above = np.where(parent >= 0, votes[:, parent], 0.0)
     z = np.full(len(votes), np.log(prior / (1 - prior)))
     if labels is not None:
         z += (2 * labels - 1) * np.log(TRUST / (1 - TRUST))
     for c, sign in ((1, 1), (0, -1)):
-        z += sign * (votes * np.log(np.where(above > 0, rate[c, 1], rate[c, 0]))).sum(1)
+        q = np.where(above > 0, rate[c, 1], rate[c, 0])
+        z += sign * (votes * np.log(q) + ((1 - votes) * np.log(1 - q) if labels is None else 0)).sum(1)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

@@ -663,16 +663,23 @@ def test_posterior_by_the_product_of_all_terms():
             for v in (0, 1):
                 rows = np.array([(votes[r, parent[i]] if parent[i] >= 0 else 0) == v for r in range(40)])
                 assert abs(rate[c, v, i] - (sum(w[rows] * votes[rows, i]) + 2 * alone) / (sum(w[rows]) + 2)) < 1e-9
-    got = toxicity.posterior(votes, prior, rate, parent)
-    for r in range(40):
-        joint = []
-        for c in (0, 1):
-            x = prior if c else 1 - prior
-            for i in range(5):
-                if votes[r, i]:  # silence is no evidence
-                    x *= rate[c, int(votes[r, parent[i]]) if parent[i] >= 0 else 0, i]
-            joint.append(x)
-        assert abs(got[r] - joint[1] / sum(joint)) < 1e-9
+    labels = (rng.random(40) < 0.5).astype(float)
+    for given in (None, labels):
+        got = toxicity.posterior(votes, prior, rate, parent, given)
+        for r in range(40):
+            joint = []
+            for c in (0, 1):
+                x = prior if c else 1 - prior
+                if given is not None:
+                    x *= toxicity.TRUST if given[r] == c else 1 - toxicity.TRUST
+                for i in range(5):
+                    q = rate[c, int(votes[r, parent[i]]) if parent[i] >= 0 else 0, i]
+                    if votes[r, i]:
+                        x *= q
+                    elif given is None:  # beside labels silence is no evidence
+                        x *= 1 - q
+                joint.append(x)
+            assert abs(got[r] - joint[1] / sum(joint)) < 1e-9
 
 
 def test_copied_voters_hang_on_each_other_and_count_once():
