@@ -19,7 +19,9 @@ def rank_bottlenecks(timings: DataFrame, n: int = 10) -> DataFrame:
     """TEL2: a run's slowest stages with their share of all; the total is no stage."""
     t = timings.filter("stage <> 'total_ms'")
     w = Window.partitionBy("run_id")
-    t = t.withColumn("share", F.col("ms") / F.coalesce(F.nullif(F.sum("ms").over(w), F.lit(0.0)), F.lit(1.0)) * 100)
+    # Summed as decimals: a sum of doubles depends on the order of the rows, which may tip a rounded share.
+    whole = F.sum(F.col("ms").cast("decimal(28,12)")).over(w).cast("double")
+    t = t.withColumn("share", F.col("ms") * 100 / F.coalesce(F.nullif(whole, F.lit(0.0)), F.lit(1.0)))
     return t.withColumn("place", F.row_number().over(w.orderBy(F.desc("ms"), "stage"))).filter(F.col("place") <= n).select("run_id", "stage", "place", "ms", "share")
 
 
