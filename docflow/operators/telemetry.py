@@ -77,23 +77,37 @@ def status_distribution(rows: DataFrame, status: str) -> DataFrame:
     return rows.filter(F.col(status).isNotNull() & (F.col(status) != "")).groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
 
 
-def eta(progress: DataFrame) -> DataFrame:
-    """TEL11: rate and seconds left; null while nothing is done or no time has passed."""
+def _of_no_time(amount: Column) -> Column:
+    """What IEEE division by zero gives: any amount in no time is an infinite rate, nothing in no time is none."""
+    return F.when(amount > 0, float("inf")).when(amount == 0, float("nan"))
+
+
+def eta(progress: DataFrame, instant: bool = False) -> DataFrame:
+    """TEL11: rate and seconds left; null while nothing is done or no time has passed.
+
+    instant: what is done in no time at all has an infinite rate, and no seconds are left.
+    """
     rate = F.when(F.col("elapsed_s") > 0, F.col("done") / F.col("elapsed_s"))
-    left = F.when(rate > 0, (F.col("total") - F.col("done")) / rate)
+    if instant:
+        rate = F.when(F.col("elapsed_s") == 0, _of_no_time(F.col("done"))).otherwise(rate)
+    left = F.when((rate > 0) & (F.col("done") > 0), (F.col("total") - F.col("done")) / rate)
     return progress.withColumn("rate", rate).withColumn("eta_s", left)
 
 
-def generation_timing(calls: DataFrame) -> DataFrame:
+def generation_timing(calls: DataFrame, instant: bool = False) -> DataFrame:
     """TEL10: inference, network and generation times, tokens a second after the first token, errors retried.
 
-    calls: call_id, ttft_ms, ttlt_ms, first_byte_ms, out_tokens, attempts (ok, error).
+    calls: call_id, ttft_ms, ttlt_ms, first_byte_ms, out_tokens, attempts (ok, error). Tokens without a time
+    of generation have no rate (0), or with `instant` an infinite one.
     """
     ttft = F.coalesce("ttft_ms", F.lit(0.0))
     ttlt, first = F.coalesce("ttlt_ms", ttft), F.coalesce("first_byte_ms", ttft)
     gen = F.greatest(F.lit(0.0), ttlt - ttft)
     errors = F.transform(F.filter("attempts", lambda a: ~a["ok"] & a["error"].isNotNull()), lambda a: a["error"])
-    return calls.select("call_id", first.alias("network_ms"), F.greatest(F.lit(0.0), ttlt - first).alias("inference_ms"), gen.alias("generation_ms"), F.when((gen > 0) & (F.col("out_tokens") > 0), F.col("out_tokens") / (gen / 1000.0)).otherwise(0.0).alias("tokens_per_sec"), F.array_join(errors, ",").alias("retry_reasons"))
+    rate = F.when((gen > 0) & (F.col("out_tokens") > 0), F.col("out_tokens") / (gen / 1000.0))
+    if instant:
+        rate = F.when((gen == 0) & (F.col("out_tokens") > 0), _of_no_time(F.col("out_tokens"))).otherwise(rate)
+    return calls.select("call_id", first.alias("network_ms"), F.greatest(F.lit(0.0), ttlt - first).alias("inference_ms"), gen.alias("generation_ms"), F.coalesce(rate, F.lit(0.0)).alias("tokens_per_sec"), F.array_join(errors, ",").alias("retry_reasons"))
 
 
 def prompt_token_parts(calls: DataFrame) -> DataFrame:

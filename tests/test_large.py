@@ -10,3 +10,18 @@ def test_bottleneck_shares_do_not_depend_on_row_order(spark):
     df = spark.createDataFrame(rows, "run_id long, stage string, ms double").coalesce(1)
     shares = {(r.stage, r.share) for r in telemetry.rank_bottlenecks(df).collect()}
     assert len(shares) == 3 and {("error", 51.4453125), ("signup", 29.6484375)} <= shares
+
+
+def test_generation_in_no_time(spark):
+    rows = [(1, 0.0, 0.0, 0.0, 7, []), (2, 0.0, 0.0, 0.0, 0, []), (3, 1.0, 3.0, 1.0, 4, [])]
+    calls = spark.createDataFrame(rows, "call_id long, ttft_ms double, ttlt_ms double, first_byte_ms double, out_tokens long, attempts array<struct<ok:boolean,error:string>>")
+    rates = lambda **kw: [r.tokens_per_sec for r in telemetry.generation_timing(calls, **kw).orderBy("call_id").collect()]
+    assert rates() == [0.0, 0.0, 2000.0]
+    assert rates(instant=True) == [float("inf"), 0.0, 2000.0]
+
+
+def test_progress_in_no_time(spark):
+    p = spark.createDataFrame([(8, 10, 0.0), (0, 10, 0.0), (0, 10, 2.0), (5, 10, 2.0)], "done long, total long, elapsed_s double")
+    assert [(r.rate, r.eta_s) for r in telemetry.eta(p).collect()] == [(None, None), (None, None), (0.0, None), (2.5, 2.0)]
+    got = [(str(r.rate), r.eta_s) for r in telemetry.eta(p, instant=True).collect()]
+    assert got == [("inf", 0.0), ("nan", None), ("0.0", None), ("2.5", 2.0)]
