@@ -276,9 +276,21 @@ def pareto(models: DataFrame) -> DataFrame:
 
 
 def speedup_summary(runs: DataFrame) -> DataFrame:
-    """EVL18: median and best of sequential over parallel time."""
+    """EVL18: median and best of sequential over parallel time.
+
+    A sketch brackets the median to under a thousandth of the rows (its ranks are off by 1 / 10,000 at most); the
+    median is taken exactly from the bracket and the number of rows below it.
+    """
     s = runs.filter("parallel_ms > 0").withColumn("speedup", F.col("sequential_ms") / F.col("parallel_ms"))
-    return s.agg(F.count("*").alias("n"), F.percentile("speedup", F.lit(0.5)).alias("median_speedup"), F.max("speedup").alias("best_speedup"))
+    b = s.agg(F.count("*").alias("n"), F.count("speedup").alias("k"), F.max("speedup").alias("best_speedup"), F.percentile_approx("speedup", [0.4997, 0.5003], 10000).alias("near"))
+    marked = s.join(F.broadcast(b.select("near")), F.col("speedup") <= F.col("near")[1])
+    # All rows below the bracket are one row here, with a null speedup, which sorts first.
+    sizes = marked.groupBy(F.when(F.col("speedup") >= F.col("near")[0], F.col("speedup")).alias("speedup")).agg(F.count("*").alias("rows"))
+    upto = sizes.withColumn("upto", F.sum("rows").over(Window.orderBy(F.asc_nulls_first("speedup"))))
+    at = (F.col("k") - 1) / 2
+    reach = lambda i: F.min(F.when(F.col("upto") > i, F.col("speedup")))
+    one = b.join(F.broadcast(upto), F.lit(True), "left").groupBy("n", "best_speedup").agg(reach(F.floor(at)).alias("lower"), reach(F.ceil(at)).alias("upper"))
+    return one.select("n", ((F.col("lower") + F.col("upper")) / 2).alias("median_speedup"), "best_speedup")
 
 
 def freeze_window(chunks: DataFrame, max_chunks: int, budget: int) -> DataFrame:

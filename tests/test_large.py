@@ -1,6 +1,8 @@
 """Facts that only larger tables or odd rows bring out."""
 
-from docflow.operators import nodesearch, telemetry
+import statistics
+
+from docflow.operators import evaluation, nodesearch, telemetry
 from docflow.plans import graph_queries
 
 
@@ -56,3 +58,13 @@ def test_modules_hold_no_members_by_query(spark, monkeypatch):
     one = {r.query_id: r.asDict() for r in nodesearch.module_summary(v, e, q).collect()}
     assert all({**got[i * 100 + 7], "query_id": i} == row for i, row in one.items()) and len(got) == 100 * len(one)
     assert max(sizes) <= 2 * (e.count() + v.count()) < sum(r["members"] for r in got.values())
+
+
+def test_median_speedup_in_no_single_buffer(spark):
+    runs = lambda xs: spark.createDataFrame([(x, 2.0) for x in xs], "sequential_ms double, parallel_ms double")
+    for xs in ([3.0], [1.0, 2.0], [5.0, 1.0, 3.0], [4.0, 4.0, 1.0, 9.0], [float(i * 7919 % 1000) for i in range(1000)], [1.0] * 900 + [7.0] * 100):
+        n, median, best = evaluation.speedup_summary(runs(xs)).first()
+        assert (n, median, best) == (len(xs), statistics.median(xs) / 2, max(xs) / 2)
+    assert tuple(evaluation.speedup_summary(runs([])).first()) == (0, None, None)
+    plan = evaluation.speedup_summary(runs([1.0]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
