@@ -1,6 +1,7 @@
-"""Paths by balls around both ends, and components."""
+"""Paths by balls around both ends, components, and strongly connected components with edges both ways merged."""
 
 import random
+from collections import defaultdict
 
 from docflow.operators import cgraph
 from docflow.operators.tablefunctions import ShortestPaths
@@ -39,3 +40,14 @@ def test_ends_of_two_components_grow_no_balls(spark, monkeypatch):
     e = edges_of(spark, line("a") + line("b"))
     assert [r.hops for r in cgraph.shortest_paths(e, edges_of(spark, [("a0", "b0")])).collect()] == [None]
     assert len(cuts) < 10
+
+
+def test_two_way_chains_take_few_rounds(spark, monkeypatch):
+    chain = [(f"s{i}", f"s{i + d}") for i in range(120) for d in (1, -1)]
+    ring = [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("r2", "s5"), ("t0", "t1"), ("t1", "t0"), ("t1", "t2"), ("t2", "t3"), ("t3", "t0")]
+    cuts = counted(monkeypatch, "cut")
+    got = defaultdict(set)
+    for r in cgraph.scc(edges_of(spark, chain + ring)).collect():
+        got[r.component].add(r.id)
+    assert dict(got) == {"r0": {"r0", "r1", "r2"}, "s0": {f"s{i}" for i in range(120)}, "t0": {"t0", "t1", "t2", "t3"}}
+    assert len(cuts) < 100, len(cuts)
