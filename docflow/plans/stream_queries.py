@@ -68,7 +68,7 @@ def st8_intensity(spark, d):
     e = events(spark, d).withColumn("zone", F.col("user_id") % 5)
     r = events(spark, d).filter("event_type = 'view'").select((F.col("user_id") % 5).alias("zone"), "ts", (F.lit(200.0) + F.col("value")).alias("intensity"))
     out = S.drain(S.stream_intensity(e.filter("event_type <> 'view'").select("event_id", "zone", "ts"), r, "2 hours"))
-    return out.groupBy("event_id").agg(F.round(F.max_by("intensity", "read_at"), 6).alias("intensity"))
+    return out.groupBy("event_id").agg(F.round(F.max_by("intensity", F.struct("read_at", "intensity")), 6).alias("intensity"))
 
 
 @register("SELECT event_id, event_type FROM events")

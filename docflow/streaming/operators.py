@@ -10,6 +10,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from docflow.session import shared_folder
 
 # Lateness allowed, windows and thresholds of alerts, sessions, freshness of a reading, smoothing.
 LATENESS, BURST_S, SLIDE_S, SESSION, READING_TTL, ALPHA = "10 minutes", 300, 10, "2 hours", "300 seconds", 0.25
+#: Time of the reading of an event that has none yet.
+NEVER = -(1 << 63)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
@@ -114,10 +117,47 @@ def stream_ema(obs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def stream_intensity(events: DataFrame, readings: DataFrame, ttl: str = READING_TTL) -> DataFrame:
-    """ST8: events with every reading of their zone at most ttl old (the newest is the caller's maximum by read_at)."""
-    e = events.withWatermark("ts", LATENESS)
-    r = readings.select(F.col("zone").alias("r_zone"), F.col("ts").alias("read_at"), "intensity").withWatermark("read_at", LATENESS)
-    return e.join(r, F.expr(f"zone = r_zone and ts >= read_at and ts <= read_at + interval {ttl}")).select("event_id", "zone", "ts", "read_at", "intensity")
+    """ST8: events with the newest reading of their zone at most ttl old, as known when they come.
+
+    An event comes out again when a later batch brings a better reading (the caller takes its maximum by read_at and intensity). Readings without
+    a value do not count; of several at one time the largest does. A group is a span of ttl of one zone, with the readings of that span
+    and the one before; it is dropped when the watermark has passed it.
+    """
+    wide = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {ttl}"))
+    span = F.floor(F.col("us") / F.col("wide"))
+    id_type, zone_type = (events.schema[c].dataType.simpleString() for c in ("event_id", "zone"))
+    rows = lambda df, is_event, event, value: df.filter("zone is not null and ts is not null").select("zone", "ts", F.unix_micros("ts").alias("us"), wide.alias("wide"), F.lit(is_event).alias("is_event"), event.cast("string").alias("event_id"), value.cast("double").alias("intensity"))
+    e = rows(events.withWatermark("ts", LATENESS), True, F.col("event_id"), F.lit(None)).withColumn("span", span)
+    r = rows(readings.filter("intensity is not null").withWatermark("ts", LATENESS), False, F.lit(None), F.col("intensity")).withColumn("span", F.explode(F.array(span, span + 1)))
+    named = ["zone", "span", "ts", "us", "wide", "is_event", "event_id", "intensity"]
+
+    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        read_at, value, ids, at, best, found = (list(x) for x in state.get) if state.exists else ([], [], [], [], [], [])
+        for new in pdfs:
+            width = int(new["wide"].iloc[0])
+            r, e = new[~new["is_event"]], new[new["is_event"]]
+            read_at, value = read_at + r["us"].tolist(), value + r["intensity"].tolist()
+            ids, at, best, found = ids + e["event_id"].tolist(), at + e["us"].tolist(), best + [NEVER] * len(e), found + [0.0] * len(e)
+        order = np.lexsort((value, read_at))
+        times, values, t = np.array(read_at, np.int64)[order], np.array(value, float)[order], np.array(at, np.int64)
+        place = np.searchsorted(times, t, "right") - 1
+        ok = np.zeros(len(t), bool)
+        ok[place >= 0] = times[place[place >= 0]] >= t[place >= 0] - width
+        now, seen = np.array(best, np.int64), np.array(found, float)
+        fresh = np.flatnonzero(ok)
+        fresh = fresh[(times[place[fresh]] != now[fresh]) | (values[place[fresh]] != seen[fresh])]
+        now[fresh], seen[fresh] = times[place[fresh]], values[place[fresh]]
+        state.update((times.tolist(), values.tolist(), ids, at, now.tolist(), seen.tolist()))
+        state.setTimeoutTimestamp(int(key[1] + 1) * width // 1000 + 1)
+        yield pd.DataFrame({"event_id": [ids[i] for i in fresh], "zone": [key[0]] * len(fresh), "at": t[fresh], "read": now[fresh], "intensity": seen[fresh]})
+
+    out = e.select(named).union(r.select(named)).groupBy("zone", "span").applyInPandasWithState(
+        fold, f"event_id string, zone {zone_type}, at long, read long, intensity double",
+        f"read_at array<long>, value array<double>, ids array<string>, at array<long>, best array<long>, found array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.col("event_id").cast(id_type).alias("event_id"), "zone", F.timestamp_micros("at").alias("ts"), F.timestamp_micros("read").alias("read_at"), F.coalesce("intensity", F.lit(float("nan"))).alias("intensity"))  # pandas gives NaN as null
 
 
 def stream_dedupe(events: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """The count of late rows over more batches than a query remembers."""
 
+import math
 import os
 import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -34,3 +36,19 @@ def test_late_rows_of_more_than_a_hundred_batches(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.streams.removeListener(counter)
+
+
+def test_newest_reading_of_a_dense_zone(spark, tmp_path):
+    """One row an event, not one for every reading of its zone; later batches bring better readings; odd rows go."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    nan = float("nan")
+    kept = [("r", 0, at(i), 1, float(i)) for i in range(0, 400)] + [("r", 0, at(350), 1, 9999.0), ("r", 0, at(360), 1, None), ("r", 0, None, 1, 5.0), ("r", 0, at(370), None, 7.0), ("r", 0, at(760), 2, nan)]
+    asked = [("e", (1 << 60) + i, at(s), z, None) for i, (s, z) in enumerate([(350, 1), (360, 1), (699, 1), (700, 1), (399, 2), (-1, 1), (250, None), (770, 2)])]
+    late = [("r", 0, at(698), 1, -1.0)]
+    for n, part in enumerate((kept + asked, late)):
+        spark.createDataFrame(part, "kind string, event_id long, ts timestamp, zone long, intensity double").coalesce(1).write.parquet(f"{tmp_path}/p{n}")
+    log = lambda kind: spark.readStream.schema("kind string, event_id long, ts timestamp, zone long, intensity double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path)).filter(f"kind = '{kind}'")
+    out = S.drain(S.stream_intensity(log("e").select("event_id", "zone", "ts"), log("r").select("zone", "ts", "intensity")))
+    assert out.count() == 6  # two of them for the event that the late reading corrects
+    got = {r.event_id - (1 << 60): r.x for r in out.groupBy("event_id").agg(F.max_by("intensity", F.struct("read_at", "intensity")).alias("x")).collect()}
+    assert math.isnan(got.pop(7)) and got == {0: 9999.0, 1: 360.0, 2: -1.0, 3: -1.0}
