@@ -23,11 +23,16 @@ KNOWLEDGE = (
 
 def knowledge_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """KG1: (doc_id, batch, raw) model answers -> item and relation rows, evidence as arrays; junk gives none."""
-    k = raw.select("doc_id", "batch", F.from_json(repair_json("raw"), KNOWLEDGE).alias("k")).filter("k is not null")
-    ent = k.select("doc_id", "batch", F.explode("k.entities").alias("e")).select("doc_id", "batch", F.col("e.id").alias("node_id"), F.coalesce("e.type", F.lit("Entity")).alias("type"), F.col("e.name").alias("name"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"), "e.evidence")
-    con = k.select("doc_id", "batch", F.explode("k.concepts").alias("e")).select("doc_id", "batch", F.col("e.id").alias("node_id"), F.lit("Concept").alias("type"), F.col("e.label").alias("name"), F.array().cast("array<string>").alias("aliases"), "e.evidence")
-    rel = k.select("doc_id", "batch", F.explode("k.relations").alias("e")).select("doc_id", "batch", "e.src", "e.rel", "e.dst", "e.confidence", "e.evidence")
-    return ent.unionByName(con), rel
+    k = raw.select("doc_id", "batch", F.from_json(repair_json("raw"), KNOWLEDGE).alias("k"))
+    none = F.array().cast("array<string>")
+    item = lambda id_, type_, name, aliases, evidence: F.struct(id_.alias("node_id"), type_.alias("type"), name.alias("name"), aliases.alias("aliases"), evidence.alias("evidence"))
+    ent = F.transform("k.entities", lambda e: item(e["id"], F.coalesce(e["type"], F.lit("Entity")), e["name"], F.coalesce(e["aliases"], none), e["evidence"]))
+    con = F.transform("k.concepts", lambda e: item(e["id"], F.lit("Concept"), e["label"], none, e["evidence"]))
+    # Outer, and filtered after: what an inner explode infers about its array would parse the answer again for each condition.
+    each = lambda c, name: k.select("doc_id", "batch", F.posexplode_outer(c).alias("nth", name)).filter("nth is not null").drop("nth")
+    items = each(F.flatten(F.filter(F.array(ent, con), lambda x: x.isNotNull())), "e").select("doc_id", "batch", "e.*")
+    rel = each("k.relations", "e").select("doc_id", "batch", "e.src", "e.rel", "e.dst", "e.confidence", "e.evidence")
+    return items, rel
 
 
 def merge_knowledge(items: DataFrame, key: str = "node_id") -> DataFrame:

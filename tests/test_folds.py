@@ -72,3 +72,14 @@ def test_junk_answers_give_no_knowledge(spark):
     raw = spark.createDataFrame([("d", 0, "no json"), ("d", 1, '```json\n{"entities": [{"id": "e1", "name": "Acme", "evidence": [{"chunk_id": "c1", "quote": "Acme"}]},],}\n```')], "doc_id string, batch int, raw string")
     items, rel = kgraph.knowledge_tables(raw)
     assert [r.node_id for r in items.collect()] == ["e1"] and rel.count() == 0
+
+
+def test_answers_are_parsed_once(spark):
+    """Mending and parsing stand once in the plan; nulls among the items keep their rows."""
+    raw = spark.createDataFrame([("d", 0, '{"entities": [null, {"id": "e"}], "concepts": [{"id": "c", "label": "l"}], "relations": [{"src": "a"}, null]}')], "doc_id string, batch int, raw string")
+    items, rel = kgraph.knowledge_tables(raw)
+    for df in (items, rel):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and plan.count("(?i)```") == 2
+    assert sorted((r.node_id or "", r.type, r.name) for r in items.collect()) == [("", "Entity", None), ("c", "Concept", "l"), ("e", "Entity", None)]
+    assert [r.src for r in rel.collect()] == ["a", None]
