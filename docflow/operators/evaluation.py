@@ -314,9 +314,11 @@ def freeze_retrieval(hits: DataFrame, chunks: DataFrame, budget: int = 2000) ->
 
     hits: query_id, chunk_id, score, place; chunks: chunk_id, content, parent_id, section_path.
     """
+    from .cgraph import written
     from .context import assemble_context, dedupe_passages, merge_siblings, normalize_passages, select_under_budget
 
-    p = hits.join(chunks, "chunk_id").withColumn("rank", F.col("place"))
+    # Scores as they were ranked: the last bits of a sum must not decide which of two equal passages stays.
+    p = written(written(hits).join(chunks, "chunk_id").withColumn("rank", F.col("place")).withColumn("score", F.round("score", 9)))
     packs, provenance = assemble_context(select_under_budget(merge_siblings(dedupe_passages(normalize_passages(p))), budget))
     used = provenance.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("chunk_ids"))
     return packs.join(used, "query_id").withColumn("context_hash", F.sha2("context_text", 256))
