@@ -1,16 +1,19 @@
 """Operators whose next step depends on all that came before in a document: chunking, merging, packing.
 
-A document's rows are gathered in order into one array (a document is the bound), and an ordered fold
-runs over each array inside Arrow batches: no task per document, one shuffle on doc_id.
+Rows are dealt by document, sorted inside their partition and read as a stream of Arrow batches; an ordered fold runs
+over each document's rows (a document is the bound): no task per document, one shuffle on doc_id. Of a batch only a few
+rows are Python objects at a time, and what folds give leaves in batches of a few megabytes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ PACK_GROWTH, PACK_ROUNDS, TINY_SIMILARITY = 1.75, 8, 0.1
 HARD_HEADING = re.compile(r"^(?:appendix|references|bibliography|glossary|index|acknowledg|chapter\s+\d|part\s+[ivxlcdm\d]|article\s+\d)", re.I)
 _WORD = re.compile("[a-zA-Z]{3,}")
 GAP = "\n\n"
+#: Rows of an Arrow batch that are Python objects at a time, and characters of text after which results are sent on.
+ROWS, HELD = 64, 1 << 20
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
 
 def tokens_of(text: str) -> int:
@@ -32,17 +38,40 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
+def streamed(batches: Iterable[pa.RecordBatch], work: Callable[[Iterator[dict]], Iterator[tuple]], schema: str) -> Iterator[pa.RecordBatch]:
+    """What work gives for the rows of all batches, as batches of about HELD characters; columns that come in keep their type."""
+    known = {name: _ARROW.get(kind) for name, kind in (c.split(" ", 1) for c in schema.split(", "))}
+    names = list(known)
+
+    def rows():
+        for b in batches:
+            known.update({f.name: f.type for f in b.schema if known.get(f.name, f.type) is None})
+            for at in range(0, b.num_rows, ROWS):
+                yield from b.slice(at, ROWS).to_pylist()
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, known[n]) for c, n in zip(zip(*held), names)], names=names)
+
+    held, size = [], 0
+    for t in work(rows()):
+        held.append(t)
+        size += 64 + sum(len(v) for v in t if isinstance(v, str))
+        if size >= HELD:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 def fold_documents(rows: DataFrame, order: str, fields: list[str], fold: Callable[[list[dict]], Iterator[tuple]], schema: str) -> DataFrame:
     """Run fold over each document's rows in order; its tuples follow doc_id in the result."""
-    g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("items"))
-    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, {schema}"
 
-    def run(batches):
-        for b in batches:
-            out = [(doc, *t) for doc, items in zip(b["doc_id"], b["items"]) for t in fold(list(items))]
-            yield pd.DataFrame(out, columns=names)
+    def folded(stream):
+        return ((doc, *t) for doc, items in groupby(stream, itemgetter("doc_id")) for t in fold(list(items)))
 
-    return g.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {schema}")
+    dealt = rows.select("doc_id", order, *fields).repartition("doc_id").sortWithinPartitions("doc_id", order, *fields)
+    return dealt.mapInArrow(lambda batches: streamed(batches, folded, schema), schema)
 
 
 CHUNK = "chunk_index int, kind string, parent int, title string, content string, tokens int, reason string"
@@ -197,13 +226,15 @@ def split_oversized(body: str, most: int) -> list[str]:
 
 def split_sections(sections: DataFrame, most: int = SECTION_MAX) -> DataFrame:
     """STR8: sections of over `most` tokens as numbered parts cut at paragraphs; the others as one part."""
-    def cut(batches):
-        for b in batches:
-            out = [(doc, sec, head, i, p, tokens_of(p)) for doc, sec, head, body in zip(b["doc_id"], b["section"], b["heading"], b["body"]) for i, p in enumerate([body or ""] if tokens_of(body or "") <= most else split_oversized(body, most))]
-            yield pd.DataFrame(out, columns=["doc_id", "section", "heading", "part", "body", "tokens"])
+    def cut(stream):
+        for x in stream:
+            body = x["body"] or ""
+            for i, p in enumerate([body] if tokens_of(body) <= most else split_oversized(body, most)):
+                yield x["doc_id"], x["section"], x["heading"], i, p, tokens_of(p)
 
     types = dict(sections.dtypes)
-    return sections.select("doc_id", "section", "heading", "body").mapInPandas(cut, f"doc_id {types['doc_id']}, section {types['section']}, heading string, part int, body string, tokens int")
+    schema = f"doc_id {types['doc_id']}, section {types['section']}, heading string, part int, body string, tokens int"
+    return sections.select("doc_id", "section", "heading", "body").mapInArrow(lambda batches: streamed(batches, cut, schema), schema)
 
 
 def pack_sections(sections: DataFrame, target: int = SECTION_TARGET, least: int = SECTION_MIN, most: int = SECTION_MAX) -> DataFrame:

@@ -42,6 +42,30 @@ def test_packs_end_under_the_cap_or_whole(spark):
     assert len(out) <= 5 and sum(r.merged for r in out) == 12 and sum(r.kind == "Table" for r in out) == 1
 
 
+def test_what_folds_give_leaves_before_all_documents_are_folded(spark):
+    def fold(items):
+        class Text(str):
+            def __del__(self):
+                alive[0] -= 1
+
+        alive[0] += 1
+        yield Text(items[0]["content"] * 8000), alive[0]
+
+    alive = [0]
+    rows = spark.range(4000).selectExpr("id as doc_id", "0 as pos", "'x' as content")
+    out = folds.fold_documents(rows, "pos", ["content"], fold, "text string, alive int").selectExpr("count(*) as n", "sum(length(text)) as size", "max(alive) as most").first()
+    assert (out.n, out.size) == (4000, 4000 * 8000) and out.most < 200
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "decimal(9,0)", "date"])
+def test_documents_of_any_type_of_id_fold_in_order(spark, kind):
+    key = {"string": "'d'", "bigint": "7L", "decimal(9,0)": "cast(7 as decimal(9,0))", "date": "date'2024-01-02'"}[kind]
+    rows = spark.range(300).selectExpr(f"if(id % 3 = 0, null, {key}) as doc_id", "int(299 - id) as pos", "string(id) as content")
+    out = folds.fold_documents(rows, "pos", ["content"], lambda items: iter([(" ".join(x["content"] for x in items), len(items))]), "text string, n int").collect()
+    want = sorted(" ".join(str(i) for i in range(299, -1, -1) if (i % 3 == 0) == null) for null in (True, False))
+    assert sorted(r.text for r in out) == want and sorted(r.n for r in out) == [100, 200]
+
+
 SECTION = "doc_id string, section long, heading string, level int, body string"
 
 
