@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow.functions.text import clamp, cosine, entities, est_tokens, overlap, text_of, token_set
 
 # Patterns of equations, figures, tables, technical and legal terms, code, discourse marks.
 EQUATION = r"(?i)(\$[^$]+\$|\\\(|\\\[|\\begin\{equation\}|\\frac\{|∑|∫|=|≈|≤|≥)"
+EQUATION_START = r"[$\\∑∫=≈≤≥]"  # every equation starts with one of these
 FIGURE = r"(?i)\b(figure|fig\.|image|diagram|chart)\b"
 TABLE = r"(?i)\b(table|tabular)\b|\|.*\|"
 TECHNICAL = r"(?i)\b(algorithm|theorem|lemma|hypothesis|methodology|variance|gradient|latency|throughput|protocol|api|sql|json|embedding|neural|transformer|regression|covariance|optimizer)\b"
@@ -115,34 +118,57 @@ def document_features(chunks: DataFrame) -> DataFrame:
     return structural_profile(chunks).join(reasoning_profile(chunks), "doc_id").join(coherence_profile(chunks), "doc_id")
 
 
-def section_type(content: Column) -> Column:
+def section_type(content: Column, equations: Column) -> Column:
     path = F.lower(text_of("section_path"))
     return (
         F.when((F.col("kind") == "Table") | F.substring(content, 1, 400).rlike(TABLE), "table").when(F.col("kind") == "List", "list").when(F.col("kind") == "Title", "heading")
-        .when(content.rlike(EQUATION), "equation_heavy").when(content.rlike(LEGAL), "legal")
+        .when(equations > 0, "equation_heavy").when(content.rlike(LEGAL), "legal")
         .when(path.rlike("appendix|reference|bibliography"), "appendix").when(path.rlike("method|result|discussion|abstract"), "technical").otherwise("narrative")
     )
 
 
+def with_novelty(chunks: DataFrame) -> DataFrame:
+    """chunks, whose `words` are distinct ones with a space between, with `novelty`, the share of the words that no earlier chunk of the document has, and `n_chunks`.
+
+    One shuffle by document, of each chunk's own words; a pass in order keeps the words of one document.
+    """
+    kept = chunks.drop("words").schema
+    columns = kept.names
+    schema = T.StructType([*kept.fields, T.StructField("n_chunks", T.LongType()), T.StructField("novelty", T.DoubleType())])
+    rows = chunks.repartition("doc_id").withColumn("n_chunks", F.count("*").over(Window.partitionBy("doc_id"))).sortWithinPartitions("doc_id", "chunk_index")
+
+    def run(batches):
+        now, seen = object(), set()
+        for b in batches:
+            shares = []
+            for doc, line in zip(b.column("doc_id").to_pylist(), b.column("words").to_pylist()):
+                if doc != now:
+                    now, seen = doc, set()
+                own, before = line.split(), len(seen)
+                seen.update(own)
+                shares.append((len(seen) - before) / len(own) if own else 0.0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*columns, "n_chunks")), pa.array(shares, pa.float64())], names=[*columns, "n_chunks", "novelty"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def novelty(chunks: DataFrame) -> DataFrame:
-    """FEA8: share of a chunk's tokens that no earlier chunk of its document has: first seen is a minimum, so nothing grows."""
-    t = chunks.select("doc_id", "chunk_index", F.explode(token_set("content", "alpha")).alias("w"))
-    first = t.groupBy("doc_id", "w").agg(F.min("chunk_index").alias("chunk_index")).groupBy("doc_id", "chunk_index").agg(F.count("*").alias("fresh"))
-    size = chunks.select("doc_id", "chunk_index", F.size(token_set("content", "alpha")).alias("size"))
-    return size.join(first, ["doc_id", "chunk_index"], "left").select("doc_id", "chunk_index", F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce("fresh", F.lit(0)) / F.col("size")).alias("novelty"))
+    """FEA8: share of a chunk's tokens that no earlier chunk of its document has."""
+    c = chunks.select("doc_id", "chunk_index", F.array_join(token_set("content", "alpha"), " ").alias("words"))
+    return with_novelty(c).select("doc_id", "chunk_index", "novelty")
 
 
 def chunk_features(chunks: DataFrame) -> DataFrame:
-    """FEA7: counts, densities, complexity, importance, confidence of each chunk."""
+    """FEA7: counts, densities, complexity, importance, confidence of each chunk. Texts are read once, before the shuffle, which they do not enter."""
     c = text_of("content")
     col = F.col
-    df = chunks.join(novelty(chunks), ["doc_id", "chunk_index"])
-    df = df.withColumns({
-        "word_count": F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")), "token_count": est_tokens("content"), "equation_count": hits(c, EQUATION), "figure_count": hits(c, FIGURE),
-        "table_count": F.when((col("kind") == "Table") | F.substring(c, 1, 500).rlike(TABLE), 1).otherwise(0), "tech_hits": hits(c, TECHNICAL), "section_type": section_type(c),
+    df = chunks.withColumns({
+        "word_count": F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")), "token_count": est_tokens("content"), "equation_count": F.when(c.rlike(EQUATION_START), hits(c, EQUATION)).otherwise(0), "figure_count": hits(c, FIGURE),
+        "table_count": F.when((col("kind") == "Table") | F.substring(c, 1, 500).rlike(TABLE), 1).otherwise(0), "tech_hits": hits(c, TECHNICAL),
         "entity_count": F.size(F.regexp_extract_all(F.regexp_replace(c, r"[^\x00-\x7F]", "0"), F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+|[A-Z]{2,})\b"), F.lit(1))),
-        "n_chunks": F.count("*").over(Window.partitionBy("doc_id")),
+        "words": F.array_join(token_set("content", "alpha"), " "),
     })
+    df = with_novelty(df.withColumn("section_type", section_type(c, col("equation_count"))).drop("content"))
     one = F.lit(1.0)
     df = df.withColumns({"entity_density": F.least(one, col("entity_count") / F.greatest(F.lit(40.0), col("word_count") / 5.0)), "technical_density": F.least(one, col("tech_hits") / F.greatest(F.lit(8.0), col("word_count") / 80.0))})
     hard = col("section_type").isin("legal", "equation_heavy")
@@ -152,7 +178,7 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
     df = df.withColumn("complexity", complexity).withColumn("importance", importance)
     df = df.withColumn("compression_difficulty", clamp(0.5 * col("complexity") + 0.3 * col("technical_density") + 0.2 * col("entity_density")))
     df = df.withColumn("confidence", clamp(0.7 + F.when(col("word_count") > 40, 0.2).otherwise(0.0) - F.when(col("word_count") < 15, 0.15).otherwise(0.0), 0.35, 1.0))
-    return df.drop("entity_count", "tech_hits", "n_chunks", "content")
+    return df.drop("entity_count", "tech_hits", "n_chunks")
 
 
 
