@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cgraph import cut
+from .cgraph import cut, written
 from .running import exponential_average
 
 # Smoothing of the planner's averages.
@@ -64,12 +66,81 @@ def carbon_rollups(nodes: DataFrame) -> DataFrame:
         FROM {nodes} GROUP BY GROUPING SETS ((job_id, depth), (job_id, worker_id), (job_id, model), (job_id, kind), (job_id))""", nodes=nodes)
 
 
+#: Rows of nodes and dependencies up to which a job's chains are followed inside its task.
+SMALL_JOB = 512
+
+
+def _heaviest_chain(rows) -> tuple[float | None, bool]:
+    """The heaviest chain of one job's (job, node, dep, ms, is_node) rows, and whether it is left to rounds: large, or not of numbers alone."""
+    ms, after, top, size = {}, {}, None, 0
+    for i, (_, node, dep, weight, is_node) in enumerate(rows):
+        if i >= SMALL_JOB or weight != weight:
+            return None, True
+        if not is_node:
+            after.setdefault(dep, set()).add(node)
+            continue
+        size, top = size + 1, weight if top is None else max(top, weight)
+        if node is not None:
+            ms[node] = max(ms.get(node, weight), weight)
+    front = ms
+    for _ in range(1, size):
+        reached: dict = {}
+        for dep, best in front.items():
+            for node in after.get(dep, ()):
+                if node in ms:
+                    reached[node] = max(reached.get(node, best + ms[node]), best + ms[node])
+        if not reached:
+            break
+        top, front = max(top, *reached.values()), reached
+    return top, False
+
+
+def _job_chains(batches):
+    """(job_id, critical_ms, large) of the jobs of sorted rows; jobs without a node are left out."""
+    kind = None
+
+    def rows():
+        nonlocal kind
+        for b in batches:
+            kind = b.schema.field("job_id").type
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    def batch(held):
+        jobs, tops, large = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(jobs, kind), pa.array(tops, pa.float64()), pa.array(large, pa.bool_())], names=["job_id", "critical_ms", "large"])
+
+    held = []
+    for job, of_job in itertools.groupby(rows(), itemgetter(0)):
+        top, large = _heaviest_chain(of_job)
+        if large or top is not None:
+            held.append((job, top, large))
+        if len(held) == 4096:
+            yield batch(held)
+            held = []
+    if held:
+        yield batch(held)
+
+
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """HIE9: longest chain of a job by latency.
 
-    Round i holds, for every node, the heaviest chain of i dependencies that ends there; rounds go on
-    until no job has such a chain. A chain has no more nodes than its job, so cyclic input ends too.
+    Rows of nodes and dependencies are dealt by job and read in a stream; a job of few rows is done there, so all of them take one
+    pass. Jobs of more than SMALL_JOB rows are walked by rounds of joins. A chain has no more nodes than its job, so cyclic input ends too.
     """
+    n = nodes.select("job_id", "node_id", F.lit(None).alias("dep"), F.coalesce("latency_ms", F.lit(0.0)).cast("double").alias("ms"), F.lit(True).alias("is_node"))
+    e = edges.filter("dep <> node_id and job_id is not null").select("job_id", "node_id", "dep", F.lit(None).cast("double").alias("ms"), F.lit(False).alias("is_node"))
+    dealt = n.unionByName(e).repartition("job_id").sortWithinPartitions("job_id")
+    done = written(dealt.mapInArrow(_job_chains, f"job_id {dict(dealt.dtypes)['job_id']}, critical_ms double, large boolean"))
+    large, small = done.filter("large").select("job_id"), done.filter("not large").select("job_id", "critical_ms")
+    if large.isEmpty():
+        return small
+    # A null job meets nothing: it has no chain, only its heaviest node.
+    of = lambda df: df.join(large, df["job_id"].eqNullSafe(large["job_id"]), "left_semi")
+    return small.unionByName(_by_rounds(of(nodes), of(edges)))
+
+
+def _by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Round i holds, for every node, the heaviest chain of i dependencies that ends there; rounds go on until no job has such a chain."""
     n = nodes.select("job_id", "node_id", F.coalesce("latency_ms", F.lit(0.0)).alias("ms"))
     e = edges.filter("dep <> node_id").select("job_id", "dep", "node_id").distinct()
     steps = cut(e.join(n, ["job_id", "node_id"]))
