@@ -15,14 +15,22 @@ def stage_summary(timings: DataFrame, by: str = "stage", ms: str = "ms") -> Data
     return g.select(by, "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "max", "min")
 
 
-def rank_bottlenecks(timings: DataFrame, n: int = 10) -> DataFrame:
-    """TEL2: a run's slowest stages with their share of all; the total is no stage."""
+def rank_bottlenecks(timings: DataFrame, n: int = 10, plain: bool = False) -> DataFrame:
+    """TEL2: a run's slowest stages with their share of all; the total is no stage.
+
+    plain: times are added as doubles from the slowest stage down, and of no time at all there is no share (NaN).
+    """
     t = timings.filter("stage <> 'total_ms'")
     w = Window.partitionBy("run_id")
-    # Summed as decimals: a sum of doubles depends on the order of the rows, which may tip a rounded share.
-    whole = F.sum(F.col("ms").cast("decimal(28,12)")).over(w).cast("double")
-    t = t.withColumn("share", F.col("ms") * 100 / F.coalesce(F.nullif(whole, F.lit(0.0)), F.lit(1.0)))
-    return t.withColumn("place", F.row_number().over(w.orderBy(F.desc("ms"), "stage"))).filter(F.col("place") <= n).select("run_id", "stage", "place", "ms", "share")
+    slowest = w.orderBy(F.desc_nulls_last("ms"), "stage")
+    if plain:
+        whole = F.sum("ms").over(slowest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        t = t.withColumn("whole", whole).withColumn("share", ieee_divide(F.col("ms"), F.col("whole")) * 100)
+    else:
+        # Summed as decimals: a sum of doubles depends on the order of the rows, which may tip a rounded share.
+        whole = F.sum(F.col("ms").cast("decimal(28,12)")).over(w).cast("double")
+        t = t.withColumn("share", F.col("ms") * 100 / F.coalesce(F.nullif(whole, F.lit(0.0)), F.lit(1.0)))
+    return t.withColumn("place", F.row_number().over(slowest)).filter(F.col("place") <= n).select("run_id", "stage", "place", "ms", "share")
 
 
 def waterfall(timings: DataFrame, width: int = 40) -> DataFrame:
@@ -77,20 +85,22 @@ def status_distribution(rows: DataFrame, status: str) -> DataFrame:
     return rows.filter(F.col(status).isNotNull() & (F.col(status) != "")).groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
 
 
-def _of_no_time(amount: Column) -> Column:
-    """What IEEE division by zero gives: any amount in no time is an infinite rate, nothing in no time is none."""
-    return F.when(amount > 0, float("inf")).when(amount == 0, float("nan"))
+def ieee_divide(a: Column, b: Column) -> Column:
+    """a / b as IEEE doubles: by zero it is infinite, zero by zero is NaN."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
 
 
 def eta(progress: DataFrame, instant: bool = False) -> DataFrame:
     """TEL11: rate and seconds left; null while nothing is done or no time has passed.
 
-    instant: what is done in no time at all has an infinite rate, and no seconds are left.
+    instant: what is done in no time at all has an infinite rate, and no seconds are left; any other time divides as it is.
     """
-    rate = F.when(F.col("elapsed_s") > 0, F.col("done") / F.col("elapsed_s"))
     if instant:
-        rate = F.when(F.col("elapsed_s") == 0, _of_no_time(F.col("done"))).otherwise(rate)
-    left = F.when((rate > 0) & (F.col("done") > 0), (F.col("total") - F.col("done")) / rate)
+        rate = ieee_divide(F.col("done"), F.col("elapsed_s"))
+        left = F.when(F.col("done") > 0, ieee_divide(F.col("total") - F.col("done"), F.col("rate")))
+    else:
+        rate = F.when(F.col("elapsed_s") > 0, F.col("done") / F.col("elapsed_s"))
+        left = F.when((F.col("rate") > 0) & (F.col("done") > 0), (F.col("total") - F.col("done")) / F.col("rate"))
     return progress.withColumn("rate", rate).withColumn("eta_s", left)
 
 
@@ -98,16 +108,20 @@ def generation_timing(calls: DataFrame, instant: bool = False) -> DataFrame:
     """TEL10: inference, network and generation times, tokens a second after the first token, errors retried.
 
     calls: call_id, ttft_ms, ttlt_ms, first_byte_ms, out_tokens, attempts (ok, error). Tokens without a time
-    of generation have no rate (0), or with `instant` an infinite one.
+    of generation have no rate (0). With `instant` they have an infinite one, and times are taken as measured: an unknown one
+    stays unknown, and one that ran backwards is not raised to 0.
     """
-    ttft = F.coalesce("ttft_ms", F.lit(0.0))
-    ttlt, first = F.coalesce("ttlt_ms", ttft), F.coalesce("first_byte_ms", ttft)
-    gen = F.greatest(F.lit(0.0), ttlt - ttft)
     errors = F.transform(F.filter("attempts", lambda a: ~a["ok"] & a["error"].isNotNull()), lambda a: a["error"])
-    rate = F.when((gen > 0) & (F.col("out_tokens") > 0), F.col("out_tokens") / (gen / 1000.0))
+    tokens = F.col("out_tokens")
     if instant:
-        rate = F.when((gen == 0) & (F.col("out_tokens") > 0), _of_no_time(F.col("out_tokens"))).otherwise(rate)
-    return calls.select("call_id", first.alias("network_ms"), F.greatest(F.lit(0.0), ttlt - first).alias("inference_ms"), gen.alias("generation_ms"), F.coalesce(rate, F.lit(0.0)).alias("tokens_per_sec"), F.array_join(errors, ",").alias("retry_reasons"))
+        first, inference, gen = F.col("first_byte_ms"), F.col("ttlt_ms") - F.col("first_byte_ms"), F.col("ttlt_ms") - F.col("ttft_ms")
+        rate = F.when(tokens > 0, ieee_divide(tokens, gen / 1000.0)).otherwise(F.lit(0.0))
+    else:
+        ttft = F.coalesce("ttft_ms", F.lit(0.0))
+        ttlt, first = F.coalesce("ttlt_ms", ttft), F.coalesce("first_byte_ms", ttft)
+        inference, gen = F.greatest(F.lit(0.0), ttlt - first), F.greatest(F.lit(0.0), ttlt - ttft)
+        rate = F.when((gen > 0) & (tokens > 0), tokens / (gen / 1000.0)).otherwise(F.lit(0.0))
+    return calls.select("call_id", first.alias("network_ms"), inference.alias("inference_ms"), gen.alias("generation_ms"), rate.alias("tokens_per_sec"), F.array_join(errors, ",").alias("retry_reasons"))
 
 
 def prompt_token_parts(calls: DataFrame) -> DataFrame:
