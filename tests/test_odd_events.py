@@ -10,7 +10,7 @@ VALUES = [0.0, None, -2.5, 0.01, 20.48, 3.3, 0.0, 0.0, 52.68, 30.36, 19.36]
 STAGES = ["click", "view", "error", "signup", "purchase", "click", "error", "click", "error", "signup", "click"]
 
 
-@pytest.mark.parametrize("name", ["tel2_rank_bottlenecks", "tel10_generation_timing"])
+@pytest.mark.parametrize("name", ["tel2_rank_bottlenecks", "tel10_generation_timing", "tel11_eta"])
 def test_query_matches_its_sql_on_odd_times(spark, tmp_path, name):
     # user_id x 100 + event_id % 10 names a run: zeros make up run 1, the last three rows run 2.
     users = [0, 0, 0, 0, 0, 0, 1, 1, 2, 2, 2]
