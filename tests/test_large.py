@@ -2,7 +2,7 @@
 
 import statistics
 
-from docflow.operators import evaluation, nodesearch, telemetry
+from docflow.operators import evaluation, nodesearch, quality, telemetry
 from docflow.plans import graph_queries
 
 
@@ -68,3 +68,16 @@ def test_median_speedup_in_no_single_buffer(spark):
     assert tuple(evaluation.speedup_summary(runs([])).first()) == (0, None, None)
     plan = evaluation.speedup_summary(runs([1.0]))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_escalations_make_each_metric_once(spark, tables):
+    # A filter below the metrics would name every expression again, many times over.
+    docs = tables("documents").selectExpr("doc_id as pair_id", "source as job_id", "text as source", "substr(text, 1, 80) as summary")
+    every = quality.validate_pairs(docs)
+    found = quality.pick_escalations(every, 2)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert plan(found) <= plan(every)
+    want = sorted(every.filter("not passed").selectExpr("job_id", "round(confidence, 9) as c", "pair_id").collect())
+    got = sorted((r.job_id, r.place, r.pair_id) for r in found.select("job_id", "place", "pair_id").collect())
+    jobs = sorted({r.job_id for r in want})
+    assert got == sorted((j, n, r.pair_id) for j in jobs for n, r in enumerate([r for r in want if r.job_id == j][:2], 1))
