@@ -264,8 +264,7 @@ _IMPACT = "st AS (SELECT DISTINCT * FROM (SELECT dst AS a, src AS b FROM e UNION
 @register(f"""WITH RECURSIVE {CODE}, {_IMPACT}, w(root, id, n) AS (SELECT id, id, 0 FROM v WHERE CAST(substr(id, 2) AS INT) % 50 = 0 UNION SELECT root, b, n + 1 FROM w JOIN st ON a = id WHERE n < 2), m AS (SELECT root, id, min(n) AS distance FROM w GROUP BY 1, 2)
   SELECT root, source_file, CAST(min(distance) AS INTEGER) AS distance FROM m JOIN v USING (id) WHERE distance > 0 GROUP BY 1, 2""")
 def cg7_impact(spark, d):
-    v = vertices(spark, d)
-    return C.affected_files(C.impact(edges(spark, d), _asked(spark, d), 2), v)
+    return C.impact_files(edges(spark, d), _asked(spark, d), vertices(spark, d), 2)
 
 
 @register(_SCORES + """, top AS (SELECT query_id, id, score, place FROM r WHERE place <= 5),

@@ -5,7 +5,7 @@ import statistics
 import numpy as np
 import pyarrow as pa
 
-from docflow.operators import evaluation, nodesearch, quality, telemetry
+from docflow.operators import cgraph, evaluation, nodesearch, quality, telemetry
 from docflow.plans import graph_queries
 
 
@@ -109,3 +109,21 @@ def test_search_tries_labels_many_at_a_time(spark, monkeypatch):
     asked = pa.table({"query": q["query"], "qn": norm(q["query"]), "lq": q["query"].str.lower()})
     monkeypatch.setattr(nodesearch, "edits", None)
     assert all(len(best) == 20 for _, _, best in nodesearch.best_of_block(block, asked, 20, None))
+
+
+def test_files_of_an_impact_need_no_rows_of_the_last_step(spark, monkeypatch):
+    # A star: every leaf reaches all leaves of its hub in two steps; a loop, and a vertex that only leads back to itself.
+    e = [(f"leaf{h}_{i}", f"hub{h}", "uses") for h in range(3) for i in range(30)] + [(f"hub{h}", f"leaf{h}_{i}", "uses") for h in range(3) for i in range(30)]
+    e += [("a", "b", "contains"), ("b", "b", "calls"), ("b", "c", "method"), ("d", "a", "calls"), ("x", "a", "uses")]
+    names = sorted({n for s, d, _ in e for n in (s, d)} - {"x"})
+    v = spark.createDataFrame([(n, None if n == "d" else f"f{sum(map(ord, n)) % 7}") for n in names] + [("alone", "f1")], "id string, source_file string")
+    e = spark.createDataFrame(e, "src string, dst string, relation string")
+    sizes, kept = [], cgraph.cut
+    monkeypatch.setattr(cgraph, "cut", lambda df: (out := kept(df), sizes.append(out.count()))[0])
+    for depth in (1, 2, 3):
+        want = sorted(map(tuple, cgraph.affected_files(cgraph.impact(e, v.select("id"), depth), v).select("root", "source_file", "distance").collect()))
+        whole = max(sizes)
+        sizes.clear()
+        assert sorted(map(tuple, cgraph.impact_files(e, v.select("id"), v, depth).select("root", "source_file", "distance").collect())) == want
+        assert depth != 2 or max(sizes) < whole / 10
+        sizes.clear()
